@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import operational as O
 from ..operators import quality
+from ..operators import series as S
 from ..sources import testdata
 from .oracle import avg_money_sql, sql
 from .registry import register, warehouse
@@ -219,4 +221,197 @@ def q_daily_aov(spark, sf_dir):
     return A.daily_aov(warehouse(spark, sf_dir))
 
 
-__all__ = ["F"]
+
+# --------------------------------------------------------------------------
+# Series (AGG-16/17/18/19)
+
+_DAILY_TYPED = """
+SELECT d.full_date, coalesce(sum(f.revenue), 0) AS rev, count(DISTINCT f.order_id) AS orders,
+       coalesce(sum(f.quantity), 0) AS units
+FROM dim_date d LEFT JOIN fact_sales f ON f.date_key = d.date_key GROUP BY d.full_date"""
+
+
+def _bucket_sql(key: str) -> str:
+    return sql(f"""
+SELECT {key} AS date, strftime(max(full_date), {D}) AS end_date, CAST(sum(rev) AS DOUBLE) AS revenue,
+       CAST(sum(orders) AS BIGINT) AS order_count, CAST(sum(units) AS BIGINT) AS units_sold
+FROM ({_DAILY_TYPED}) t GROUP BY 1""")
+
+
+@register("sales_weekly", _bucket_sql(f"strftime(date_trunc('week', full_date), {D})"))
+def q_sales_weekly(spark, sf_dir):
+    return S.sales_weekly(warehouse(spark, sf_dir))
+
+
+@register("sales_monthly", _bucket_sql("strftime(full_date, '%Y-%m')"))
+def q_sales_monthly(spark, sf_dir):
+    return S.sales_monthly(warehouse(spark, sf_dir))
+
+
+@register("sparkline", sql(f"""
+SELECT CAST(bucket AS INTEGER) AS bucket,
+       CAST(sum(CAST(rev * 100 AS HUGEINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 100 AS value
+FROM (SELECT rev, CASE WHEN n <= 28 THEN i ELSE floor(((i + 1) * 28 - 1) / n) END AS bucket
+      FROM (SELECT rev, row_number() OVER (ORDER BY full_date) - 1 AS i, count(*) OVER () AS n
+            FROM ({_DAILY_TYPED}) t) u) v
+GROUP BY bucket"""))
+def q_sparkline(spark, sf_dir):
+    return S.sparkline(warehouse(spark, sf_dir))
+
+
+KPI_DAYS, KPI_TODAY = 90, "1998-06-30"
+
+
+def _kpi_delta_sql() -> str:
+    (cf, ct), (pf, pt) = S.preset_windows(KPI_DAYS, KPI_TODAY)
+
+    def win(lo, hi, tag):
+        return f"""{tag} AS (SELECT coalesce(sum(revenue), 0) AS rev, count(DISTINCT order_id) AS ord,
+                   count(DISTINCT customer_key) AS cus, coalesce(sum(quantity), 0) AS uni
+            FROM fact_sales WHERE date_key BETWEEN {lo.replace('-', '')} AND {hi.replace('-', '')})"""
+    metrics = [("revenue", "CAST(c.rev AS DOUBLE)", "CAST(p.rev AS DOUBLE)"),
+               ("orders", "CAST(c.ord AS DOUBLE)", "CAST(p.ord AS DOUBLE)"),
+               ("customers", "CAST(c.cus AS DOUBLE)", "CAST(p.cus AS DOUBLE)"),
+               ("units", "CAST(c.uni AS DOUBLE)", "CAST(p.uni AS DOUBLE)"),
+               ("average_order_value", avg_money_sql("c.rev", "c.ord"), avg_money_sql("p.rev", "p.ord"))]
+    rows = " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, {cur} AS current, {prev} AS previous FROM cur c, prev p"
+        for m, cur, prev in metrics)
+    return sql(f"""
+SELECT metric, current, previous, CASE WHEN previous <> 0 THEN (current - previous) / previous END AS delta,
+       CASE WHEN previous = 0 THEN NULL WHEN (current - previous) / previous > 0.0005 THEN 'up'
+            WHEN (current - previous) / previous < -0.0005 THEN 'down' ELSE 'flat' END AS direction,
+       '{cf}' AS current_from, '{ct}' AS current_to, '{pf}' AS previous_from, '{pt}' AS previous_to
+FROM ({rows}) m""", win(cf, ct, "cur"), win(pf, pt, "prev"))
+
+
+@register("kpi_delta", _kpi_delta_sql())
+def q_kpi_delta(spark, sf_dir):
+    return S.kpi_delta(warehouse(spark, sf_dir), KPI_DAYS, KPI_TODAY)
+
+
+# --------------------------------------------------------------------------
+# Operational reads (FLT-3/4/5/6/8, JN-9/10, AGG-13/14/20/26, SRT-2/3/4/9)
+
+PAGE = dict(limit=50, offset=100)
+PRODUCT_FILTER = dict(category="PROMO", active=True, limit=50, offset=0)
+ORDER_FILTER = dict(status="delivered", from_="1997-01-01", to="1997-12-31", limit=50, offset=50)
+ORDER_ID = "7"
+SEARCH = "nation_1"
+AS_OF = "2000-01-01"
+
+
+def _raw(spark, sf_dir):
+    return testdata.snapshot(spark, sf_dir)
+
+
+def _flat_orders(df):
+    return df.select("id", "customer_id", "customer_name", "status", "order_date",
+                     "item_count", "total",
+                     F.array_join(F.transform("items", lambda x: x["id"]), ",").alias("item_ids"))
+
+
+@register("customers_page", sql(f"""
+SELECT id, name, email, city, state, strftime(created_at, {TS}) AS created_at FROM stg_customers
+ORDER BY created_at DESC, id LIMIT {PAGE['limit']} OFFSET {PAGE['offset']}"""))
+def q_customers_page(spark, sf_dir):
+    return O.customers_page(_raw(spark, sf_dir)["customers"], **PAGE)
+
+
+@register("products_page", sql(f"""
+SELECT id, sku, name, category, CAST(unit_price AS DOUBLE) AS unit_price, active,
+       strftime(created_at, {TS}) AS created_at
+FROM stg_products WHERE category = 'PROMO' AND active
+ORDER BY created_at DESC, id LIMIT 50 OFFSET 0"""))
+def q_products_page(spark, sf_dir):
+    return O.products_page(_raw(spark, sf_dir)["products"], **PRODUCT_FILTER)
+
+
+_ORDERS_FILTER_SQL = ("o.status = 'delivered' AND o.order_date >= DATE '1997-01-01' "
+                      "AND o.order_date <= DATE '1997-12-31'")
+
+_NESTED_SQL = """
+SELECT p.id, p.customer_id, c.name AS customer_name, p.status, strftime(p.order_date, '%Y-%m-%d') AS order_date,
+       CAST(coalesce(l.item_count, 0) AS BIGINT) AS item_count, CAST(coalesce(l.total, 0) AS DOUBLE) AS total,
+       coalesce(l.item_ids, '') AS item_ids
+FROM page p LEFT JOIN stg_customers c ON c.id = p.customer_id
+LEFT JOIN (SELECT i.order_id, count(*) AS item_count, sum(i.quantity * i.unit_price_at_sale) AS total,
+                  string_agg(i.id, ',' ORDER BY pr.name, i.id) AS item_ids
+           FROM stg_order_items i LEFT JOIN stg_products pr ON pr.id = i.product_id
+           WHERE i.order_id IN (SELECT id FROM page) GROUP BY i.order_id) l ON l.order_id = p.id"""
+
+
+@register("orders_page", sql(_NESTED_SQL, f"""page AS (SELECT * FROM stg_orders o WHERE {_ORDERS_FILTER_SQL}
+  ORDER BY o.order_date DESC, o.created_at DESC, o.id LIMIT 50 OFFSET 50)"""))
+def q_orders_page(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    return _flat_orders(O.orders_page(r["orders"], r["customers"], r["order_items"],
+                                      r["products"], **ORDER_FILTER))
+
+
+@register("order_by_id", sql(_NESTED_SQL, f"page AS (SELECT * FROM stg_orders WHERE id = '{ORDER_ID}')"))
+def q_order_by_id(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    return _flat_orders(O.order_by_id(r["orders"], r["customers"], r["order_items"],
+                                      r["products"], ORDER_ID))
+
+
+@register("page_totals", sql(f"""
+SELECT listing, total, CAST(l AS BIGINT) AS "limit", CAST(o AS BIGINT) AS "offset",
+       CAST(CASE WHEN total > o THEN o + 1 ELSE 0 END AS BIGINT) AS first_row,
+       CAST(least(total, o + l) AS BIGINT) AS last_row, CAST(o // l + 1 AS BIGINT) AS page,
+       CAST(ceil(total / l) AS BIGINT) AS page_count
+FROM (SELECT 'customers' AS listing, count(*) AS total, 50 AS l, 100 AS o FROM stg_customers
+      UNION ALL SELECT 'products', count(*), 50, 0 FROM stg_products WHERE category = 'PROMO' AND active
+      UNION ALL SELECT 'orders', count(*), 50, 50 FROM stg_orders o WHERE {_ORDERS_FILTER_SQL}) t"""))
+def q_page_totals(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    pf = {k: v for k, v in PRODUCT_FILTER.items() if k in ("category", "active")}
+    of = {k: v for k, v in ORDER_FILTER.items() if k not in ("limit", "offset")}
+    return (O.page_total(r["customers"], "customers", PAGE["limit"], PAGE["offset"])
+            .unionByName(O.page_total(O.filter_products(r["products"], **pf), "products",
+                                      PRODUCT_FILTER["limit"], PRODUCT_FILTER["offset"]))
+            .unionByName(O.page_total(O.filter_orders(r["orders"], **of), "orders",
+                                      ORDER_FILTER["limit"], ORDER_FILTER["offset"])))
+
+
+@register("order_lines", sql("""
+SELECT i.id, i.order_id, i.product_id, p.name AS product_name, i.quantity,
+       CAST(i.unit_price_at_sale AS DOUBLE) AS unit_price_at_sale,
+       CAST(i.quantity * i.unit_price_at_sale AS DOUBLE) AS line_total
+FROM stg_order_items i LEFT JOIN stg_products p ON p.id = i.product_id"""))
+def q_order_lines(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    return O.order_lines(r["order_items"], r["products"])
+
+
+@register("order_totals", sql("""
+SELECT o.id AS order_id, CAST(coalesce(sum(i.quantity * i.unit_price_at_sale), 0) AS DOUBLE) AS total,
+       CAST(count(i.id) AS BIGINT) AS item_count
+FROM stg_orders o LEFT JOIN stg_order_items i ON i.order_id = o.id GROUP BY o.id"""))
+def q_order_totals(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    return O.order_totals(r["orders"], r["order_items"])
+
+
+@register("customer_search", sql(f"""
+SELECT id, name, email, city, state, strftime(created_at, {TS}) AS created_at FROM stg_customers
+WHERE contains(lower(name), '{SEARCH}') OR contains(lower(email), '{SEARCH}') OR contains(lower(city), '{SEARCH}')
+ORDER BY created_at DESC, id LIMIT 200"""))
+def q_customer_search(spark, sf_dir):
+    return O.customer_search(_raw(spark, sf_dir)["customers"], SEARCH)
+
+
+@register("product_categories", sql("SELECT DISTINCT category FROM stg_products"))
+def q_product_categories(spark, sf_dir):
+    return O.product_categories(_raw(spark, sf_dir)["products"])
+
+
+@register("order_estimate", sql("""
+SELECT i.order_id AS order_ref, CAST(coalesce(sum(i.quantity * coalesce(p.unit_price, 0)), 0) AS DOUBLE) AS estimated_total,
+       CAST(coalesce(sum(i.quantity), 0) AS BIGINT) AS units
+FROM stg_order_items i LEFT JOIN stg_products p ON p.id = i.product_id GROUP BY i.order_id"""))
+def q_order_estimate(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    lines = r["order_items"].select(F.col("order_id").alias("order_ref"), "product_id", "quantity")
+    return O.order_estimate(lines, r["products"])

@@ -114,3 +114,40 @@ def snapshot(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "orders": stg_orders(spark, sf_dir),
         "order_items": stg_order_items(spark, sf_dir),
     }
+
+
+def dataset(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four tables as *delivered*, before the declared types: money as the
+    source number and order_date as ``yyyy-MM-dd`` text (validator input)."""
+    raw = snapshot(spark, sf_dir)
+    part = read(spark, sf_dir, "part", "p_partkey", "p_retailprice")
+    products = raw["products"].drop("unit_price").join(
+        part.select(F.col("p_partkey").cast("string").alias("id"),
+                    F.col("p_retailprice").alias("unit_price")), "id")
+    li = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+              "l_quantity", "l_extendedprice", "l_shipdate")
+    items = li.select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"),
+                    F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                    F.date_format(F.col("l_shipdate"), "yyyyMMdd")).alias("id"),
+        F.col("l_orderkey").cast("string").alias("order_id"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        F.col("l_extendedprice").alias("unit_price_at_sale"))
+    orders = raw["orders"].withColumn("order_date", F.date_format("order_date", "yyyy-MM-dd"))
+    return {"customers": raw["customers"], "products": products, "orders": orders,
+            "order_items": items}
+
+
+def requested_counts(sf_dir: str) -> dict[str, int]:
+    """Row counts the generator was asked for, from the scale factor in the
+    folder name (``.../sf0.01``): 150,000 customers, 200,000 parts and
+    1,500,000 orders per unit of scale."""
+    import re
+    m = re.search(r"sf([0-9.]+)", sf_dir.rstrip("/").rsplit("/", 1)[-1])
+    if not m:
+        return {}
+    sf = float(m.group(1))
+    return {"customers": max(int(round(150_000 * sf)), 1),
+            "products": max(int(round(200_000 * sf)), 1),
+            "orders": max(int(round(1_500_000 * sf)), 1)}
