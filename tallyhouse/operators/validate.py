@@ -45,7 +45,7 @@ def valid_money(v: Column) -> Column:
             & (F.abs(v * 100 - F.round(v * 100)) < 1e-6))
 
 
-def validation_report(ds: dict[str, DataFrame], requested: dict[str, int],
+def validation_report(ds: dict[str, DataFrame], requested,
                       end_date: str) -> DataFrame:
     c, p, o, i = ds["customers"], ds["products"], ds["orders"], ds["order_items"]
     blank = lambda col: F.when(F.trim(F.col(col)) == "", 1).otherwise(0)
@@ -71,7 +71,13 @@ def validation_report(ds: dict[str, DataFrame], requested: dict[str, int],
                 F.count_if(F.col("quantity").isNull() | (F.col("quantity") < 1)).alias("bad_qty"))
 
     def requested_rule(stats: DataFrame, name: str, what: str) -> DataFrame:
-        want = requested.get(what)
+        """``requested`` maps table → int, or is a one-row frame of counts."""
+        if isinstance(requested, DataFrame):
+            stats = stats.crossJoin(requested.select(F.col(what).alias("_want")))
+            want = F.col("_want")
+        else:
+            want = requested.get(what)
+            want = None if want is None else F.lit(want)
         affected = F.lit(0) if want is None else F.when(F.col("n") != want, 1).otherwise(0)
         return _rule(stats, name, affected, f"generated {what} count differs from the request")
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..config import EMAIL_PATTERN, UUID_V4_PATTERN
 from ..operators import analytics as A
+from ..operators import audit as AU
+from ..operators import integrity as I
+from ..operators import intake as N
 from ..operators import operational as O
 from ..operators import quality
 from ..operators import series as S
+from ..operators import shape as SH
+from ..operators import validate as V
 from ..sources import testdata
 from .oracle import avg_money_sql, sql
 from .registry import register, warehouse
@@ -415,3 +421,375 @@ def q_order_estimate(spark, sf_dir):
     r = _raw(spark, sf_dir)
     lines = r["order_items"].select(F.col("order_id").alias("order_ref"), "product_id", "quantity")
     return O.order_estimate(lines, r["products"])
+
+
+# --------------------------------------------------------------------------
+# Extract integrity (SRC-2, JN-7, FLT-9, AGG-9, AGG-25, SNK-5, SNK-7)
+
+@register("schema_violations", sql("""
+SELECT 'customers' AS "table", CAST(count(*) AS BIGINT) AS rows, CAST(count(*) FILTER (WHERE id IS NULL OR name IS NULL OR email IS NULL OR city IS NULL OR state IS NULL OR created_at IS NULL) AS BIGINT) AS null_rows FROM stg_customers
+UNION ALL SELECT 'products', count(*), count(*) FILTER (WHERE id IS NULL OR sku IS NULL OR name IS NULL OR category IS NULL OR unit_price IS NULL OR active IS NULL OR created_at IS NULL) FROM stg_products
+UNION ALL SELECT 'orders', count(*), count(*) FILTER (WHERE id IS NULL OR customer_id IS NULL OR status IS NULL OR order_date IS NULL OR created_at IS NULL) FROM stg_orders
+UNION ALL SELECT 'order_items', count(*), count(*) FILTER (WHERE id IS NULL OR order_id IS NULL OR product_id IS NULL OR quantity IS NULL OR unit_price_at_sale IS NULL) FROM stg_order_items"""))
+def q_schema_violations(spark, sf_dir):
+    return I.schema_violations(_raw(spark, sf_dir))
+
+
+@register("orphans", sql("""
+SELECT 'order_customer' AS "check", CAST(count(*) AS BIGINT) AS affected FROM stg_orders o WHERE NOT EXISTS (SELECT 1 FROM stg_customers c WHERE c.id = o.customer_id)
+UNION ALL SELECT 'item_order', count(*) FROM stg_order_items i WHERE NOT EXISTS (SELECT 1 FROM stg_orders o WHERE o.id = i.order_id)
+UNION ALL SELECT 'item_product', count(*) FROM stg_order_items i WHERE NOT EXISTS (SELECT 1 FROM stg_products p WHERE p.id = i.product_id)"""))
+def q_orphans(spark, sf_dir):
+    return I.orphans(_raw(spark, sf_dir))
+
+
+_EMAIL_RE = EMAIL_PATTERN.replace("'", "''")
+
+
+@register("constraint_violations", sql(f"""
+SELECT "constraint", CAST(affected AS BIGINT) AS affected FROM (
+SELECT 'customers_name_not_blank' AS "constraint", count(*) FILTER (WHERE trim(name) = '') AS affected FROM stg_customers
+UNION ALL SELECT 'customers_city_not_blank', count(*) FILTER (WHERE trim(city) = '') FROM stg_customers
+UNION ALL SELECT 'customers_state_not_blank', count(*) FILTER (WHERE trim(state) = '') FROM stg_customers
+UNION ALL SELECT 'customers_email_shape', count(*) FILTER (WHERE NOT regexp_matches(email, '{_EMAIL_RE}')) FROM stg_customers
+UNION ALL SELECT 'customers_email_length', count(*) FILTER (WHERE length(email) > 200) FROM stg_customers
+UNION ALL SELECT 'products_sku_not_blank', count(*) FILTER (WHERE trim(sku) = '') FROM stg_products
+UNION ALL SELECT 'products_name_not_blank', count(*) FILTER (WHERE trim(name) = '') FROM stg_products
+UNION ALL SELECT 'products_category_not_blank', count(*) FILTER (WHERE trim(category) = '') FROM stg_products
+UNION ALL SELECT 'products_price_non_negative', count(*) FILTER (WHERE unit_price < 0) FROM stg_products
+UNION ALL SELECT 'orders_status_known', count(*) FILTER (WHERE status NOT IN ('pending','confirmed','shipped','delivered','cancelled')) FROM stg_orders
+UNION ALL SELECT 'order_items_quantity_positive', count(*) FILTER (WHERE quantity <= 0) FROM stg_order_items
+UNION ALL SELECT 'order_items_price_non_negative', count(*) FILTER (WHERE unit_price_at_sale < 0) FROM stg_order_items) t"""))
+def q_constraint_violations(spark, sf_dir):
+    return I.constraint_violations(_raw(spark, sf_dir))
+
+
+@register("row_counts", sql("""
+SELECT 'customers' AS "table", CAST(count(*) AS BIGINT) AS rows FROM stg_customers
+UNION ALL SELECT 'products', count(*) FROM stg_products
+UNION ALL SELECT 'orders', count(*) FROM stg_orders
+UNION ALL SELECT 'order_items', count(*) FROM stg_order_items
+UNION ALL SELECT 'dim_customer', count(*) FROM dim_customer
+UNION ALL SELECT 'dim_product', count(*) FROM dim_product
+UNION ALL SELECT 'dim_date', count(*) FROM dim_date
+UNION ALL SELECT 'fact_sales', count(*) FROM fact_sales"""))
+def q_row_counts(spark, sf_dir):
+    wh = warehouse(spark, sf_dir)
+    tables = dict(_raw(spark, sf_dir))
+    tables.update({t: getattr(wh, t) for t in ("dim_customer", "dim_product", "dim_date",
+                                               "fact_sales")})
+    return I.row_counts(tables)
+
+
+@register("manifest_row_counts", sql("""
+SELECT 'customers' AS "table", CAST(count(*) AS BIGINT) AS row_count FROM stg_customers
+UNION ALL SELECT 'products', count(*) FROM stg_products
+UNION ALL SELECT 'orders', count(*) FROM stg_orders
+UNION ALL SELECT 'order_items', count(*) FROM stg_order_items"""))
+def q_manifest_row_counts(spark, sf_dir):
+    """Row counts per table as recorded, file by file, in the lake manifest."""
+    from ..sources import lake
+    wh = warehouse(spark, sf_dir)
+    prefix = wh.metadata.where(F.col("key") == "lake_prefix").select("value").first()[0]
+    files = lake.read_manifest(spark, prefix).select(F.explode("files").alias("f"))
+    return (files.select(F.split(F.col("f.name"), "/").getItem(0).alias("table"),
+                         F.col("f.row_count").alias("n"))
+            .groupBy("table").agg(F.sum("n").cast("long").alias("row_count")))
+
+
+@register("warehouse_metadata", None)
+def q_warehouse_metadata(spark, sf_dir):
+    return warehouse(spark, sf_dir).metadata
+
+
+@register("table_fingerprint", None)
+def q_table_fingerprint(spark, sf_dir):
+    wh = warehouse(spark, sf_dir)
+    return I.fingerprint({"dim_customer": wh.dim_customer, "dim_product": wh.dim_product,
+                          "dim_date": wh.dim_date,
+                          "fact_sales": wh.fact_sales.drop("sale_month")})
+
+
+# --------------------------------------------------------------------------
+# Dataset validation and statistics (§2.12, AGG-22)
+
+VALIDATION_END = "2000-12-31"
+
+_DATASET = """
+ds_products AS (SELECT s.id, s.sku, s.name, s.category, p.p_retailprice AS unit_price, s.active
+                FROM stg_products s JOIN part p ON CAST(p.p_partkey AS VARCHAR) = s.id),
+ds_items AS (SELECT id, order_id, product_id, quantity, l_extendedprice AS unit_price_at_sale
+             FROM (SELECT concat_ws('-', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR),
+                          CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), strftime(l_shipdate, '%Y%m%d')) AS id,
+                          CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_partkey AS VARCHAR) AS product_id,
+                          CAST(trunc(l_quantity) AS INTEGER) AS quantity, l_extendedprice FROM lineitem) x),
+ds_orders AS (SELECT id, customer_id, status, strftime(order_date, '%Y-%m-%d') AS order_date FROM stg_orders)"""
+
+_UUID = UUID_V4_PATTERN
+_MONEY_OK = "({v} IS NOT NULL AND {v} >= 0 AND {v} <= 9999999999.99 AND abs({v} * 100 - round({v} * 100)) < 1e-6)"
+
+
+def _dup_sql(expr: str, table: str) -> str:
+    return f"(SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM {table} GROUP BY {expr}) d)"
+
+
+@register("validation_report", sql(f"""
+SELECT rule, CAST(affected AS BIGINT) AS affected FROM (
+SELECT 'requested_customer_count' AS rule, CASE WHEN (SELECT count(*) FROM stg_customers) <> (SELECT count(*) FROM customer) THEN 1 ELSE 0 END AS affected
+UNION ALL SELECT 'requested_product_count', CASE WHEN (SELECT count(*) FROM ds_products) <> (SELECT count(*) FROM part) THEN 1 ELSE 0 END
+UNION ALL SELECT 'requested_order_count', CASE WHEN (SELECT count(*) FROM ds_orders) <> (SELECT count(*) FROM orders) THEN 1 ELSE 0 END
+UNION ALL SELECT 'unique_customer_id', {_dup_sql('id', 'stg_customers')}
+UNION ALL SELECT 'unique_product_id', {_dup_sql('id', 'ds_products')}
+UNION ALL SELECT 'unique_order_id', {_dup_sql('id', 'ds_orders')}
+UNION ALL SELECT 'unique_order_item_id', {_dup_sql('id', 'ds_items')}
+UNION ALL SELECT 'uuid_v4_shape', (SELECT count(*) FILTER (WHERE NOT regexp_matches(id, '{_UUID}')) FROM stg_customers)
+   + (SELECT count(*) FILTER (WHERE NOT regexp_matches(id, '{_UUID}')) FROM ds_products)
+   + (SELECT count(*) FILTER (WHERE NOT regexp_matches(id, '{_UUID}')) FROM ds_orders)
+   + (SELECT count(*) FILTER (WHERE NOT regexp_matches(id, '{_UUID}')) FROM ds_items)
+UNION ALL SELECT 'unique_customer_email', {_dup_sql('lower(email)', 'stg_customers')}
+UNION ALL SELECT 'unique_product_sku', {_dup_sql('sku', 'ds_products')}
+UNION ALL SELECT 'order_customer_exists', (SELECT count(*) FROM ds_orders o WHERE NOT EXISTS (SELECT 1 FROM stg_customers c WHERE c.id = o.customer_id))
+UNION ALL SELECT 'order_item_order_exists', (SELECT count(*) FROM ds_items i WHERE NOT EXISTS (SELECT 1 FROM ds_orders o WHERE o.id = i.order_id))
+UNION ALL SELECT 'order_item_product_exists', (SELECT count(*) FROM ds_items i WHERE NOT EXISTS (SELECT 1 FROM ds_products p WHERE p.id = i.product_id))
+UNION ALL SELECT 'customer_email_shape', (SELECT count(*) FILTER (WHERE NOT regexp_matches(email, '{_EMAIL_RE}')) FROM stg_customers)
+UNION ALL SELECT 'blank_text', (SELECT count(*) FILTER (WHERE trim(name) = '') + count(*) FILTER (WHERE trim(city) = '') + count(*) FILTER (WHERE trim(state) = '') FROM stg_customers)
+   + (SELECT count(*) FILTER (WHERE trim(sku) = '') + count(*) FILTER (WHERE trim(name) = '') + count(*) FILTER (WHERE trim(category) = '') FROM ds_products)
+UNION ALL SELECT 'money_scale', (SELECT count(*) FILTER (WHERE NOT {_MONEY_OK.format(v='unit_price')}) FROM ds_products)
+   + (SELECT count(*) FILTER (WHERE NOT {_MONEY_OK.format(v='unit_price_at_sale')}) FROM ds_items)
+UNION ALL SELECT 'quantity_positive', (SELECT count(*) FILTER (WHERE quantity IS NULL OR quantity < 1) FROM ds_items)
+UNION ALL SELECT 'order_status_known', (SELECT count(*) FILTER (WHERE status IS NULL OR status NOT IN ('pending','confirmed','shipped','delivered','cancelled')) FROM ds_orders)
+UNION ALL SELECT 'order_date_shape', (SELECT count(*) FILTER (WHERE order_date IS NULL OR NOT regexp_matches(order_date, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$')) FROM ds_orders)
+UNION ALL SELECT 'one_line_per_product', {_dup_sql('order_id, product_id', 'ds_items')}
+UNION ALL SELECT 'order_has_items', (SELECT count(*) FROM ds_orders o WHERE NOT EXISTS (SELECT 1 FROM ds_items i WHERE i.order_id = o.id))
+UNION ALL SELECT 'active_products_only', (SELECT count(*) FROM ds_items i WHERE i.product_id IN (SELECT id FROM ds_products WHERE NOT active))
+UNION ALL SELECT 'order_date_within_window', (SELECT count(*) FILTER (WHERE order_date > '{VALIDATION_END}') FROM ds_orders)
+) t""", _DATASET))
+def q_validation_report(spark, sf_dir):
+    return V.validation_report(testdata.dataset(spark, sf_dir),
+                               testdata.requested_counts(spark, sf_dir),
+                               VALIDATION_END).select("rule", "affected")
+
+
+def _round_div_sql(num: str, den: str, scale: int) -> str:
+    n = f"CAST(({num}) * {10 ** scale} AS HUGEINT)"
+    d = f"CAST(({den}) AS HUGEINT)"
+    return (f"CASE WHEN ({den}) > 0 THEN CAST({n} // {d} + CASE WHEN 2 * ({n} % {d}) >= {d} "
+            f"THEN 1 ELSE 0 END AS DOUBLE) / {10 ** scale} ELSE 0.0 END")
+
+
+@register("dataset_statistics", sql(f"""
+SELECT CAST(cs.customers AS BIGINT) AS customers, CAST(ps.products AS BIGINT) AS products,
+       CAST(ps.active_products AS BIGINT) AS active_products, CAST(os.orders AS BIGINT) AS orders,
+       CAST(its.order_items AS BIGINT) AS order_items, CAST(cs.cities_covered AS BIGINT) AS cities_covered,
+       CAST(ps.categories_covered AS BIGINT) AS categories_covered,
+       CAST(os.distinct_order_days AS BIGINT) AS distinct_order_days,
+       os.first_order_date, os.last_order_date,
+       CAST(its.rev_cents AS DOUBLE) / 100 AS total_revenue,
+       {_round_div_sql('its.rev_cents', 'pay.paying', 0)} / 100 AS average_order_value,
+       {_round_div_sql('its.order_items', 'pay.paying', 2)} AS average_items_per_order,
+       CAST(wo.n AS BIGINT) AS orders_without_items, CAST(cwo.n AS BIGINT) AS customers_with_orders,
+       {_round_div_sql('its.discounted', 'its.order_items', 3)} AS discounted_line_share
+FROM (SELECT count(*) AS customers, count(DISTINCT city) AS cities_covered FROM stg_customers) cs,
+     (SELECT count(*) AS products, count(*) FILTER (WHERE active) AS active_products,
+             count(DISTINCT category) AS categories_covered FROM ds_products) ps,
+     (SELECT count(*) AS orders, count(DISTINCT order_date) AS distinct_order_days,
+             coalesce(min(order_date), '{VALIDATION_END}') AS first_order_date,
+             coalesce(max(order_date), '{VALIDATION_END}') AS last_order_date FROM ds_orders) os,
+     (SELECT count(*) AS order_items,
+             coalesce(sum(CAST(CAST(round(i.unit_price_at_sale * 100) AS BIGINT) * i.quantity AS HUGEINT)), 0) AS rev_cents,
+             count(*) FILTER (WHERE p.unit_price IS NULL OR p.unit_price <> i.unit_price_at_sale) AS discounted
+      FROM ds_items i LEFT JOIN ds_products p ON p.id = i.product_id) its,
+     (SELECT count(DISTINCT order_id) AS paying FROM ds_items) pay,
+     (SELECT count(*) AS n FROM ds_orders o WHERE NOT EXISTS (SELECT 1 FROM ds_items i WHERE i.order_id = o.id)) wo,
+     (SELECT count(DISTINCT customer_id) AS n FROM ds_orders) cwo""", _DATASET))
+def q_dataset_statistics(spark, sf_dir):
+    return V.dataset_statistics(testdata.dataset(spark, sf_dir), VALIDATION_END)
+
+
+# --------------------------------------------------------------------------
+# Shape analytics (AGG-23/24, WIN-7)
+
+STATUS_AS_OF = "2001-08-01"
+
+
+@register("revenue_by_month", sql("""
+SELECT month, CAST(rev AS DOUBLE) AS revenue, rev = max(rev) OVER () AS is_peak, rev = min(rev) OVER () AS is_trough
+FROM (SELECT printf('%04d-%02d', (date_key // 100) // 100, (date_key // 100) % 100) AS month, sum(revenue) AS rev
+      FROM fact_sales GROUP BY 1) t"""))
+def q_revenue_by_month(spark, sf_dir):
+    return SH.revenue_by_month(warehouse(spark, sf_dir))
+
+
+@register("category_share", sql("""
+SELECT category, CAST(rev AS DOUBLE) AS revenue,
+       CASE WHEN total > 0 THEN CAST(rev AS DOUBLE) / CAST(total AS DOUBLE) ELSE 0.0 END AS share
+FROM (SELECT p.category, sum(f.revenue) AS rev, sum(sum(f.revenue)) OVER () AS total
+      FROM fact_sales f JOIN dim_product p ON p.product_key = f.product_key GROUP BY p.category) t"""))
+def q_category_share(spark, sf_dir):
+    return SH.category_share(warehouse(spark, sf_dir))
+
+
+@register("lines_per_order", sql("""
+SELECT CAST(lines AS BIGINT) AS lines, CAST(count(*) AS BIGINT) AS orders
+FROM (SELECT o.id, count(i.id) AS lines FROM stg_orders o LEFT JOIN stg_order_items i ON i.order_id = o.id GROUP BY o.id) t
+GROUP BY lines"""))
+def q_lines_per_order(spark, sf_dir):
+    r = _raw(spark, sf_dir)
+    return SH.lines_per_order(r["orders"], r["order_items"])
+
+
+@register("status_by_age", sql(f"""
+SELECT age_bucket, status, CAST(n AS BIGINT) AS orders,
+       CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY age_bucket) AS DOUBLE) AS share
+FROM (SELECT CASE WHEN date_diff('day', order_date, DATE '{STATUS_AS_OF}') <= 21 THEN 'recent' ELSE 'settled' END AS age_bucket,
+             status, count(*) AS n FROM stg_orders GROUP BY 1, 2) t"""))
+def q_status_by_age(spark, sf_dir):
+    return SH.status_by_age(_raw(spark, sf_dir)["orders"], STATUS_AS_OF)
+
+
+@register("loyal_share", sql("""
+SELECT CAST(count(*) AS BIGINT) AS customers_with_orders, CAST(max(k) AS BIGINT) AS top_customers,
+       CAST(sum(n) FILTER (WHERE rk <= k) AS BIGINT) AS top_orders, CAST(sum(n) AS BIGINT) AS orders,
+       CAST(sum(n) FILTER (WHERE rk <= k) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS share
+FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS rk, floor(count(*) OVER () * 0.2 + 0.5) AS k
+      FROM (SELECT customer_id, count(*) AS n FROM stg_orders GROUP BY customer_id) pc) r"""))
+def q_loyal_share(spark, sf_dir):
+    return SH.loyal_share(_raw(spark, sf_dir)["orders"])
+
+
+@register("category_revenue_positive", sql("""
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM (SELECT c.city FROM fact_sales f JOIN dim_customer c ON c.customer_key = f.customer_key GROUP BY c.city HAVING sum(f.revenue) > 0) a) AS cities_with_revenue,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT p.category FROM fact_sales f JOIN dim_product p ON p.product_key = f.product_key GROUP BY p.category HAVING sum(f.revenue) > 0) b) AS categories_with_revenue"""))
+def q_category_revenue_positive(spark, sf_dir):
+    return SH.category_revenue_positive(warehouse(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Intake (§2.13): the source orders re-proposed as an intake batch
+
+def proposals(spark, sf_dir):
+    """Headers and lines of a proposed batch derived from the source orders:
+    cancelled orders come without date and status (defaults apply); every
+    second line omits its price (catalogue price applies)."""
+    from pyspark.sql import Window
+    r = _raw(spark, sf_dir)
+    o = r["orders"]
+    cancelled = F.col("status") == "cancelled"
+    headers = o.select(F.col("id").alias("order_ref"), "customer_id",
+                       F.when(~cancelled, F.col("order_date")).alias("order_date"),
+                       F.when(~cancelled, F.col("status")).alias("status"))
+    pos = F.row_number().over(Window.partitionBy("order_id").orderBy("id")) - 1
+    lines = r["order_items"].select(
+        F.col("order_id").alias("order_ref"), pos.cast("int").alias("position"), "product_id",
+        "quantity", "unit_price_at_sale").withColumn(
+        "unit_price_at_sale", F.when(F.col("position") % 2 == 0, F.col("unit_price_at_sale")))
+    return headers, lines, r
+
+
+_PROPOSALS = """
+headers AS (SELECT id AS order_ref, customer_id, CASE WHEN status <> 'cancelled' THEN order_date END AS order_date,
+                   CASE WHEN status <> 'cancelled' THEN status END AS status FROM stg_orders),
+lines0 AS (SELECT order_id AS order_ref, CAST(row_number() OVER (PARTITION BY order_id ORDER BY id) - 1 AS INTEGER) AS position,
+                  product_id, quantity, unit_price_at_sale FROM stg_order_items),
+lines AS (SELECT order_ref, position, product_id, quantity,
+                 CASE WHEN position % 2 = 0 THEN unit_price_at_sale END AS unit_price_at_sale FROM lines0)"""
+
+_MERGED = """
+mlines AS (SELECT order_ref, product_id, min(position) AS position, CAST(least(sum(quantity), 1000) AS INTEGER) AS quantity,
+                  arg_min(unit_price_at_sale, position) FILTER (WHERE unit_price_at_sale IS NOT NULL) AS unit_price_at_sale
+           FROM lines GROUP BY order_ref, product_id)"""
+
+
+def _intake_sql(lines_table: str) -> str:
+    return f"""
+SELECT h.order_ref, h.customer_id, strftime(coalesce(h.order_date, DATE '{AS_OF}'), '%Y-%m-%d') AS order_date,
+       coalesce(h.status, 'pending') AS status, CAST(coalesce(a.line_count, 0) AS BIGINT) AS line_count,
+       CAST(coalesce(a.units, 0) AS BIGINT) AS units,
+       CASE WHEN a.missing = 0 THEN CAST(a.total AS DOUBLE) END AS total,
+       concat_ws(',', CASE WHEN c.id IS NULL THEN 'customer_not_found' END,
+                      CASE WHEN coalesce(a.missing, 0) > 0 THEN 'product_not_found' END,
+                      CASE WHEN coalesce(a.inactive, 0) > 0 THEN 'product_inactive' END,
+                      CASE WHEN coalesce(h.order_date, DATE '{AS_OF}') > DATE '{AS_OF}' THEN 'future_date' END,
+                      CASE WHEN coalesce(h.status, 'pending') NOT IN ('pending','confirmed','shipped','delivered','cancelled') THEN 'unknown_status' END,
+                      CASE WHEN coalesce(a.line_count, 0) NOT BETWEEN 1 AND 50 THEN 'line_count' END,
+                      CASE WHEN coalesce(a.bad_qty, 0) > 0 THEN 'quantity_out_of_range' END,
+                      CASE WHEN r.first_repeat IS NOT NULL THEN 'repeated_product' END) AS issues,
+       CAST(r.first_repeat AS INTEGER) AS first_repeat, CAST(r.repeat_of AS INTEGER) AS repeat_of
+FROM headers h
+LEFT JOIN stg_customers c ON c.id = h.customer_id
+LEFT JOIN (SELECT l.order_ref, count(*) AS line_count, count(*) FILTER (WHERE p.id IS NULL) AS missing,
+                  count(*) FILTER (WHERE p.active = FALSE) AS inactive,
+                  count(*) FILTER (WHERE l.quantity IS NULL OR l.quantity NOT BETWEEN 1 AND 1000) AS bad_qty,
+                  sum(l.quantity) AS units, sum(l.quantity * coalesce(l.unit_price_at_sale, p.unit_price)) AS total
+           FROM {lines_table} l LEFT JOIN stg_products p ON p.id = l.product_id GROUP BY l.order_ref) a ON a.order_ref = h.order_ref
+LEFT JOIN (SELECT l.order_ref, min(l.position) AS first_repeat, arg_min(f.first_pos, l.position) AS repeat_of
+           FROM {lines_table} l JOIN (SELECT order_ref, product_id, min(position) AS first_pos FROM {lines_table} GROUP BY 1, 2) f
+             ON f.order_ref = l.order_ref AND f.product_id = l.product_id
+           WHERE l.position > f.first_pos GROUP BY l.order_ref) r ON r.order_ref = h.order_ref"""
+
+
+def _intake_out(df):
+    return df.withColumn("accepted", F.col("issues") == "")
+
+
+@register("order_intake", sql(f"SELECT *, issues = '' AS accepted FROM ({_intake_sql('lines')}) t", _PROPOSALS))
+def q_order_intake(spark, sf_dir):
+    headers, lines, r = proposals(spark, sf_dir)
+    return N.order_intake(headers, lines, r["customers"], r["products"], AS_OF)
+
+
+@register("order_intake_merged", sql(f"SELECT *, issues = '' AS accepted FROM ({_intake_sql('mlines')}) t",
+                                     _PROPOSALS, _MERGED))
+def q_order_intake_merged(spark, sf_dir):
+    headers, lines, r = proposals(spark, sf_dir)
+    return N.order_intake(headers, lines, r["customers"], r["products"], AS_OF, on_repeat="merge")
+
+
+@register("catalogue_intake", sql("""
+SELECT ref, name, email, city, state,
+       concat_ws(',', CASE WHEN name IS NULL OR length(name) NOT BETWEEN 1 AND 120 THEN 'invalid_name' END,
+                      CASE WHEN email IS NULL OR NOT regexp_matches(email, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') OR length(email) > 200 THEN 'invalid_email' END,
+                      CASE WHEN city IS NULL OR length(city) NOT BETWEEN 1 AND 80 THEN 'invalid_city' END,
+                      CASE WHEN state IS NULL OR length(state) NOT BETWEEN 1 AND 80 THEN 'invalid_state' END,
+                      CASE WHEN taken OR cnt > 1 THEN 'email_conflict' END) AS issues
+FROM (SELECT p.*, EXISTS (SELECT 1 FROM stg_customers c WHERE lower(c.email) = p.email) AS taken,
+             count(*) OVER (PARTITION BY p.email) AS cnt
+      FROM (SELECT CAST(s.s_suppkey AS VARCHAR) AS ref, trim(' ' || s.s_name || ' ') AS name,
+                   lower(trim('C' || CAST(s.s_suppkey * 37 AS VARCHAR) || '@Example.com')) AS email,
+                   trim(n.n_name) AS city, trim(r.r_name) AS state
+            FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey) p) q"""))
+def q_catalogue_intake(spark, sf_dir):
+    """Suppliers proposed as new customers (e-mail derived from the supplier
+    key, so some collide with existing customers)."""
+    s = testdata.read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
+    n = testdata.read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = testdata.read(spark, sf_dir, "region", "r_regionkey", "r_name")
+    geo = n.join(r, n.n_regionkey == r.r_regionkey)
+    proposed = s.join(geo, s.s_nationkey == geo.n_nationkey).select(
+        F.col("s_suppkey").cast("string").alias("ref"),
+        F.concat(F.lit(" "), F.col("s_name"), F.lit(" ")).alias("name"),
+        F.concat(F.lit("C"), (F.col("s_suppkey") * 37).cast("string"), F.lit("@Example.com"))
+        .alias("email"),
+        F.col("n_name").alias("city"), F.col("r_name").alias("state"))
+    return N.customer_intake(proposed, _raw(spark, sf_dir)["customers"]).drop("accepted")
+
+
+# --------------------------------------------------------------------------
+# Redaction (§2.10) over whole document texts
+
+def _redact_sql(expr: str) -> str:
+    out = f"regexp_replace(replace({expr}, chr(10), ' '), '^\\s+|\\s+$', '', 'g')"
+    for pat in AU.CREDENTIAL_PATTERNS:
+        out = f"regexp_replace({out}, '{pat}', '[redacted]', 'g')"
+    return out
+
+
+@register("redact_errors", sql(f"""
+SELECT doc_id, red AS redacted,
+       CAST((length(red) - length(replace(red, '[redacted]', ''))) // 10 AS BIGINT) AS redactions,
+       CAST(length(red) AS BIGINT) AS redacted_length,
+       CASE WHEN length(red) > 500 THEN substring(red, 1, 499) || '…' ELSE red END AS summary
+FROM (SELECT doc_id, {_redact_sql('text')} AS red FROM documents) t"""))
+def q_redact_errors(spark, sf_dir):
+    docs = testdata.read(spark, sf_dir, "documents", "doc_id", "text")
+    return AU.error_summaries(docs, "doc_id", "text")

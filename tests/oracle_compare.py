@@ -44,9 +44,13 @@ def _norm(v):
     return str(v)
 
 
+def _key(row):
+    return tuple((v is None, "" if v is None else v) for v in row)
+
+
 def rows_of_spark(df):
     cols = sorted(df.columns)
-    return cols, sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
+    return cols, sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=_key)
 
 
 def rows_of_duck(con, q):
@@ -55,7 +59,7 @@ def rows_of_duck(con, q):
     data = cur.fetchall()
     cols = sorted(names)
     idx = [names.index(c) for c in cols]
-    return cols, sorted(tuple(_norm(r[i]) for i in idx) for r in data)
+    return cols, sorted((tuple(_norm(r[i]) for i in idx) for r in data), key=_key)
 
 
 def compare(spark, sf_dir: str, names: list[str] | None = None) -> dict:
