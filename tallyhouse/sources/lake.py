@@ -163,7 +163,10 @@ def verify_run(spark: SparkSession, prefix: str) -> None:
     bad = (listed.join(actual, "path", "full_outer")
            .where(F.col("expected").isNull() | F.col("sha256").isNull()
                   | (F.col("expected") != F.col("sha256"))))
-    names = [r["path"] for r in bad.select("path").limit(20).collect()]
+    try:
+        names = [r["path"] for r in bad.select("path").limit(20).collect()]
+    except Exception as e:  # a file that cannot even be read back is corrupt too
+        raise LakeError(f"lake files under {prefix} cannot be read back: {str(e)[:300]}") from e
     if names:
         raise LakeError(f"lake files fail verification: {names}")
 
