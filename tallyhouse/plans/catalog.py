@@ -97,7 +97,35 @@ def q_excluded_items(spark, sf_dir):
 # --------------------------------------------------------------------------
 # Quality gate (§2.11)
 
-@register("quality_report", None)
+def _dupq(col: str, table: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT {col} FROM {table} GROUP BY {col} HAVING count(*) > 1) x)"
+
+
+_GATE_SQL = sql(f"""
+SELECT "check", affected = 0 AS passed, CAST(affected AS BIGINT) AS affected FROM (
+SELECT 'fact_sales_not_empty' AS "check", CASE WHEN (SELECT count(*) FROM fact_sales) = 0 THEN 1 ELSE 0 END AS affected
+UNION ALL SELECT 'fact_joins_customer', (SELECT count(*) FROM fact_sales f WHERE NOT EXISTS (SELECT 1 FROM dim_customer d WHERE d.customer_key = f.customer_key))
+UNION ALL SELECT 'fact_joins_product', (SELECT count(*) FROM fact_sales f WHERE NOT EXISTS (SELECT 1 FROM dim_product d WHERE d.product_key = f.product_key))
+UNION ALL SELECT 'fact_joins_date', (SELECT count(*) FROM fact_sales f WHERE NOT EXISTS (SELECT 1 FROM dim_date d WHERE d.date_key = f.date_key))
+UNION ALL SELECT 'no_null_keys', (SELECT count(*) FROM fact_sales WHERE sale_key IS NULL OR order_id IS NULL OR order_item_id IS NULL OR customer_key IS NULL OR product_key IS NULL OR date_key IS NULL OR quantity IS NULL OR unit_price IS NULL OR revenue IS NULL)
+UNION ALL SELECT 'unique_customer_id', {_dupq('customer_id', 'dim_customer')}
+UNION ALL SELECT 'unique_product_sku', {_dupq('sku', 'dim_product')}
+UNION ALL SELECT 'unique_order_item', {_dupq('order_item_id', 'fact_sales')}
+UNION ALL SELECT 'revenue_matches_quantity_times_price', (SELECT count(*) FROM fact_sales WHERE revenue <> CAST(quantity * unit_price AS DECIMAL(14,2)))
+UNION ALL SELECT 'positive_quantity', (SELECT count(*) FROM fact_sales WHERE quantity <= 0)
+UNION ALL SELECT 'non_negative_price', (SELECT count(*) FROM fact_sales WHERE unit_price < 0 OR revenue < 0)
+UNION ALL SELECT 'fact_count_matches_source', abs((SELECT count(*) FROM fact_sales) - (SELECT count(*) FROM stg_order_items i JOIN stg_orders o ON o.id = i.order_id WHERE o.status NOT IN ('cancelled')))
+UNION ALL SELECT 'date_dimension_gap_free', (SELECT CASE WHEN count(*) = 0 THEN 0 ELSE abs(count(*) - (date_diff('day', min(full_date), max(full_date)) + 1)) END FROM dim_date)
+UNION ALL SELECT 'all_sold_days_present', (SELECT count(*) FROM (SELECT DISTINCT o.order_date FROM stg_orders o WHERE o.status NOT IN ('cancelled') AND EXISTS (SELECT 1 FROM stg_order_items i WHERE i.order_id = o.id)) s WHERE s.order_date NOT IN (SELECT full_date FROM dim_date))
+UNION ALL SELECT 'unique_customer_key', {_dupq('customer_key', 'dim_customer')}
+UNION ALL SELECT 'unique_product_key', {_dupq('product_key', 'dim_product')}
+UNION ALL SELECT 'unique_product_id', {_dupq('product_id', 'dim_product')}
+UNION ALL SELECT 'unique_date_key', {_dupq('date_key', 'dim_date')}
+UNION ALL SELECT 'unique_full_date', {_dupq('full_date', 'dim_date')}
+UNION ALL SELECT 'unique_sale_key', {_dupq('sale_key', 'fact_sales')}) t""")
+
+
+@register("quality_report", _GATE_SQL)
 def q_quality_report(spark, sf_dir):
     wh = warehouse(spark, sf_dir)
     raw = testdata.snapshot(spark, sf_dir)
