@@ -98,17 +98,23 @@ def revenue_summary(wh: Warehouse, from_: str | None = None, to: str | None = No
 
     A global aggregate returns one row even for an empty window (zeros).
     """
-    pc = per_customer(facts(wh, from_, to))
+    pc = facts(wh, from_, to).groupBy("customer_key").agg(
+        F.sum("revenue").alias("revenue"), F.count_distinct("order_id").alias("orders"),
+        F.sum("quantity").alias("units"), F.min("date_key").alias("lo"),
+        F.max("date_key").alias("hi"))
     totals = pc.agg(F.sum("revenue").alias("rev"), F.sum("orders").alias("orders"),
-                    F.count(F.lit(1)).alias("customers"), F.sum("units").alias("units"))
-    kpi = totals.select(
+                    F.count(F.lit(1)).alias("customers"), F.sum("units").alias("units"),
+                    F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    # one scan: the covered range rides along in the same aggregate
+    return totals.select(
         money(F.col("rev")).alias("total_revenue"),
         count_out(F.col("orders")).alias("order_count"),
         count_out(F.col("customers")).alias("customer_count"),
         count_out(F.col("units")).alias("units_sold"),
         avg_money(F.coalesce(F.col("rev"), F.lit(0)),
-                  F.coalesce(F.col("orders"), F.lit(0))).alias("average_order_value"))
-    return kpi.crossJoin(range_meta(wh, from_, to))  # 1 row × 1 row
+                  F.coalesce(F.col("orders"), F.lit(0))).alias("average_order_value"),
+        F.coalesce(_key_to_text(F.col("lo")), F.lit(from_).cast("string")).alias("range_from"),
+        F.coalesce(_key_to_text(F.col("hi")), F.lit(to).cast("string")).alias("range_to"))
 
 
 def sales_by_category(wh: Warehouse, from_: str | None = None, to: str | None = None) -> DataFrame:

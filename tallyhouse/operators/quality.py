@@ -68,9 +68,29 @@ def quality_report(dim_customer: DataFrame, dim_product: DataFrame, dim_date: Da
                            "id", "left_semi")
                  .select(F.col("order_date").alias("full_date")).distinct())
 
+    # The six checks that only need the fact (and the source count) come from
+    # one scan: one row, exploded into six check rows.
+    def _struct(name: str, affected: Column, detail: Column) -> Column:
+        return F.struct(*_row(name, affected, detail))
+
+    fact_rows = fact_scan.crossJoin(expected).select(F.explode(F.array(
+        _struct("fact_sales_not_empty", F.when(F.col("facts") == 0, 1).otherwise(0),
+                F.lit("fact_sales has no rows; the warehouse would be useless")),
+        _struct("no_null_keys", F.col("null_keys"),
+                F.lit("fact rows contain a null key or measure")),
+        _struct("revenue_matches_quantity_times_price", F.col("bad_revenue"),
+                F.lit("revenue does not equal quantity * unit_price")),
+        _struct("positive_quantity", F.col("bad_qty"),
+                F.lit("fact rows have a non-positive quantity")),
+        _struct("non_negative_price", F.col("bad_price"),
+                F.lit("fact rows have a negative price or revenue")),
+        _struct("fact_count_matches_source", F.abs(F.col("facts") - F.col("expected")),
+                F.format_string("fact_sales has %d rows, non-cancelled source items number %d",
+                                F.col("facts"), F.col("expected"))),
+    )).alias("c")).select("c.*")
+
     checks = [
-        fact_scan.select(*_row("fact_sales_not_empty", F.when(F.col("facts") == 0, 1).otherwise(0),
-                               F.lit("fact_sales has no rows; the warehouse would be useless"))),
+        fact_rows,
         _count_check(f.select("customer_key").join(dim_customer.select("customer_key"),
                                                    "customer_key", "left_anti"),
                      "fact_joins_customer", "fact rows reference a missing dim_customer"),
@@ -80,23 +100,11 @@ def quality_report(dim_customer: DataFrame, dim_product: DataFrame, dim_date: Da
         _count_check(f.select("date_key").join(F.broadcast(dim_date.select("date_key")),
                                                "date_key", "left_anti"),
                      "fact_joins_date", "fact rows reference a missing dim_date"),
-        fact_scan.select(*_row("no_null_keys", F.col("null_keys"),
-                               F.lit("fact rows contain a null key or measure"))),
         _dup_check(dim_customer, "customer_id", "unique_customer_id",
                    "dim_customer repeats a customer_id"),
         _dup_check(dim_product, "sku", "unique_product_sku", "dim_product repeats a sku"),
         _dup_check(f, "order_item_id", "unique_order_item",
                    "fact_sales contains the same order item twice"),
-        fact_scan.select(*_row("revenue_matches_quantity_times_price", F.col("bad_revenue"),
-                               F.lit("revenue does not equal quantity * unit_price"))),
-        fact_scan.select(*_row("positive_quantity", F.col("bad_qty"),
-                               F.lit("fact rows have a non-positive quantity"))),
-        fact_scan.select(*_row("non_negative_price", F.col("bad_price"),
-                               F.lit("fact rows have a negative price or revenue"))),
-        fact_scan.crossJoin(expected).select(*_row(
-            "fact_count_matches_source", F.abs(F.col("facts") - F.col("expected")),
-            F.format_string("fact_sales has %d rows, non-cancelled source items number %d",
-                            F.col("facts"), F.col("expected")))),
         span.select(*_row(
             "date_dimension_gap_free",
             F.when(F.col("rows") == 0, 0).otherwise(F.abs(F.col("rows") - F.col("days"))),
