@@ -1,0 +1,194 @@
+"""Synthetic sales data shaped like a given catalogue.
+
+Counter-based: every random draw is ``xxhash64(row id, seed, purpose)``
+mapped to [0, 1), so a row's values depend only on its id — never on
+partitioning, task order or retries — and generation is ``spark.range``
+spread over all executors.
+
+The vocabulary is derived from the given tables instead of fixed assets:
+locations (city, state) weighted by how many source customers live there,
+categories weighted by how many source parts they hold, with each category's
+price band taken from the source prices. Volumes default to the source table
+sizes. Shape, as specified:
+
+* a loyal fifth of customers places ``loyal_share`` (55 %) of the orders;
+* 8 % of products are retired and never sold;
+* prices are log-uniform inside the band, biased low;
+* 35 % of lines sell at a discount in [0.8, 1.0] of the catalogue price;
+* orders older than 21 days are settled (delivered / cancelled), recent ones
+  are still moving (pending / confirmed / shipped);
+* an order has 1–5 distinct products.
+
+Weighted picks use the cumulative weights as one small array (bounded by the
+vocabulary size) attached by a one-row cross join; the index is the number of
+thresholds at or below the draw.
+"""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..schemas import RAW, conform
+
+TWO63 = 9.223372036854775807e18
+RETIRED_SHARE = 0.08
+DISCOUNT_SHARE = 0.35
+RECENT_DAYS = 21
+BASKET = (1, 2, 3, 4, 5)
+BASKET_WEIGHTS = (0.35, 0.30, 0.18, 0.11, 0.06)
+
+
+def uniform(seed: int, purpose: str, *cols) -> Column:
+    """Deterministic uniform in [0, 1) from the row's id columns."""
+    h = F.xxhash64(*cols, F.lit(seed), F.lit(purpose))
+    return (h.bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).cast("double") / F.lit(TWO63))
+
+
+def uuid_text(seed: int, purpose: str, *cols) -> Column:
+    """UUID-v4-shaped text from two hashes (version 4, variant 8–b)."""
+    a = F.lpad(F.lower(F.hex(F.xxhash64(*cols, F.lit(seed), F.lit(purpose + ":a")))), 16, "0")
+    b = F.lpad(F.lower(F.hex(F.xxhash64(*cols, F.lit(seed), F.lit(purpose + ":b")))), 16, "0")
+    v_index = (F.conv(F.substring(b, 1, 1), 16, 10).cast("int") % 4) + 1
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), v_index)
+    return F.concat(F.substring(a, 1, 8), F.lit("-"), F.substring(a, 9, 4), F.lit("-4"),
+                    F.substring(a, 14, 3), F.lit("-"), variant, F.substring(b, 2, 3), F.lit("-"),
+                    F.substring(b, 5, 12))
+
+
+def _weighted_vocab(df: DataFrame, value_cols: list[str], weight_col: str) -> DataFrame:
+    """One row: values array and cumulative (normalised) weights, ordered by value."""
+    items = F.array_sort(F.collect_list(F.struct(*value_cols, F.col(weight_col).alias("_w"))))
+    one = df.agg(items.alias("items"))
+    total = F.aggregate(F.col("items"), F.lit(0.0), lambda acc, x: acc + x["_w"])
+    cum = F.transform(F.col("items"), lambda x, i: F.aggregate(
+        F.slice(F.col("items"), 1, i + 1), F.lit(0.0), lambda acc, y: acc + y["_w"]) / total)
+    return one.select("items", cum.alias("cum"))
+
+
+def _pick(u: Column, cum: Column) -> Column:
+    """0-based index of the weighted pick for draw ``u``."""
+    return F.least(F.size(F.filter(cum, lambda c: c <= u)), F.size(cum) - 1)
+
+
+def vocabulary(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from ..sources.testdata import read
+    c = read(spark, sf_dir, "customer", "c_nationkey")
+    n = read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = read(spark, sf_dir, "region", "r_regionkey", "r_name")
+    locations = (c.groupBy("c_nationkey").agg(F.count(F.lit(1)).cast("double").alias("w"))
+                 .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+                 .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+                 .select(F.col("n_name").alias("city"), F.col("r_name").alias("state"), "w"))
+    p = read(spark, sf_dir, "part", "p_type", "p_retailprice")
+    categories = p.groupBy("p_type").agg(
+        F.count(F.lit(1)).cast("double").alias("w"),
+        F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi")).select(
+        F.col("p_type").alias("category"), "lo", "hi", "w")
+    return {"locations": _weighted_vocab(locations, ["city", "state"], "w"),
+            "categories": _weighted_vocab(categories, ["category", "lo", "hi"], "w")}
+
+
+def generate(spark: SparkSession, vocab: dict[str, DataFrame], customers: int, products: int,
+             orders: int, end_date: str, months: int = 12, seed: int = 20260818,
+             loyal_share: float = 0.55) -> dict[str, DataFrame]:
+    """The four tables, lazily. Volumes are exact; values are seeded."""
+    end = _dt.date.fromisoformat(end_date)
+    start = (end.replace(day=1) - _dt.timedelta(days=1)).replace(day=1)
+    for _ in range(months - 1):
+        start = (start - _dt.timedelta(days=1)).replace(day=1)
+    span_days = (end - start).days + 1
+    created = F.lit(_dt.datetime.combine(start, _dt.time())).cast("timestamp_ntz")
+
+    loc = vocab["locations"]
+    cust = spark.range(customers).crossJoin(loc).select(
+        "id", F.col("items")[_pick(uniform(seed, "city", "id"), F.col("cum"))].alias("l"))
+    customers_df = conform(cust.select(
+        uuid_text(seed, "customer", "id").alias("id"),
+        F.format_string("Customer %d", F.col("id") + 1).alias("name"),
+        F.format_string("customer%d@example.com", F.col("id") + 1).alias("email"),
+        F.col("l.city").alias("city"), F.col("l.state").alias("state"),
+        created.alias("created_at")), RAW["customers"])
+
+    cat = vocab["categories"]
+    prod = spark.range(products).crossJoin(cat).select(
+        "id", F.col("items")[_pick(uniform(seed, "category", "id"), F.col("cum"))].alias("c"))
+    lo = F.log(F.greatest(F.col("c.lo"), F.lit(0.01)))
+    hi = F.log(F.greatest(F.col("c.hi"), F.col("c.lo"), F.lit(0.01)))
+    price = F.exp(lo + F.pow(uniform(seed, "price", "id"), 1.5) * (hi - lo))
+    products_df = prod.select(
+        "id",
+        uuid_text(seed, "product", "id").alias("pid"),
+        F.format_string("%s-%05d", F.upper(F.substring(F.regexp_replace("c.category", "[^A-Za-z]", ""), 1, 4)),
+                        F.col("id") + 1).alias("sku"),
+        F.format_string("%s item %d", F.col("c.category"), F.col("id") + 1).alias("name"),
+        F.col("c.category").alias("category"),
+        F.round(price, 2).cast("decimal(12,2)").alias("unit_price"),
+        (uniform(seed, "retired", "id") >= RETIRED_SHARE).alias("active"))
+    products_out = conform(products_df.select(F.col("pid").alias("id"), "sku", "name", "category",
+                                              "unit_price", "active", created.alias("created_at")),
+                           RAW["products"])
+
+    # Active products numbered 0..k-1 for sales (ranked on the generation id).
+    from ..functions.keys import ranked_key
+    active = ranked_key(products_df.where("active").select("id", "pid", "unit_price"),
+                        ["id"], "slot").withColumn("slot", F.col("slot") - 1)
+    n_active = active.agg(F.count(F.lit(1)).alias("n_active"))  # one row
+
+    loyal = max(int(customers * 0.2 + 0.5), 1)
+    u_loyal = uniform(seed, "loyal", "id")
+    u_who = uniform(seed, "who", "id")
+    who = F.when((u_loyal < loyal_share) | F.lit(customers == loyal),
+                 F.floor(u_who * loyal)).otherwise(
+        F.lit(loyal) + F.floor(u_who * max(customers - loyal, 1))).cast("long")
+    day = F.date_add(F.lit(start), F.floor(uniform(seed, "day", "id") * span_days).cast("int"))
+    o = spark.range(orders).select("id", who.alias("cust_no"), day.alias("order_date"))
+    age = F.datediff(F.lit(end), F.col("order_date"))
+    u_s = uniform(seed, "status", "id")
+    status = (F.when(age > RECENT_DAYS, F.when(u_s < 0.9, "delivered").otherwise("cancelled"))
+              .otherwise(F.when(u_s < 0.34, "pending").when(u_s < 0.67, "confirmed")
+                         .otherwise("shipped")))
+    orders_df = o.select(
+        uuid_text(seed, "order", "id").alias("oid"), "id",
+        uuid_text(seed, "customer", "cust_no").alias("customer_id"),
+        status.alias("status"), "order_date",
+        F.col("order_date").cast("timestamp_ntz").alias("created_at"))
+    orders_out = conform(orders_df.select(F.col("oid").alias("id"), "customer_id", "status",
+                                          "order_date", "created_at"), RAW["orders"])
+
+    basket_cum = F.array(*[F.lit(sum(BASKET_WEIGHTS[:i + 1])) for i in range(len(BASKET))])
+    lines_per = F.lit(1) + _pick(uniform(seed, "basket", "id"), basket_cum)
+    lines = (o.select("id", lines_per.alias("k")).crossJoin(n_active)
+             .select("id", "n_active",
+                     F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.col("n_active")) - 1))
+                     .alias("j")))
+    base = F.floor(uniform(seed, "product", "id") * F.col("n_active")).cast("long")
+    lines = lines.select("id", "j", ((base + F.col("j")) % F.col("n_active")).alias("slot"))
+    sold = lines.join(active.select("slot", "pid", "unit_price"), "slot")
+    u_q = uniform(seed, "qty", "id", "j")
+    qty = F.when(u_q < 0.6, 1).when(u_q < 0.9, 2).otherwise(3)
+    discounted = uniform(seed, "discount", "id", "j") < DISCOUNT_SHARE
+    factor = 0.8 + 0.2 * uniform(seed, "factor", "id", "j")
+    sale_price = F.when(discounted, F.round(F.col("unit_price") * factor, 2)).otherwise(
+        F.col("unit_price")).cast("decimal(12,2)")
+    items_out = conform(sold.select(
+        uuid_text(seed, "item", "id", "j").alias("id"),
+        uuid_text(seed, "order", "id").alias("order_id"),
+        F.col("pid").alias("product_id"), qty.alias("quantity"),
+        sale_price.alias("unit_price_at_sale")), RAW["order_items"])
+    return {"customers": customers_df, "products": products_out, "orders": orders_out,
+            "order_items": items_out}
+
+
+def generate_like(spark: SparkSession, sf_dir: str, end_date: str = "2026-08-18",
+                  seed: int = 20260818) -> dict[str, DataFrame]:
+    """A synthetic dataset with the given tables' volumes and vocabulary."""
+    from ..sources.testdata import read
+    counts = (read(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("c"))
+              .crossJoin(read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("p")))
+              .crossJoin(read(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("o")))
+              .first())
+    return generate(spark, vocabulary(spark, sf_dir), int(counts.c), int(counts.p),
+                    int(counts.o), end_date, seed=seed)

@@ -821,3 +821,22 @@ FROM (SELECT doc_id, {_redact_sql('text')} AS red FROM documents) t"""))
 def q_redact_errors(spark, sf_dir):
     docs = testdata.read(spark, sf_dir, "documents", "doc_id", "text")
     return AU.error_summaries(docs, "doc_id", "text")
+
+
+# --------------------------------------------------------------------------
+# Synthetic generator (§2.14): volumes and vocabulary taken from the given
+# tables; rows-only (values are seeded draws, not derivable in SQL).
+
+GEN_END = "2026-08-18"
+
+
+@register("gen_orders", None)
+def q_gen_orders(spark, sf_dir):
+    from ..operators.generate import generate_like
+    return generate_like(spark, sf_dir, GEN_END)["orders"]
+
+
+@register("gen_order_items", None)
+def q_gen_order_items(spark, sf_dir):
+    from ..operators.generate import generate_like
+    return generate_like(spark, sf_dir, GEN_END)["order_items"]
