@@ -6,8 +6,11 @@ are range-partitioned on ``k`` and sorted inside each partition; the position
 inside the partition comes from ``monotonically_increasing_id`` (its low 33
 bits), the partition offsets from a per-partition count (one row per
 partition, so the broadcast is bounded by the partition count). The ranked
-frame is checkpointed to the shared checkpoint folder first, so both passes
-see the same partitioning even if executors are lost in between.
+rows — partition id and position included as columns — are first written as
+a Parquet table in the shared scratch folder (``spark.checkpoint.dir``) and
+read back: that cuts the lineage, so both passes see the same numbering even
+if executors are lost in between, and unlike an RDD checkpoint the table is
+columnar, compressed and carries size statistics for the planner.
 
 Keys must be unique for the result to be the global row number; the quality
 gate checks that.
@@ -15,6 +18,8 @@ gate checks that.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +30,15 @@ def ranked_key(df: DataFrame, order_cols: list[str], key_name: str,
                num_partitions: int | None = None) -> DataFrame:
     """Add ``key_name`` = 1-based rank of each row by ``order_cols`` (bigint)."""
     spark = df.sparkSession
-    scratch_root(spark)  # makes sure a reliable checkpoint folder exists
+    path = f"{scratch_root(spark)}/ranked/{key_name}-{uuid.uuid4().hex}"
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranked = (df.repartitionByRange(n, *order_cols)
               .sortWithinPartitions(*order_cols)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.col("_part").cast("long") * F.lit(1 << 33)))
-    ranked = ranked.checkpoint(eager=True)
+    ranked.write.mode("errorifexists").parquet(path)
+    ranked = spark.read.parquet(path)
     offsets = (ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_offset", F.coalesce(
                    F.sum("_n").over(Window.orderBy("_part").rowsBetween(

@@ -87,8 +87,12 @@ def build_fact_sales(orders: DataFrame, order_items: DataFrame, dim_customer: Da
 
 
 def build_star(raw: dict[str, DataFrame]) -> Star:
-    dim_customer = build_dim_customer(raw["customers"])
-    dim_product = build_dim_product(raw["products"])
+    # The two dimension key assignments are independent jobs; run them side by side.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        fc = pool.submit(build_dim_customer, raw["customers"])
+        fp = pool.submit(build_dim_product, raw["products"])
+        dim_customer, dim_product = fc.result(), fp.result()
     dim_date = build_dim_date(raw["orders"])
     fact = build_fact_sales(raw["orders"], raw["order_items"], dim_customer, dim_product, dim_date)
     return Star(dim_customer, dim_product, dim_date, fact)

@@ -15,6 +15,7 @@ writer caps file size with ``maxRecordsPerFile``.
 from __future__ import annotations
 
 import datetime as _dt
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,8 +119,11 @@ def upload_run(spark: SparkSession, raw: dict[str, DataFrame], lake_root: str,
     """Write the four tables, then the manifest (the commit marker)."""
     prefix = run_prefix(lake_root, run_date, run_id)
     assert_prefix_unused(spark, prefix)
-    for table in RAW_TABLES:
-        write_table(raw[table], f"{prefix}/{table}")
+    # The four tables are independent jobs: submit them together so small
+    # tables do not wait behind the line table (jobs share the cluster's slots).
+    with ThreadPoolExecutor(max_workers=len(RAW_TABLES)) as pool:
+        for f in [pool.submit(write_table, raw[t], f"{prefix}/{t}") for t in RAW_TABLES]:
+            f.result()
     files = manifest_files(spark, prefix)
     counts_df = files.groupBy("table").agg(F.sum("row_count").alias("n"))
     row_counts = {r["table"]: int(r["n"]) for r in counts_df.collect()}
