@@ -150,3 +150,23 @@ def warehouse_status(status: DataFrame) -> DataFrame:
 def active_runs(events: DataFrame) -> DataFrame:
     return run_state(events).agg(
         F.count_if(F.col("status").isin(*ACTIVE_RUN_STATUSES)).cast("long").alias("active_runs"))
+
+
+def append_events(events: DataFrame, path: str) -> None:
+    """Append audit events (the log is append-only)."""
+    events.write.mode("append").parquet(path)
+
+
+def release_stale_runs(events: DataFrame, as_of: _dt.datetime,
+                       older_than: _dt.timedelta) -> DataFrame:
+    """Failed events for runs still 'running' that started before
+    ``as_of - older_than`` — abandoned runs must not hold the active slot."""
+    cutoff = as_of - older_than
+    stale = run_state(events).where((F.col("status") == "running")
+                                    & (F.col("started_at") < F.lit(cutoff)))
+    return stale.select(
+        "run_id", F.lit(as_of).cast("timestamp").alias("event_ts"),
+        F.lit("failed").alias("status"),
+        F.lit(None).cast("map<string,bigint>").alias("row_counts"),
+        F.col("lake_prefix"),
+        F.lit("released: the run stopped reporting progress").alias("error_summary"))

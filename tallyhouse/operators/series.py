@@ -149,3 +149,8 @@ def kpi_delta(wh: Warehouse, days: int, today: str) -> DataFrame:
                       direction(ratio).alias("direction"),
                       F.lit(cur_from).alias("current_from"), F.lit(cur_to).alias("current_to"),
                       F.lit(prev_from).alias("previous_from"), F.lit(prev_to).alias("previous_to"))
+
+
+def series_table(series: DataFrame, order_col: str = "date", rows: int = 60) -> DataFrame:
+    """The first ``rows`` points of a series, for a tabular view of a chart."""
+    return series.orderBy(order_col).limit(rows)

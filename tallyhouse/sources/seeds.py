@@ -1,0 +1,152 @@
+"""Seed assets: the generator's vocabulary and generation profile (JSON).
+
+Read with declared schemas (no inference) as one-row frames, then checked by
+rules evaluated in Spark; ``load_*`` raises :class:`SeedConfigError` naming the
+first failing rule, like the reference's loader. Rules:
+
+vocabulary  at least 10 first and 10 last names, non-empty; at least one
+            location with non-empty city/state and positive weight; at least
+            one category with a 3–5 upper-case letter SKU prefix, a price
+            band of two positive numbers with low < high, and non-empty
+            modifier and noun lists
+profile     weight maps non-negative; 0 < loyalShare, repeatShare < 1;
+            0 ≤ discountChance ≤ 1; 0 < min/maxMultiplier ≤ 1 and
+            min ≤ max; positive integer recentWindowDays;
+            0 ≤ inactiveProductShare < 1
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .warehouse import path_exists
+
+
+class SeedConfigError(ValueError):
+    pass
+
+
+WEIGHTS = T.MapType(T.StringType(), T.DoubleType())
+
+VOCABULARY = T.StructType([
+    T.StructField("firstNames", T.ArrayType(T.StringType())),
+    T.StructField("lastNames", T.ArrayType(T.StringType())),
+    T.StructField("locations", T.ArrayType(T.StructType([
+        T.StructField("city", T.StringType()), T.StructField("state", T.StringType()),
+        T.StructField("weight", T.DoubleType())]))),
+    T.StructField("categories", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("skuPrefix", T.StringType()),
+        T.StructField("priceBand", T.ArrayType(T.DoubleType())),
+        T.StructField("modifiers", T.ArrayType(T.StringType())),
+        T.StructField("nouns", T.ArrayType(T.StringType()))]))),
+])
+
+PROFILE = T.StructType([
+    T.StructField("categoryDemand", WEIGHTS),
+    T.StructField("monthlySeasonality", WEIGHTS),
+    T.StructField("weekdayWeight", WEIGHTS),
+    T.StructField("itemsPerOrder", WEIGHTS),
+    T.StructField("quantityPerItem", WEIGHTS),
+    T.StructField("repeatCustomers", T.StructType([
+        T.StructField("loyalShare", T.DoubleType()), T.StructField("repeatShare", T.DoubleType())])),
+    T.StructField("salePriceVariance", T.StructType([
+        T.StructField("discountChance", T.DoubleType()),
+        T.StructField("minMultiplier", T.DoubleType()),
+        T.StructField("maxMultiplier", T.DoubleType())])),
+    T.StructField("statusWeights", T.StructType([
+        T.StructField("settled", WEIGHTS), T.StructField("recent", WEIGHTS),
+        T.StructField("recentWindowDays", T.DoubleType())])),
+    T.StructField("inactiveProductShare", T.DoubleType()),
+])
+
+
+def _names_ok(c: Column) -> Column:
+    return (F.size(c) >= 10) & F.forall(c, lambda x: F.length(x) >= 1)
+
+
+def _weights_ok(c: Column) -> Column:
+    return c.isNotNull() & F.forall(F.map_values(c), lambda w: w.isNotNull() & (w >= 0))
+
+
+def _between_open(c: Column, lo: float, hi: float) -> Column:
+    return c.isNotNull() & (c > lo) & (c < hi)
+
+
+def vocabulary_rules() -> list[tuple[str, Column]]:
+    return [
+        ("firstNames needs at least 10 non-empty names", _names_ok(F.col("firstNames"))),
+        ("lastNames needs at least 10 non-empty names", _names_ok(F.col("lastNames"))),
+        ("locations need a city, a state and a positive weight",
+         (F.size("locations") >= 1) & F.forall("locations", lambda l: (F.length(l["city"]) >= 1)
+                                               & (F.length(l["state"]) >= 1) & (l["weight"] > 0))),
+        ("categories need a 3-5 letter upper-case SKU prefix and non-empty word lists",
+         (F.size("categories") >= 1) & F.forall("categories", lambda c: (
+             F.length(c["name"]) >= 1) & c["skuPrefix"].rlike("^[A-Z]{3,5}$")
+             & (F.size(c["modifiers"]) >= 1) & (F.size(c["nouns"]) >= 1))),
+        ("every price band is two positive numbers, low below high",
+         F.forall("categories", lambda c: (F.size(c["priceBand"]) == 2)
+                  & (c["priceBand"][0] > 0) & (c["priceBand"][1] > c["priceBand"][0]))),
+    ]
+
+def profile_rules() -> list[tuple[str, Column]]:
+    return [
+        ("weight maps must be non-negative",
+         _weights_ok(F.col("categoryDemand")) & _weights_ok(F.col("monthlySeasonality"))
+         & _weights_ok(F.col("weekdayWeight")) & _weights_ok(F.col("itemsPerOrder"))
+         & _weights_ok(F.col("quantityPerItem")) & _weights_ok(F.col("statusWeights.settled"))
+         & _weights_ok(F.col("statusWeights.recent"))),
+        ("repeatCustomers shares must lie strictly between 0 and 1",
+         _between_open(F.col("repeatCustomers.loyalShare"), 0, 1)
+         & _between_open(F.col("repeatCustomers.repeatShare"), 0, 1)),
+        ("discountChance must lie in [0, 1]",
+         F.col("salePriceVariance.discountChance").between(0, 1)),
+        ("multipliers must lie in (0, 1]",
+         (F.col("salePriceVariance.minMultiplier") > 0) & (F.col("salePriceVariance.minMultiplier") <= 1)
+         & (F.col("salePriceVariance.maxMultiplier") > 0) & (F.col("salePriceVariance.maxMultiplier") <= 1)),
+        ("maxMultiplier is below minMultiplier",
+         F.col("salePriceVariance.maxMultiplier") >= F.col("salePriceVariance.minMultiplier")),
+        ("recentWindowDays must be a positive integer",
+         (F.col("statusWeights.recentWindowDays") >= 1)
+         & (F.col("statusWeights.recentWindowDays") == F.floor("statusWeights.recentWindowDays"))),
+        ("inactiveProductShare must lie in [0, 1)",
+         (F.col("inactiveProductShare") >= 0) & (F.col("inactiveProductShare") < 1)),
+    ]
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    if not path_exists(spark, path):
+        raise SeedConfigError(f"Could not read {path}: no such file")
+    return (spark.read.schema(schema).option("multiLine", True)
+            .option("mode", "FAILFAST").json(path))
+
+
+def rule_report(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """One row per rule: rule, passed (a null value counts as a failure)."""
+    return df.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("rule"), F.coalesce(cond, F.lit(False)).alias("passed"))
+        for name, cond in rules])).alias("r")).select("r.*")
+
+
+def _load(spark: SparkSession, path: str, schema, rules, label: str) -> DataFrame:
+    df = _read(spark, path, schema)
+    if df.count() != 1:
+        raise SeedConfigError(f"{label} is invalid: expected one JSON object")
+    bad = [r.rule for r in rule_report(df, rules).where(~F.col("passed")).collect()]
+    if bad:
+        raise SeedConfigError(f"{label} is invalid: {bad[0]}")
+    return df
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return _load(spark, path, VOCABULARY, vocabulary_rules(), "vocabulary.json")
+
+
+def load_profile(spark: SparkSession, path: str) -> DataFrame:
+    return _load(spark, path, PROFILE, profile_rules(), "generation-profile.json")
+
+
+def sorted_weights(c: Column) -> Column:
+    """A weight map as entries sorted by key (a stable order for cumulative picks)."""
+    return F.array_sort(F.map_entries(c))
