@@ -90,6 +90,7 @@ def vocabulary_rules() -> list[tuple[str, Column]]:
                   & (c["priceBand"][0] > 0) & (c["priceBand"][1] > c["priceBand"][0]))),
     ]
 
+
 def profile_rules() -> list[tuple[str, Column]]:
     return [
         ("weight maps must be non-negative",
