@@ -742,7 +742,7 @@ SELECT h.order_ref, h.customer_id, strftime(coalesce(h.order_date, DATE '{AS_OF}
                       CASE WHEN coalesce(a.line_count, 0) NOT BETWEEN 1 AND 50 THEN 'line_count' END,
                       CASE WHEN coalesce(a.bad_qty, 0) > 0 THEN 'quantity_out_of_range' END,
                       CASE WHEN r.first_repeat IS NOT NULL THEN 'repeated_product' END) AS issues,
-       CAST(r.first_repeat AS INTEGER) AS first_repeat, CAST(r.repeat_of AS INTEGER) AS repeat_of
+       CAST(r.first_repeat AS DOUBLE) AS first_repeat, CAST(r.repeat_of AS DOUBLE) AS repeat_of
 FROM headers h
 LEFT JOIN stg_customers c ON c.id = h.customer_id
 LEFT JOIN (SELECT l.order_ref, count(*) AS line_count, count(*) FILTER (WHERE p.id IS NULL) AS missing,
@@ -757,20 +757,25 @@ LEFT JOIN (SELECT l.order_ref, min(l.position) AS first_repeat, arg_min(f.first_
 
 
 def _intake_out(df):
-    return df.withColumn("accepted", F.col("issues") == "")
+    """Line positions are null for orders without a repeat; they leave as
+    double so both engines carry the null the same way (NaN), not as a
+    nullable integer that one side renders as float and the other as int."""
+    return (df.withColumn("first_repeat", F.col("first_repeat").cast("double"))
+            .withColumn("repeat_of", F.col("repeat_of").cast("double")))
 
 
 @register("order_intake", sql(f"SELECT *, issues = '' AS accepted FROM ({_intake_sql('lines')}) t", _PROPOSALS))
 def q_order_intake(spark, sf_dir):
     headers, lines, r = proposals(spark, sf_dir)
-    return N.order_intake(headers, lines, r["customers"], r["products"], AS_OF)
+    return _intake_out(N.order_intake(headers, lines, r["customers"], r["products"], AS_OF))
 
 
 @register("order_intake_merged", sql(f"SELECT *, issues = '' AS accepted FROM ({_intake_sql('mlines')}) t",
                                      _PROPOSALS, _MERGED))
 def q_order_intake_merged(spark, sf_dir):
     headers, lines, r = proposals(spark, sf_dir)
-    return N.order_intake(headers, lines, r["customers"], r["products"], AS_OF, on_repeat="merge")
+    return _intake_out(N.order_intake(headers, lines, r["customers"], r["products"], AS_OF,
+                                      on_repeat="merge"))
 
 
 @register("catalogue_intake", sql("""
