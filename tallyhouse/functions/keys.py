@@ -31,8 +31,11 @@ def ranked_key(df: DataFrame, order_cols: list[str], key_name: str,
     """Add ``key_name`` = 1-based rank of each row by ``order_cols`` (bigint)."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/ranked/{key_name}-{uuid.uuid4().hex}"
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranked = (df.repartitionByRange(n, *order_cols)
+    # Without an explicit count AQE sizes the range partitions to its advisory
+    # size; coalesced range partitions stay contiguous, so the numbering holds.
+    parted = (df.repartitionByRange(num_partitions, *order_cols) if num_partitions
+              else df.repartitionByRange(*order_cols))
+    ranked = (parted
               .sortWithinPartitions(*order_cols)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()

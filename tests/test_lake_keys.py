@@ -42,3 +42,17 @@ def test_ranked_key_equals_global_row_number(spark):
     got = ranked_key(df, ["id"], "k", num_partitions=7).select("id", "k")
     want = df.select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("k"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_ranked_key_with_coalesced_range_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias("id"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")  # AQE coalesces these
+    try:
+        got = ranked_key(df, ["id"], "k").select("id", "k")
+        want = df.select("id", F.row_number().over(Window.orderBy("id")).cast("long").alias("k"))
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
