@@ -41,7 +41,7 @@ def main() -> None:
     times: dict[str, float] = {}
 
     t = time.time()
-    registry.warehouse(spark, sf_dir)
+    registry.warehouse(spark, sf_dir, reuse=False)  # always a full, fresh build
     times["build"] = round(time.time() - t, 3)
 
     for name in HEADLINE:
