@@ -227,3 +227,61 @@ def daily_aov(wh: Warehouse, from_: str | None = None, to: str | None = None) ->
 def any_revenue(wh: Warehouse, from_: str | None = None, to: str | None = None) -> bool:
     """Whether the window has any revenue at all (the chart's empty state)."""
     return bool(facts(wh, from_, to).where(F.col("revenue") > 0).limit(1).count())
+
+
+# --------------------------------------------------------------------------
+# Reports against a warehouse root: "not ready" when nothing usable is published
+
+def warehouse_meta(spark, root: str, from_: str | None = None, to: str | None = None) -> DataFrame:
+    """One row: warehouse_ready, generated_at (published_at), range_from, range_to.
+
+    Not ready (no pointer, empty or dangling pointer, missing tables) echoes
+    the requested window and never touches the operational tables.
+    """
+    from ..sources.warehouse import open_warehouse
+    check_window(from_, to)
+    wh = open_warehouse(spark, root)
+    if wh is None:
+        return spark.createDataFrame(
+            [(False, None, from_, to)],
+            "warehouse_ready boolean, generated_at string, range_from string, range_to string")
+    return range_meta(wh, from_, to).select(
+        F.lit(True).alias("warehouse_ready"), F.lit(wh.published_at()).cast("string")
+        .alias("generated_at"), "range_from", "range_to")
+
+
+_EMPTY = {
+    "categories": "category string, revenue double, units_sold bigint, order_count bigint",
+    "top_products": "product_id string, sku string, name string, category string, "
+                    "revenue double, units_sold bigint",
+    "cities": "city string, state string, revenue double, order_count bigint, "
+              "customer_count bigint",
+    "daily": "date string, revenue double, order_count bigint, units_sold bigint",
+}
+
+
+def report(spark, root: str, kind: str, from_: str | None = None, to: str | None = None,
+           top_n: int = TOP_N_DEFAULT) -> DataFrame:
+    """A report by name against the published warehouse under ``root``.
+
+    ``summary`` is one row of zeros when the warehouse is not ready; the list
+    reports are empty frames with their usual schema.
+    """
+    from ..sources.warehouse import open_warehouse
+    check_window(from_, to)
+    wh = open_warehouse(spark, root)
+    builders = {"summary": lambda w: revenue_summary(w, from_, to),
+                "categories": lambda w: sales_by_category(w, from_, to),
+                "top_products": lambda w: top_products(w, from_, to, top_n),
+                "cities": lambda w: sales_by_city(w, from_, to),
+                "daily": lambda w: daily_sales(w, from_, to)}
+    if kind not in builders:
+        raise ValueError(f"unknown report {kind!r}")
+    if wh is not None:
+        return builders[kind](wh)
+    if kind == "summary":
+        return spark.createDataFrame(
+            [(0.0, 0, 0, 0, 0.0, from_, to)],
+            "total_revenue double, order_count bigint, customer_count bigint, units_sold bigint, "
+            "average_order_value double, range_from string, range_to string")
+    return spark.createDataFrame([], _EMPTY[kind])

@@ -104,3 +104,34 @@ def test_publish_and_failed_build_keeps_previous(spark, scratch, f1):
 
 def test_not_ready_without_pointer(spark, scratch):
     assert published(spark, scratch) is None
+
+
+def test_reports_not_ready(spark, scratch):
+    import os
+    from tallyhouse.operators import analytics as A
+    root = scratch + "/warehouse"
+
+    def check():
+        meta = A.warehouse_meta(spark, root, "2026-03-01", "2026-03-31").first()
+        assert (meta.warehouse_ready, meta.range_from, meta.range_to) == (False, "2026-03-01", "2026-03-31")
+        s = A.report(spark, root, "summary", "2026-03-01", "2026-03-31").first()
+        assert (s.total_revenue, s.order_count, s.average_order_value) == (0.0, 0, 0.0)
+        assert A.report(spark, root, "categories").count() == 0
+        assert A.report(spark, root, "daily").count() == 0
+
+    check()                                   # nothing published
+    os.makedirs(root, exist_ok=True)
+    open(os.path.join(root, "_CURRENT"), "w").close()
+    check()                                   # zero-byte pointer
+    with open(os.path.join(root, "_CURRENT"), "w") as fh:
+        fh.write("version=garbage\n")
+    check()                                   # dangling pointer
+
+
+def test_reports_ready(spark, scratch, f1):
+    from tallyhouse.operators import analytics as A
+    build_and_publish(spark, f1, scratch, run_id="run-r", published_at="2026-03-05T00:00:00+00:00")
+    meta = A.warehouse_meta(spark, scratch + "/warehouse").first()
+    assert meta.warehouse_ready and meta.generated_at == "2026-03-05T00:00:00+00:00"
+    assert (meta.range_from, meta.range_to) == ("2026-03-01", "2026-03-04")
+    assert A.report(spark, scratch + "/warehouse", "summary").first().total_revenue == 5050.0
