@@ -135,3 +135,32 @@ def test_reports_ready(spark, scratch, f1):
     assert meta.warehouse_ready and meta.generated_at == "2026-03-05T00:00:00+00:00"
     assert (meta.range_from, meta.range_to) == ("2026-03-01", "2026-03-04")
     assert A.report(spark, scratch + "/warehouse", "summary").first().total_revenue == 5050.0
+
+
+def test_freshness_after_swap(spark, scratch):
+    """Fixture F3: a second publish is visible to the next report."""
+    from decimal import Decimal as D
+    from conftest import TS, raw_frames
+    from tallyhouse.operators import analytics as A
+    base = {
+        "customers": [("c1", "Asha", "asha@example.com", "Pune", "Maharashtra", TS)],
+        "products": [("p1", "SKU-1", "Lamp", "Home", D("500.00"), True, TS)],
+        "orders": [("o1", "c1", "delivered", dt.date(2026, 5, 1), TS),
+                   ("o2", "c1", "delivered", dt.date(2026, 5, 2), TS)],
+        "order_items": [("i1", "o1", "p1", 4, D("500.00")), ("i2", "o2", "p1", 1, D("250.00"))],
+    }
+    build_and_publish(spark, raw_frames(spark, base), scratch, run_id="a")
+    s = A.report(spark, scratch + "/warehouse", "summary").first()
+    assert (s.total_revenue, s.order_count, s.units_sold, s.average_order_value) == (2250.0, 2, 5, 1125.0)
+    base["order_items"][0] = ("i1", "o1", "p1", 9, D("500.00"))
+    build_and_publish(spark, raw_frames(spark, base), scratch, run_id="b")
+    s = A.report(spark, scratch + "/warehouse", "summary").first()
+    assert (s.total_revenue, s.units_sold) == (4750.0, 10)
+
+
+def test_page_parameters(spark, f1):
+    from tallyhouse.operators import operational as O
+    for bad in (dict(limit=0), dict(limit=201), dict(offset=-1)):
+        with pytest.raises(ValueError):
+            O.customers_page(f1["customers"], **bad)
+    assert O.customers_page(f1["customers"], limit=200).count() == 2
