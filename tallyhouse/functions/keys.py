@@ -50,3 +50,13 @@ def ranked_key(df: DataFrame, order_cols: list[str], key_name: str,
     keyed = ranked.join(F.broadcast(offsets), "_part")
     return keyed.select((F.col("_offset") + F.col("_pos") + 1).cast("long").alias(key_name),
                         *[F.col(c) for c in df.columns])
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch folder and read it
+    back: a lineage cut whose later counts and broadcasts read footers instead
+    of recomputing the plan."""
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/materialized/{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
