@@ -18,7 +18,7 @@ arrays are collected, so an oversized order is just rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import (DEFAULT_ORDER_STATUS, EMAIL_PATTERN, MAX_LINES_PER_ORDER,
@@ -51,16 +51,15 @@ def order_intake(headers: DataFrame, lines: DataFrame, customers: DataFrame,
         lines = merge_repeats(lines)
     catalogue = products.select(F.col("id").alias("product_id"),
                                 F.col("unit_price").alias("catalogue_price"), "active")
-    priced = lines.join(catalogue, "product_id", "left").withColumn(
-        "price", F.coalesce(F.col("unit_price_at_sale"), F.col("catalogue_price")))
-
-    firsts = lines.groupBy("order_ref", "product_id").agg(F.min("position").alias("first_pos"))
-    repeats = (lines.join(firsts, ["order_ref", "product_id"])
-               .where(F.col("position") > F.col("first_pos"))
-               .groupBy("order_ref").agg(
-                   F.min("position").alias("first_repeat"),
-                   F.min_by("first_pos", "position").alias("repeat_of")))
-
+    # The lines are consumed once: a window marks each line's first position
+    # for its product (no self-join), one join prices it, one groupBy per order
+    # folds every line rule, the total and the first repeated line.
+    first_pos = F.min("position").over(Window.partitionBy("order_ref", "product_id"))
+    repeat_pos = F.when(F.col("position") > F.col("first_pos"), F.col("position"))
+    priced = (lines.withColumn("first_pos", first_pos)
+              .join(catalogue, "product_id", "left")
+              .withColumn("price", F.coalesce(F.col("unit_price_at_sale"),
+                                              F.col("catalogue_price"))))
     per_order = priced.groupBy("order_ref").agg(
         F.count(F.lit(1)).alias("line_count"),
         F.count_if(F.col("catalogue_price").isNull()).alias("missing"),
@@ -68,12 +67,13 @@ def order_intake(headers: DataFrame, lines: DataFrame, customers: DataFrame,
         F.count_if(~F.col("quantity").between(1, MAX_QUANTITY_PER_LINE)
                    | F.col("quantity").isNull()).alias("bad_qty"),
         F.sum("quantity").alias("units"),
-        F.sum(F.col("quantity") * F.col("price")).alias("total"))
+        F.sum(F.col("quantity") * F.col("price")).alias("total"),
+        F.min(repeat_pos).alias("first_repeat"),
+        F.min_by("first_pos", repeat_pos).alias("repeat_of"))
 
     known = customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_known"))
     h = (headers.join(known, "customer_id", "left")
-         .join(per_order, "order_ref", "left")
-         .join(repeats, "order_ref", "left"))
+         .join(per_order, "order_ref", "left"))
     order_date = F.coalesce(F.col("order_date"), F.lit(as_of).cast("date"))
     status = F.coalesce(F.col("status"), F.lit(DEFAULT_ORDER_STATUS))
     n_lines = F.coalesce(F.col("line_count"), F.lit(0))
