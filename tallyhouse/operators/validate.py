@@ -172,8 +172,12 @@ def dataset_statistics(ds: dict[str, DataFrame], end_date: str) -> DataFrame:
         F.coalesce(F.sum(line_cents.cast("decimal(38,0)")), F.lit(0)).alias("rev_cents"),
         F.count_if(F.col("cat").isNull() | (F.col("cat") != F.col("unit_price_at_sale")))
         .alias("discounted"))
-    paying = i.select("order_id").distinct().agg(F.count(F.lit(1)).alias("paying"))
-    without = o.join(i.select(F.col("order_id").alias("id")), "id", "left_anti").agg(
+    # Lines reduced per order once (map-side partial count): its row count is
+    # the number of orders with lines, and the anti join for orders without
+    # lines reads it instead of the lines.
+    per_order = i.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
+    paying = per_order.agg(F.count(F.lit(1)).alias("paying"))
+    without = o.join(per_order.select(F.col("order_id").alias("id")), "id", "left_anti").agg(
         F.count(F.lit(1)).alias("orders_without_items"))
 
     s = (cs.crossJoin(ps).crossJoin(os_).crossJoin(cust_with_orders).crossJoin(its)
