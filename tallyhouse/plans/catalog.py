@@ -845,3 +845,140 @@ def q_gen_orders(spark, sf_dir):
 def q_gen_order_items(spark, sf_dir):
     from ..operators.generate import generate_like
     return generate_like(spark, sf_dir, GEN_END)["order_items"]
+
+
+# --------------------------------------------------------------------------
+# Run audit (SNK-10, PRJ-8, PRJ-10, FLT-7, AGG-15, SRT-8) over the audit log
+# the adapter derives from the driver's ``events`` table.
+
+# Stale-run release parameters: runs still running that started a week before
+# the end of the log are released.
+RELEASE_AS_OF = "2024-01-31 00:00:00"
+RELEASE_OLDER_THAN_DAYS = 7
+
+AUDIT_CTES = f"""
+audit_events AS (
+  SELECT 'run-' || CAST(user_id AS VARCHAR) AS run_id, ts AS event_ts,
+         CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running'
+                         WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'succeeded'
+                         WHEN 'error' THEN 'failed' END AS status,
+         CASE WHEN event_type = 'purchase' THEN CAST(json(props) AS VARCHAR) END AS row_counts,
+         CASE WHEN event_type = 'purchase' THEN 'raw/run_date=' || strftime(ts, {D})
+              || '/run_id=run-' || CAST(user_id AS VARCHAR) END AS lake_prefix,
+         CASE WHEN event_type = 'error' THEN
+           (SELECT CASE WHEN length(r) > 500 THEN substring(r, 1, 499) || '…' ELSE r END
+            FROM (SELECT {{redact}} AS r)) END AS error_summary
+  FROM events),
+run_last AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY event_ts DESC) AS rn
+                 FROM audit_events) WHERE rn = 1),
+run_first AS (
+  SELECT run_id, min(event_ts) FILTER (WHERE status <> 'queued') AS started,
+         min(event_ts) AS queued
+  FROM audit_events GROUP BY run_id),
+run_state AS (
+  SELECT l.run_id, l.status, coalesce(f.started, f.queued) AS started_at,
+         CASE WHEN l.status IN ('succeeded', 'failed') THEN l.event_ts END AS completed_at,
+         l.lake_prefix, coalesce(l.row_counts, '{{}}') AS row_counts, l.error_summary
+  FROM run_last l JOIN run_first f ON f.run_id = l.run_id),
+run_state_out AS (
+  SELECT run_id, status, started_at, completed_at,
+         CAST((epoch_us(completed_at) - epoch_us(started_at) + 50000) // 100000 AS DOUBLE) / 10
+           AS duration_seconds,
+         lake_prefix, row_counts, error_summary
+  FROM run_state),
+run_current AS (SELECT * FROM run_state_out ORDER BY started_at DESC LIMIT 1),
+run_last_ok AS (SELECT * FROM run_state_out WHERE status = 'succeeded'
+                ORDER BY completed_at DESC LIMIT 1),
+run_active AS (SELECT CAST(count(*) FILTER (WHERE status IN ('queued', 'running')) AS BIGINT)
+                 AS active_runs FROM run_state)"""
+
+
+def _audit_ctes() -> str:
+    return AUDIT_CTES.replace(
+        "{redact}", _redact_sql("'run failed after event ' || props"))
+
+
+def _audit_events(spark, sf_dir):
+    return testdata.audit_events(spark, sf_dir)
+
+
+def _map_json(c: str):
+    return F.to_json(F.col(c))
+
+
+@register("run_audit_state", sql(f"""
+SELECT run_id, status, strftime(started_at, {TS}) AS started_at,
+       strftime(completed_at, {TS}) AS completed_at, duration_seconds, lake_prefix,
+       row_counts, error_summary
+FROM run_state_out""", _audit_ctes()))
+def q_run_audit_state(spark, sf_dir):
+    s = AU.run_state(_audit_events(spark, sf_dir))
+    return s.withColumn("row_counts", _map_json("row_counts"))
+
+
+def _status_row(spark, sf_dir):
+    return AU.pipeline_status(_audit_events(spark, sf_dir))
+
+
+@register("pipeline_status", sql(f"""
+SELECT c.run_id AS current_run_id, c.status AS current_status,
+       strftime(c.started_at, {TS}) AS current_started_at,
+       strftime(c.completed_at, {TS}) AS current_completed_at,
+       c.duration_seconds AS current_duration_seconds, c.row_counts AS current_row_counts,
+       c.error_summary AS current_error_summary,
+       s.run_id AS last_successful_run_id,
+       strftime(s.completed_at, {TS}) AS last_successful_completed_at,
+       s.duration_seconds AS last_successful_duration_seconds,
+       s.lake_prefix AS last_successful_lake_prefix,
+       s.row_counts AS last_successful_row_counts, a.active_runs
+FROM run_active a LEFT JOIN run_current c ON TRUE LEFT JOIN run_last_ok s ON TRUE""",
+                                    _audit_ctes()))
+def q_pipeline_status(spark, sf_dir):
+    p = _status_row(spark, sf_dir)
+    return p.select(
+        F.col("current.run_id").alias("current_run_id"),
+        F.col("current.status").alias("current_status"),
+        F.col("current.started_at").alias("current_started_at"),
+        F.col("current.completed_at").alias("current_completed_at"),
+        F.col("current.duration_seconds").alias("current_duration_seconds"),
+        F.to_json("current.row_counts").alias("current_row_counts"),
+        F.col("current.error_summary").alias("current_error_summary"),
+        F.col("last_successful.run_id").alias("last_successful_run_id"),
+        F.col("last_successful.completed_at").alias("last_successful_completed_at"),
+        F.col("last_successful.duration_seconds").alias("last_successful_duration_seconds"),
+        F.col("last_successful.lake_prefix").alias("last_successful_lake_prefix"),
+        F.to_json("last_successful.row_counts").alias("last_successful_row_counts"),
+        F.col("active_runs").cast("long").alias("active_runs"))
+
+
+@register("warehouse_status", sql(f"""
+SELECT CASE WHEN c.status IN ('queued', 'running') THEN 'running'
+            WHEN c.status = 'failed' THEN 'last_run_failed'
+            WHEN s.completed_at IS NOT NULL THEN 'up_to_date' ELSE 'not_built' END AS state,
+       strftime(s.completed_at, {TS}) AS published_at
+FROM run_active a LEFT JOIN run_current c ON TRUE LEFT JOIN run_last_ok s ON TRUE""",
+                                     _audit_ctes()))
+def q_warehouse_status(spark, sf_dir):
+    return AU.warehouse_status(_status_row(spark, sf_dir))
+
+
+@register("active_runs", sql("SELECT active_runs FROM run_active", _audit_ctes()))
+def q_active_runs(spark, sf_dir):
+    return AU.active_runs(_audit_events(spark, sf_dir))
+
+
+@register("released_runs", sql(f"""
+SELECT run_id, strftime(TIMESTAMP '{RELEASE_AS_OF}', {TS}) AS event_ts, 'failed' AS status,
+       CAST(NULL AS VARCHAR) AS row_counts, lake_prefix,
+       'released: the run stopped reporting progress' AS error_summary
+FROM run_state
+WHERE status = 'running'
+  AND started_at < TIMESTAMP '{RELEASE_AS_OF}' - INTERVAL {RELEASE_OLDER_THAN_DAYS} DAY""",
+                                  _audit_ctes()))
+def q_released_runs(spark, sf_dir):
+    import datetime as dt
+    as_of = dt.datetime.fromisoformat(RELEASE_AS_OF)
+    rel = AU.release_stale_runs(_audit_events(spark, sf_dir), as_of,
+                                dt.timedelta(days=RELEASE_OLDER_THAN_DAYS))
+    return rel.withColumn("row_counts", _map_json("row_counts"))

@@ -146,3 +146,38 @@ def requested_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return read(spark, sf_dir, name).agg(F.count(F.lit(1)).alias(alias))
     return n("customer", "customers").crossJoin(n("part", "products")).crossJoin(
         n("orders", "orders"))
+
+
+# --- fixed values: audit status of each event type of the ``events`` table -
+RUN_STATUS_BY_EVENT = {"signup": "queued", "view": "running", "click": "running",
+                       "purchase": "succeeded", "error": "failed"}
+# --- end of fixed values ----------------------------------------------------
+
+
+def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The driver's ``events`` table as a run-audit event log.
+
+    ``events`` is an append-only log of timestamped events per user, the shape
+    of the audit: each user is a pipeline run (``run-<user_id>``), each event
+    an audit event whose status follows from its type. A success carries the
+    event's JSON ``props`` as the run's row counts and a lake prefix; a failure
+    carries an error text, summarised (redacted, capped) as the audit stores it.
+    """
+    from ..operators.audit import summarise
+
+    ev = read(spark, sf_dir, "events", "user_id", "ts", "event_type", "props")
+    status = F.lit(None).cast("string")
+    for etype, st in reversed(list(RUN_STATUS_BY_EVENT.items())):
+        status = F.when(F.col("event_type") == etype, st).otherwise(status)
+    run_id = F.concat(F.lit("run-"), F.col("user_id").cast("string"))
+    ok = F.col("event_type") == "purchase"
+    failed = F.col("event_type") == "error"
+    return ev.select(
+        run_id.alias("run_id"),
+        F.col("ts").cast("timestamp").alias("event_ts"),
+        status.alias("status"),
+        F.when(ok, F.from_json("props", "map<string,bigint>")).alias("row_counts"),
+        F.when(ok, F.concat(F.lit("raw/run_date="), F.date_format("ts", "yyyy-MM-dd"),
+                            F.lit("/run_id="), run_id)).alias("lake_prefix"),
+        F.when(failed, summarise(F.concat(F.lit("run failed after event "), F.col("props"))))
+        .alias("error_summary"))

@@ -190,3 +190,24 @@ def test_paging_keyset_matches_offset(spark):
     by_offset = operational.customers_page(orders, limit=2, offset=1).collect()
     by_key = operational.customers_page(orders, limit=2, after=(last.created_at, last.id)).collect()
     assert [r.id for r in by_offset] == [r.id for r in by_key]
+
+
+def test_audit_log_from_events(spark):
+    """The events-derived audit log: one run per user, status per event type,
+    row counts only on success, and run state agreeing with the raw events."""
+    from pyspark.sql import functions as F
+    from tallyhouse.operators import audit as AU
+    from tallyhouse.sources import testdata
+    sf = "/root/testdata/sf0.001"
+    ev = testdata.audit_events(spark, sf)
+    raw = testdata.read(spark, sf, "events")
+    assert ev.select("run_id").distinct().count() == raw.select("user_id").distinct().count()
+    bad = ev.where(F.col("row_counts").isNotNull() != (F.col("status") == "succeeded")).count()
+    assert bad == 0
+    state = AU.run_state(ev).collect()
+    last = {r["user_id"]: r["event_type"] for r in raw.groupBy("user_id").agg(
+        F.max_by("event_type", "ts").alias("event_type")).collect()}
+    for r in state:
+        want = testdata.RUN_STATUS_BY_EVENT[last[int(r["run_id"][4:])]]
+        assert r["status"] == want
+        assert (r["completed_at"] is not None) == (want in ("succeeded", "failed"))
