@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..config import TOP_N_DEFAULT, TOP_N_MAX
 from ..functions.dates import iso_text
+from ..functions.joins import one_row
 from ..functions.money import avg_money, count_out, money
 from ..sources.warehouse import Warehouse
 
@@ -180,10 +181,10 @@ def sales_by_city(wh: Warehouse, from_: str | None = None, to: str | None = None
 def city_share_of_leader(wh: Warehouse, from_: str | None = None, to: str | None = None) -> DataFrame:
     """Each city's revenue as a whole percentage of the leading city's (0 if the leader has 0)."""
     cities = sales_by_city(wh, from_, to)
-    leader = cities.agg(F.max("revenue").alias("leader"))  # one row
-    return cities.crossJoin(leader).select(
+    leader = one_row(cities.agg(F.max("revenue").alias("leader")))["leader"]
+    return cities.select(
         "city", "state", "revenue",
-        F.when(F.col("leader") > 0, F.round(F.col("revenue") / F.col("leader") * 100, 0))
+        F.when(leader > 0, F.round(F.col("revenue") / leader * 100, 0))
         .otherwise(F.lit(0.0)).cast("long").alias("share_of_leader"))
 
 

@@ -31,6 +31,7 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import one_row
 from ..schemas import RAW, conform
 
 TWO63 = 9.223372036854775807e18
@@ -102,9 +103,10 @@ def generate(spark: SparkSession, vocab: dict[str, DataFrame], customers: int, p
     span_days = (end - start).days + 1
     created = F.lit(_dt.datetime.combine(start, _dt.time())).cast("timestamp_ntz")
 
-    loc = vocab["locations"]
-    cust = spark.range(customers).crossJoin(loc).select(
-        "id", F.col("items")[_pick(uniform(seed, "city", "id"), F.col("cum"))].alias("l"))
+    # The vocabulary row is projected first: the pick's lambda reads a column
+    # (subqueries may not sit inside higher-order functions).
+    cust = spark.range(customers).select("id", one_row(vocab["locations"]).alias("v")).select(
+        "id", F.col("v.items")[_pick(uniform(seed, "city", "id"), F.col("v.cum"))].alias("l"))
     customers_df = conform(cust.select(
         uuid_text(seed, "customer", "id").alias("id"),
         F.format_string("Customer %d", F.col("id") + 1).alias("name"),
@@ -112,9 +114,8 @@ def generate(spark: SparkSession, vocab: dict[str, DataFrame], customers: int, p
         F.col("l.city").alias("city"), F.col("l.state").alias("state"),
         created.alias("created_at")), RAW["customers"])
 
-    cat = vocab["categories"]
-    prod = spark.range(products).crossJoin(cat).select(
-        "id", F.col("items")[_pick(uniform(seed, "category", "id"), F.col("cum"))].alias("c"))
+    prod = spark.range(products).select("id", one_row(vocab["categories"]).alias("v")).select(
+        "id", F.col("v.items")[_pick(uniform(seed, "category", "id"), F.col("v.cum"))].alias("c"))
     lo = F.log(F.greatest(F.col("c.lo"), F.lit(0.01)))
     hi = F.log(F.greatest(F.col("c.hi"), F.col("c.lo"), F.lit(0.01)))
     price = F.exp(lo + F.pow(uniform(seed, "price", "id"), 1.5) * (hi - lo))
@@ -135,7 +136,7 @@ def generate(spark: SparkSession, vocab: dict[str, DataFrame], customers: int, p
     from ..functions.keys import ranked_key
     active = ranked_key(products_df.where("active").select("id", "pid", "unit_price"),
                         ["id"], "slot").withColumn("slot", F.col("slot") - 1)
-    n_active = active.agg(F.count(F.lit(1)).alias("n_active"))  # one row
+    n_active = one_row(active.agg(F.count(F.lit(1)).alias("n_active")))["n_active"]
 
     loyal = max(int(customers * 0.2 + 0.5), 1)
     u_loyal = uniform(seed, "loyal", "id")
@@ -160,7 +161,7 @@ def generate(spark: SparkSession, vocab: dict[str, DataFrame], customers: int, p
 
     basket_cum = F.array(*[F.lit(sum(BASKET_WEIGHTS[:i + 1])) for i in range(len(BASKET))])
     lines_per = F.lit(1) + _pick(uniform(seed, "basket", "id"), basket_cum)
-    lines = (o.select("id", lines_per.alias("k")).crossJoin(n_active)
+    lines = (o.select("id", lines_per.alias("k"), n_active.alias("n_active"))
              .select("id", "n_active",
                      F.explode(F.sequence(F.lit(0), F.least(F.col("k"), F.col("n_active")) - 1))
                      .alias("j")))
@@ -186,9 +187,7 @@ def generate_like(spark: SparkSession, sf_dir: str, end_date: str = "2026-08-18"
                   seed: int = 20260818) -> dict[str, DataFrame]:
     """A synthetic dataset with the given tables' volumes and vocabulary."""
     from ..sources.testdata import read
-    counts = (read(spark, sf_dir, "customer").agg(F.count(F.lit(1)).alias("c"))
-              .crossJoin(read(spark, sf_dir, "part").agg(F.count(F.lit(1)).alias("p")))
-              .crossJoin(read(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("o")))
-              .first())
-    return generate(spark, vocabulary(spark, sf_dir), int(counts.c), int(counts.p),
-                    int(counts.o), end_date, seed=seed)
+    def n(name: str) -> int:
+        return read(spark, sf_dir, name).count()
+    return generate(spark, vocabulary(spark, sf_dir), n("customer"), n("part"), n("orders"),
+                    end_date, seed=seed)

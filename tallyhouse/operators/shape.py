@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import one_row
 from ..functions.money import money
 from ..sources.warehouse import Warehouse
 
@@ -20,6 +21,7 @@ def revenue_by_month(wh: Warehouse) -> DataFrame:
     m = (wh.fact_sales.groupBy("sale_month").agg(F.sum("revenue").alias("rev"))
          .select(F.format_string("%04d-%02d", (F.col("sale_month") / 100).cast("int"),
                                  F.col("sale_month") % 100).alias("month"), "rev"))
+    # One row per calendar month: the unpartitioned window sees a bounded frame.
     w = Window.partitionBy()
     return m.select("month", money(F.col("rev")).alias("revenue"),
                     (F.col("rev") == F.max("rev").over(w)).alias("is_peak"),
@@ -30,10 +32,10 @@ def category_share(wh: Warehouse) -> DataFrame:
     """Each category's share of fact revenue (double, one division)."""
     c = (wh.fact_sales.join(wh.dim_product.select("product_key", "category"), "product_key")
          .groupBy("category").agg(F.sum("revenue").alias("rev")))
-    total = c.agg(F.sum("rev").alias("total"))  # one row
-    return c.crossJoin(total).select(
+    total = one_row(c.agg(F.sum("rev").alias("total")))["total"]
+    return c.select(
         "category", money(F.col("rev")).alias("revenue"),
-        F.when(F.col("total") > 0, F.col("rev").cast("double") / F.col("total").cast("double"))
+        F.when(total > 0, F.col("rev").cast("double") / total.cast("double"))
         .otherwise(F.lit(0.0)).alias("share"))
 
 
@@ -67,21 +69,22 @@ def loyal_share(orders: DataFrame, fraction: float = 0.2) -> DataFrame:
     """
     per = orders.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
     hist = per.groupBy("n").agg(F.count(F.lit(1)).alias("customers"))
-    total = hist.agg(F.sum("customers").alias("ranked"), F.sum(F.col("n") * F.col("customers"))
-                     .alias("orders"))
-    k = F.floor(F.col("ranked") * fraction + 0.5)  # round half up
+    total = one_row(hist.agg(F.sum("customers").alias("ranked"),
+                             F.sum(F.col("n") * F.col("customers")).alias("orders")))
+    ranked, all_orders = total["ranked"], total["orders"]
+    k = F.floor(ranked * fraction + 0.5)  # round half up
     w = Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     cum = hist.withColumn("before", F.coalesce(F.sum("customers").over(w), F.lit(0)))
-    taken = cum.crossJoin(total).select(
-        "n", "ranked", "orders",
-        F.greatest(F.lit(0), F.least(F.col("customers"), k - F.col("before"))).alias("take"))
-    return taken.groupBy("ranked", "orders").agg(
-        F.sum(F.col("n") * F.col("take")).alias("top_orders")).select(
-        F.col("ranked").cast("long").alias("customers_with_orders"),
-        F.floor(F.col("ranked") * fraction + 0.5).cast("long").alias("top_customers"),
+    taken = cum.select(
+        "n", F.greatest(F.lit(0), F.least(F.col("customers"), k - F.col("before"))).alias("take"))
+    # Global aggregate: one row even when no customer ordered.
+    return taken.agg(F.sum(F.col("n") * F.col("take")).alias("top_orders")).where(
+        ranked.isNotNull()).select(
+        ranked.cast("long").alias("customers_with_orders"),
+        k.cast("long").alias("top_customers"),
         F.col("top_orders").cast("long").alias("top_orders"),
-        F.col("orders").cast("long").alias("orders"),
-        (F.col("top_orders").cast("double") / F.col("orders").cast("double")).alias("share"))
+        all_orders.cast("long").alias("orders"),
+        (F.col("top_orders").cast("double") / all_orders.cast("double")).alias("share"))
 
 
 def category_revenue_positive(wh: Warehouse) -> DataFrame:
@@ -92,4 +95,5 @@ def category_revenue_positive(wh: Warehouse) -> DataFrame:
     cats = (wh.fact_sales.join(wh.dim_product.select("product_key", "category"), "product_key")
             .groupBy("category").agg(F.sum("revenue").alias("r")).where(F.col("r") > 0)
             .agg(F.count(F.lit(1)).alias("categories_with_revenue")))
-    return cities.crossJoin(cats)
+    return cities.select("cities_with_revenue",
+                         one_row(cats)["categories_with_revenue"].alias("categories_with_revenue"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DATE_PATTERN, EMAIL_PATTERN, ORDER_STATUSES, UUID_V4_PATTERN
+from ..functions.joins import one_row
 from ..functions.money import round_div_cents
 
 MONEY_MAX = 9_999_999_999.99
@@ -73,8 +74,7 @@ def validation_report(ds: dict[str, DataFrame], requested,
     def requested_rule(stats: DataFrame, name: str, what: str) -> DataFrame:
         """``requested`` maps table → int, or is a one-row frame of counts."""
         if isinstance(requested, DataFrame):
-            stats = stats.crossJoin(requested.select(F.col(what).alias("_want")))
-            want = F.col("_want")
+            want = one_row(requested)[what]
         else:
             want = requested.get(what)
             want = None if want is None else F.lit(want)
@@ -126,7 +126,8 @@ def validation_report(ds: dict[str, DataFrame], requested,
         _rule(product_match, "order_item_product_exists", F.col("missing"),
               "order item references a product that is not in the dataset"),
         _rule(cs, "customer_email_shape", F.col("bad_email"), "e-mail has no valid shape"),
-        _rule(cs.crossJoin(ps.select(F.col("blank").alias("pblank"))), "blank_text", F.col("blank") + F.col("pblank"), "a required text column is blank"),
+        _rule(cs, "blank_text", F.col("blank") + one_row(ps)["blank"],
+              "a required text column is blank"),
         _rule(money_bad, "money_scale", F.col("n"), "price is not a two-decimal amount"),
         _rule(its, "quantity_positive", F.col("bad_qty"), "quantity is not a positive integer"),
         _rule(os_, "order_status_known", F.col("bad_status"), "status is not a known status"),
@@ -180,8 +181,12 @@ def dataset_statistics(ds: dict[str, DataFrame], end_date: str) -> DataFrame:
     without = o.join(per_order.select(F.col("order_id").alias("id")), "id", "left_anti").agg(
         F.count(F.lit(1)).alias("orders_without_items"))
 
-    s = (cs.crossJoin(ps).crossJoin(os_).crossJoin(cust_with_orders).crossJoin(its)
-         .crossJoin(paying).crossJoin(without))
+    # One row: the line aggregate carries the other one-row aggregates as
+    # scalar subqueries.
+    s = its
+    for d in (cs, ps, os_, cust_with_orders, paying, without):
+        row = one_row(d)
+        s = s.select("*", *[row[c].alias(c) for c in d.columns])
 
     def per(num: Column, den: Column, scale: int) -> Column:
         return F.when(den > 0, round_div_cents(num * (10 ** scale), den).cast("double")
