@@ -519,10 +519,8 @@ def q_manifest_row_counts(spark, sf_dir):
     from ..sources import lake
     wh = warehouse(spark, sf_dir)
     prefix = wh.metadata.where(F.col("key") == "lake_prefix").select("value").first()[0]
-    files = lake.read_manifest(spark, prefix).select(F.explode("files").alias("f"))
-    return (files.select(F.split(F.col("f.name"), "/").getItem(0).alias("table"),
-                         F.col("f.row_count").alias("n"))
-            .groupBy("table").agg(F.sum("n").cast("long").alias("row_count")))
+    return (lake.manifest_entries(spark, prefix)
+            .groupBy("table").agg(F.sum("row_count").cast("long").alias("row_count")))
 
 
 @register("warehouse_metadata", None)

@@ -2,14 +2,17 @@
 
 A run lives under ``<lake>/run_date=<yyyy-MM-dd>/run_id=<id>/`` with one
 folder per table (zstd Parquet, rows range-partitioned and sorted by ``id`` so
-a rewrite of the same data is byte-identical) and a ``manifest`` written last
-as the commit marker. A prefix that already holds anything is refused: runs
-are append-only.
+a rewrite of the same data is byte-identical). The manifest has two parts:
+``manifest_files`` holds one JSON line per lake file (name, size, SHA-256,
+rows), written by the executors that hashed the files, and ``manifest`` is a
+one-row header (ids, versions, row counts, number of files) written last as
+the commit marker. The file list never passes through one task or the
+driver, however many files a run has. A prefix that already holds anything
+is refused: runs are append-only.
 
 Hashes are computed by Spark: the ``binaryFile`` source reads each Parquet
-file as one row and ``sha2(content, 256)`` hashes it on the executors, so the
-driver only receives the manifest rows. A file is one row in memory, so the
-writer caps file size with ``maxRecordsPerFile``.
+file as one row and ``sha2(content, 256)`` hashes it on the executors. A file
+is one row in memory, so the writer caps file size with ``maxRecordsPerFile``.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from .warehouse import path_exists
 
 MAX_RECORDS_PER_FILE = 2_000_000
 MANIFEST = "manifest"
+MANIFEST_FILES = "manifest_files"
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
@@ -39,10 +43,13 @@ MANIFEST_SCHEMA = T.StructType([
     T.StructField("source", T.StructType([T.StructField("system", T.StringType()),
                                           T.StructField("tables", T.ArrayType(T.StringType()))])),
     T.StructField("row_counts", T.MapType(T.StringType(), T.LongType())),
-    T.StructField("files", T.ArrayType(T.StructType([
-        T.StructField("name", T.StringType()), T.StructField("key", T.StringType()),
-        T.StructField("size_bytes", T.LongType()), T.StructField("sha256", T.StringType()),
-        T.StructField("row_count", T.LongType())]))),
+    T.StructField("file_count", T.LongType()),
+])
+
+MANIFEST_FILE_SCHEMA = T.StructType([
+    T.StructField("table", T.StringType()), T.StructField("name", T.StringType()),
+    T.StructField("key", T.StringType()), T.StructField("size_bytes", T.LongType()),
+    T.StructField("sha256", T.StringType()), T.StructField("row_count", T.LongType()),
 ])
 
 
@@ -124,42 +131,47 @@ def upload_run(spark: SparkSession, raw: dict[str, DataFrame], lake_root: str,
     with ThreadPoolExecutor(max_workers=len(RAW_TABLES)) as pool:
         for f in [pool.submit(write_table, raw[t], f"{prefix}/{t}") for t in RAW_TABLES]:
             f.result()
-    files = manifest_files(spark, prefix)
-    counts_df = files.groupBy("table").agg(F.sum("row_count").alias("n"))
-    row_counts = {r["table"]: int(r["n"]) for r in counts_df.collect()}
-    for t in RAW_TABLES:
-        row_counts.setdefault(t, 0)
+    # File entries: hashed and written by the executors, then read back so the
+    # files are hashed once; only four per-table totals reach the driver.
+    manifest_files(spark, prefix).write.mode("errorifexists").json(f"{prefix}/{MANIFEST_FILES}")
+    entries = spark.read.schema(MANIFEST_FILE_SCHEMA).json(f"{prefix}/{MANIFEST_FILES}")
+    per_table = entries.groupBy("table").agg(F.sum("row_count").alias("n"),
+                                             F.count(F.lit(1)).alias("files")).collect()
+    row_counts = {t: 0 for t in RAW_TABLES}
+    row_counts.update({r["table"]: int(r["n"]) for r in per_table})
+    file_count = sum(int(r["files"]) for r in per_table)
     extracted_at = extracted_at or _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
-    manifest = files.agg(F.sort_array(F.collect_list(F.struct(
-        "name", "key", "size_bytes", "sha256", "row_count"))).alias("files")).select(
-        F.lit(run_id).alias("run_id"), F.lit(run_date).alias("run_date"),
-        F.lit(prefix).alias("prefix"), F.lit(SCHEMA_VERSION).alias("schema_version"),
-        F.lit(PIPELINE_VERSION).alias("pipeline_version"),
-        F.lit(extracted_at).alias("extracted_at"),
-        F.struct(F.lit("postgres").alias("system"),
-                 F.array(*[F.lit(t) for t in RAW_TABLES]).alias("tables")).alias("source"),
-        F.create_map(*[x for t in RAW_TABLES for x in (F.lit(t), F.lit(row_counts[t]).cast("long"))]
-                     ).alias("row_counts"),
-        "files")
-    manifest.coalesce(1).write.mode("errorifexists").json(f"{prefix}/{MANIFEST}")
+    header = spark.createDataFrame(
+        [(run_id, run_date, prefix, SCHEMA_VERSION, PIPELINE_VERSION, extracted_at,
+          ("postgres", list(RAW_TABLES)), row_counts, file_count)], MANIFEST_SCHEMA)
+    header.coalesce(1).write.mode("errorifexists").json(f"{prefix}/{MANIFEST}")
     return LakeRun(run_id, run_date, prefix, row_counts)
 
 
 def read_manifest(spark: SparkSession, prefix: str) -> DataFrame:
-    """The manifest as one row; a missing or malformed manifest raises."""
+    """The manifest header as one row; a missing or malformed header raises."""
     path = f"{prefix}/{MANIFEST}"
     if not path_exists(spark, path):
         raise LakeError(f"no manifest under {prefix}")
     m = spark.read.schema(MANIFEST_SCHEMA).json(path)
-    if m.where(F.col("run_id").isNotNull() & F.col("files").isNotNull()).limit(1).count() != 1:
+    ok = m.where(F.col("run_id").isNotNull() & F.col("file_count").isNotNull())
+    if ok.limit(2).count() != 1:
         raise LakeError(f"manifest under {prefix} is not a manifest object")
     return m
 
 
+def manifest_entries(spark: SparkSession, prefix: str) -> DataFrame:
+    """The manifest's file entries of a committed run (header present)."""
+    read_manifest(spark, prefix)
+    return spark.read.schema(MANIFEST_FILE_SCHEMA).json(f"{prefix}/{MANIFEST_FILES}")
+
+
 def verify_run(spark: SparkSession, prefix: str) -> None:
-    """Re-hash every file; any missing, extra or changed file aborts."""
-    listed = read_manifest(spark, prefix).select(F.explode("files").alias("f")).select(
-        F.col("f.key").alias("path"), F.col("f.sha256").alias("expected"))
+    """Re-hash every file; any missing, extra or changed file aborts, and so
+    does a file list whose size differs from the header's count."""
+    header = read_manifest(spark, prefix)
+    entries = manifest_entries(spark, prefix)
+    listed = entries.select(F.col("key").alias("path"), F.col("sha256").alias("expected"))
     actual = None
     for table in RAW_TABLES:
         h = file_hashes(spark, f"{prefix}/{table}")
@@ -173,6 +185,9 @@ def verify_run(spark: SparkSession, prefix: str) -> None:
         raise LakeError(f"lake files under {prefix} cannot be read back: {str(e)[:300]}") from e
     if names:
         raise LakeError(f"lake files fail verification: {names}")
+    want = header.select("file_count").first()[0]
+    if entries.count() != want:
+        raise LakeError(f"manifest under {prefix} lists a different number of files than {want}")
 
 
 def read_run(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:

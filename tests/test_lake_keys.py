@@ -56,3 +56,23 @@ def test_ranked_key_with_coalesced_range_partitions(spark):
         assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_manifest_entries_match_header(spark, scratch, f1):
+    run = lake.upload_run(spark, f1, scratch + "/raw", "2026-03-05", "m1")
+    header = lake.read_manifest(spark, run.prefix).first()
+    entries = lake.manifest_entries(spark, run.prefix)
+    assert header["file_count"] == entries.count()
+    assert dict(header["row_counts"]) == run.row_counts
+    # dropping one entry from the listing (a truncated manifest) fails verification
+    mdir = os.path.join(run.prefix.replace("file:", ""), lake.MANIFEST_FILES)
+    lines = []
+    for f in sorted(os.listdir(mdir)):
+        if f.endswith(".json"):
+            with open(os.path.join(mdir, f)) as fh:
+                lines += [ln for ln in fh if ln.strip()]
+            os.truncate(os.path.join(mdir, f), 0)
+    with open(os.path.join(mdir, "part-rewritten.json"), "w") as fh:
+        fh.writelines(lines[1:])
+    with pytest.raises(lake.LakeError):
+        lake.verify_run(spark, run.prefix)
