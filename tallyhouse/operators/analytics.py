@@ -225,6 +225,12 @@ def daily_aov(wh: Warehouse, from_: str | None = None, to: str | None = None) ->
         avg_money(F.col("revenue"), F.col("order_count")).alias("average_order_value"))
 
 
+def revenue_flag(wh: Warehouse, from_: str | None = None, to: str | None = None) -> DataFrame:
+    """One row: whether any fact in the window earned revenue (false when empty)."""
+    return facts(wh, from_, to).agg(
+        F.coalesce(F.bool_or(F.col("revenue") > 0), F.lit(False)).alias("has_revenue"))
+
+
 def any_revenue(wh: Warehouse, from_: str | None = None, to: str | None = None) -> bool:
     """Whether the window has any revenue at all (the chart's empty state)."""
     return bool(facts(wh, from_, to).where(F.col("revenue") > 0).limit(1).count())

@@ -106,7 +106,11 @@ def order_lines(order_items: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def nest_lines(lines: DataFrame) -> DataFrame:
-    """order_id → items (sorted by product name, then id), item_count, total."""
+    """order_id → items (sorted by product name, then id), item_count, total.
+
+    Called only on the lines of one page of orders (≤ 200) or one order; an
+    order's array is bounded by the intake limit of 50 lines per order.
+    """
     item = F.struct("product_name", "id", "product_id", "quantity", "unit_price_at_sale",
                     "line_total")
     return lines.groupBy("order_id").agg(

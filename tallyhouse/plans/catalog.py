@@ -15,7 +15,7 @@ from ..operators import series as S
 from ..operators import shape as SH
 from ..operators import validate as V
 from ..sources import testdata
-from .oracle import avg_money_sql, sql
+from .oracle import avg_money_sql, key_window, sql
 from .registry import register, warehouse
 
 # Fixed report parameters used by the registered variants.
@@ -246,6 +246,20 @@ def q_daily_sales_window(spark, sf_dir):
     return A.daily_sales(warehouse(spark, sf_dir), *DAILY_WINDOW)
 
 
+@register("revenue_flag_window", sql(f"""
+SELECT coalesce(bool_or(revenue > 0), false) AS has_revenue FROM fact_sales
+WHERE {key_window(*DAILY_WINDOW)}"""))
+def q_revenue_flag_window(spark, sf_dir):
+    return A.revenue_flag(warehouse(spark, sf_dir), *DAILY_WINDOW)
+
+
+@register("revenue_flag_empty", sql(f"""
+SELECT coalesce(bool_or(revenue > 0), false) AS has_revenue FROM fact_sales
+WHERE {key_window(*EMPTY_WINDOW)}"""))
+def q_revenue_flag_empty(spark, sf_dir):
+    return A.revenue_flag(warehouse(spark, sf_dir), *EMPTY_WINDOW)
+
+
 @register("daily_aov", sql(f"""
 SELECT date, {avg_money_sql('revenue', 'order_count')} AS average_order_value
 FROM (SELECT strftime(d.full_date, {D}) AS date, coalesce(sum(f.revenue), 0) AS revenue,
