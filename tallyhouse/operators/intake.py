@@ -18,7 +18,7 @@ arrays are collected, so an oversized order is just rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (DEFAULT_ORDER_STATUS, EMAIL_PATTERN, MAX_LINES_PER_ORDER,
@@ -51,12 +51,20 @@ def order_intake(headers: DataFrame, lines: DataFrame, customers: DataFrame,
         lines = merge_repeats(lines)
     catalogue = products.select(F.col("id").alias("product_id"),
                                 F.col("unit_price").alias("catalogue_price"), "active")
-    # The lines are consumed once: a window marks each line's first position
-    # for its product (no self-join), one join prices it, one groupBy per order
-    # folds every line rule, the total and the first repeated line.
-    first_pos = F.min("position").over(Window.partitionBy("order_ref", "product_id"))
+    # Each line learns the first position of its product in its order from a
+    # pre-aggregated (order, product) table: the map-side partial minimum
+    # means a hot order or product never lands whole in one task (a window
+    # would), and AQE splits a skewed key of the line side of the join. The
+    # join is null-safe, so lines group exactly as ``partitionBy`` would.
+    # One more join prices the lines, and one groupBy per order folds every
+    # line rule, the total and the first repeated line.
+    firsts = (lines.groupBy("order_ref", "product_id").agg(F.min("position").alias("first_pos"))
+              .select(F.col("order_ref").alias("_o"), F.col("product_id").alias("_p"),
+                      "first_pos"))
+    marked = lines.join(firsts, lines["order_ref"].eqNullSafe(firsts["_o"])
+                        & lines["product_id"].eqNullSafe(firsts["_p"]), "left").drop("_o", "_p")
     repeat_pos = F.when(F.col("position") > F.col("first_pos"), F.col("position"))
-    priced = (lines.withColumn("first_pos", first_pos)
+    priced = (marked
               .join(catalogue, "product_id", "left")
               .withColumn("price", F.coalesce(F.col("unit_price_at_sale"),
                                               F.col("catalogue_price"))))
