@@ -60,3 +60,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_root(spark)}/materialized/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def position_within(df: DataFrame, group_col: str, order_col: str, name: str) -> DataFrame:
+    """Add ``name`` = 0-based position of each row inside its ``group_col``
+    group, ordered by ``order_col`` (unique within the group).
+
+    ``row_number() over (partition by group order by …)`` puts a whole group
+    into one task. Instead, each row takes its global rank over
+    (group, order) from :func:`ranked_key`, which range-partitions, so a hot
+    group spans many tasks. The group's first rank comes from a
+    ``groupBy(group).min`` (partial aggregation map-side), and the position is
+    the difference.
+    """
+    ranked = ranked_key(df, [group_col, order_col], "_rank")
+    starts = ranked.groupBy(group_col).agg(F.min("_rank").alias("_first"))
+    return (ranked.join(starts, group_col)
+            .select(*[F.col(c) for c in df.columns],
+                    (F.col("_rank") - F.col("_first")).cast("int").alias(name)))

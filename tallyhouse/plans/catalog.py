@@ -711,16 +711,18 @@ def proposals(spark, sf_dir):
     """Headers and lines of a proposed batch derived from the source orders:
     cancelled orders come without date and status (defaults apply); every
     second line omits its price (catalogue price applies)."""
-    from pyspark.sql import Window
+    from ..functions.keys import position_within
     r = _raw(spark, sf_dir)
     o = r["orders"]
     cancelled = F.col("status") == "cancelled"
     headers = o.select(F.col("id").alias("order_ref"), "customer_id",
                        F.when(~cancelled, F.col("order_date")).alias("order_date"),
                        F.when(~cancelled, F.col("status")).alias("status"))
-    pos = F.row_number().over(Window.partitionBy("order_id").orderBy("id")) - 1
-    lines = r["order_items"].select(
-        F.col("order_id").alias("order_ref"), pos.cast("int").alias("position"), "product_id",
+    items = position_within(r["order_items"].select(
+        "id", "order_id", "product_id", "quantity", "unit_price_at_sale"),
+        "order_id", "id", "position")
+    lines = items.select(
+        F.col("order_id").alias("order_ref"), "position", "product_id",
         "quantity", "unit_price_at_sale").withColumn(
         "unit_price_at_sale", F.when(F.col("position") % 2 == 0, F.col("unit_price_at_sale")))
     return headers, lines, r

@@ -76,3 +76,18 @@ def test_manifest_entries_match_header(spark, scratch, f1):
         fh.writelines(lines[1:])
     with pytest.raises(lake.LakeError):
         lake.verify_run(spark, run.prefix)
+
+
+def test_position_within_equals_grouped_row_number(spark):
+    from tallyhouse.functions.keys import position_within
+    li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+    df = li.select(
+        # a third of the lines share one hot group; the rest keep their order
+        F.when(F.col("l_orderkey") % 3 == 0, F.lit(-1)).otherwise(F.col("l_orderkey"))
+        .cast("string").alias("g"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                    F.date_format("l_shipdate", "yyyyMMdd")).alias("id"))
+    got = position_within(df, "g", "id", "pos").select("g", "id", "pos")
+    want = df.select("g", "id", (F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1)
+                     .cast("int").alias("pos"))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
