@@ -106,3 +106,38 @@ def build_and_publish(spark: SparkSession, raw: dict[str, DataFrame], root: str,
 def published(spark: SparkSession, root: str) -> Warehouse | None:
     from ..sources.warehouse import open_warehouse
     return open_warehouse(spark, f"{root.rstrip('/')}/warehouse")
+
+
+def run_with_audit(spark: SparkSession, raw: dict[str, DataFrame], root: str, audit_dir: str,
+                   run_id: str | None = None) -> RunResult:
+    """``build_and_publish`` recorded in the append-only run audit.
+
+    A ``running`` event is appended first. Then comes ``succeeded`` with the
+    source row counts and the lake prefix, or ``failed`` with the error (gate
+    failures or the exception), redacted and capped as the audit stores it.
+    A failed run leaves the previous warehouse published; the run state is
+    the latest event per run (``operators.audit.run_state``).
+    """
+    from ..operators import audit
+
+    def now() -> _dt.datetime:
+        return _dt.datetime.now(_dt.timezone.utc)
+
+    run_id = run_id or new_run_id()
+    audit.append_events(audit.event(spark, run_id, "running", now()), audit_dir)
+    try:
+        result = build_and_publish(spark, raw, root, run_id=run_id)
+    except Exception as e:
+        audit.append_events(audit.event(spark, run_id, "failed", now(),
+                                        error=f"{type(e).__name__}: {e}"), audit_dir)
+        raise
+    if result.published:
+        audit.append_events(audit.event(spark, run_id, "succeeded", now(),
+                                        row_counts=result.source_counts,
+                                        lake_prefix=result.lake_prefix), audit_dir)
+    else:
+        detail = "; ".join(f"{name}: {why}" for name, why in result.failures)
+        audit.append_events(audit.event(spark, run_id, "failed", now(),
+                                        lake_prefix=result.lake_prefix,
+                                        error=f"quality gate failed: {detail}"), audit_dir)
+    return result

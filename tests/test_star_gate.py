@@ -164,3 +164,25 @@ def test_page_parameters(spark, f1):
         with pytest.raises(ValueError):
             O.customers_page(f1["customers"], **bad)
     assert O.customers_page(f1["customers"], limit=200).count() == 2
+
+
+def test_run_with_audit_records_success_then_failure(spark, scratch, f1):
+    from tallyhouse.operators import audit
+    from tallyhouse.plans.pipeline import run_with_audit
+    log = scratch + "/audit"
+    ok = run_with_audit(spark, f1, scratch, log, run_id="run-a")
+    assert ok.published
+    empty = dict(f1)
+    empty["order_items"] = f1["order_items"].limit(0)
+    bad = run_with_audit(spark, empty, scratch, log, run_id="run-b")
+    assert not bad.published
+    events = spark.read.schema(audit.EVENT_SCHEMA).parquet(log)
+    state = {r.run_id: r for r in audit.run_state(events).collect()}
+    assert state["run-a"].status == "succeeded" and state["run-b"].status == "failed"
+    assert dict(state["run-a"].row_counts) == ok.source_counts
+    assert state["run-a"].lake_prefix == ok.lake_prefix
+    assert state["run-b"].error_summary.startswith("quality gate failed: fact_sales_not_empty")
+    st = audit.pipeline_status(events).first()
+    assert st.current.run_id == "run-b" and st.last_successful.run_id == "run-a"
+    assert audit.warehouse_status(audit.pipeline_status(events)).first().state == "last_run_failed"
+    assert published(spark, scratch).version == "version=run-a"
