@@ -931,6 +931,21 @@ def q_run_audit_state(spark, sf_dir):
     return s.withColumn("row_counts", _map_json("row_counts"))
 
 
+@register("run_audit_state_stream", sql(f"""
+SELECT run_id, status, strftime(started_at, {TS}) AS started_at,
+       strftime(completed_at, {TS}) AS completed_at, duration_seconds, lake_prefix,
+       row_counts, error_summary
+FROM run_state_out""", _audit_ctes()))
+def q_run_audit_state_stream(spark, sf_dir):
+    """The same run state, built incrementally by Structured Streaming."""
+    import uuid
+    from ..session import scratch_root
+    from ..streaming import audit_stream
+    root = f"{scratch_root(spark)}/audit-stream-{uuid.uuid4().hex}"
+    s = audit_stream.replay(spark, _audit_events(spark, sf_dir), root)
+    return s.withColumn("row_counts", _map_json("row_counts"))
+
+
 def _status_row(spark, sf_dir):
     return AU.pipeline_status(_audit_events(spark, sf_dir))
 

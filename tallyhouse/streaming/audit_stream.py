@@ -66,10 +66,14 @@ def state_writer(state_root: str):
 
 
 def start(spark: SparkSession, events_dir: str, state_root: str, checkpoint: str,
-          trigger_once: bool = False):
+          trigger_once: bool = False, max_files_per_trigger: int | None = None,
+          schema=EVENT_SCHEMA):
     """Start the incremental audit-state query (``availableNow`` when
-    ``trigger_once``)."""
-    events = spark.readStream.schema(EVENT_SCHEMA).parquet(events_dir)
+    ``trigger_once``; it still honours ``max_files_per_trigger``)."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    events = reader.parquet(events_dir)
     writer = (run_updates(events).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint)
               .foreachBatch(state_writer(state_root)))
@@ -95,3 +99,36 @@ def current_runs(spark: SparkSession, state_root: str) -> DataFrame | None:
                     F.coalesce(F.col("last.row_counts"),
                                F.create_map().cast("map<string,bigint>")).alias("row_counts"),
                     F.col("last.error_summary").alias("error_summary"))
+
+
+def replay(spark: SparkSession, events: DataFrame, root: str,
+           max_files_per_trigger: int = 8) -> DataFrame:
+    """Fold an audit log incrementally, as it would have arrived, and return
+    the resulting run state.
+
+    The log is written in ``event_day`` folders, and the stream takes at most
+    ``max_files_per_trigger`` files per micro-batch, so the state is built
+    over several batches. Each batch folds into the previous state table. The
+    result must equal the batch :func:`operators.audit.run_state` of the log.
+
+    The stream runs in a sibling session (same cluster, own SQL settings)
+    with one state partition per core: a streaming aggregate keeps a state
+    store per shuffle partition and visits all of them in every batch, and the
+    caller's session settings stay untouched.
+    """
+    from pyspark.sql import types as T
+    events_dir = f"{root}/events"
+    (events.withColumn("event_day", F.to_date("event_ts"))
+     .write.mode("errorifexists").partitionBy("event_day").parquet(events_dir))
+    schema = T.StructType(EVENT_SCHEMA.fields + [T.StructField("event_day", T.DateType())])
+    streaming = spark.newSession()
+    streaming.conf.set("spark.sql.shuffle.partitions",
+                       str(max(1, spark.sparkContext.defaultParallelism)))
+    q = start(streaming, events_dir, f"{root}/state", f"{root}/checkpoint", trigger_once=True,
+              max_files_per_trigger=max_files_per_trigger, schema=schema)
+    q.awaitTermination()
+    state = current_runs(spark, f"{root}/state")
+    if state is None:  # an empty log produces no batch
+        from ..operators.audit import run_state
+        return run_state(spark.read.schema(EVENT_SCHEMA).parquet(events_dir))
+    return state
