@@ -921,21 +921,20 @@ def _map_json(c: str):
     return F.to_json(F.col(c))
 
 
-@register("run_audit_state", sql(f"""
+_RUN_STATE_SQL = sql(f"""
 SELECT run_id, status, strftime(started_at, {TS}) AS started_at,
        strftime(completed_at, {TS}) AS completed_at, duration_seconds, lake_prefix,
        row_counts, error_summary
-FROM run_state_out""", _audit_ctes()))
+FROM run_state_out""", _audit_ctes())
+
+
+@register("run_audit_state", _RUN_STATE_SQL)
 def q_run_audit_state(spark, sf_dir):
     s = AU.run_state(_audit_events(spark, sf_dir))
     return s.withColumn("row_counts", _map_json("row_counts"))
 
 
-@register("run_audit_state_stream", sql(f"""
-SELECT run_id, status, strftime(started_at, {TS}) AS started_at,
-       strftime(completed_at, {TS}) AS completed_at, duration_seconds, lake_prefix,
-       row_counts, error_summary
-FROM run_state_out""", _audit_ctes()))
+@register("run_audit_state_stream", _RUN_STATE_SQL)
 def q_run_audit_state_stream(spark, sf_dir):
     """The same run state, built incrementally by Structured Streaming."""
     import uuid
