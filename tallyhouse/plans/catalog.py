@@ -537,6 +537,16 @@ def q_manifest_row_counts(spark, sf_dir):
             .groupBy("table").agg(F.sum("row_count").cast("long").alias("row_count")))
 
 
+@register("lake_runs", None)
+def q_lake_runs(spark, sf_dir):
+    """Committed lake runs found by their ``run_date=…/run_id=…`` prefixes
+    (rows-only: the run id is generated)."""
+    from ..sources import lake
+    wh = warehouse(spark, sf_dir)
+    prefix = wh.metadata.where(F.col("key") == "lake_prefix").select("value").first()[0]
+    return lake.lake_runs(spark, prefix.split("/run_date=")[0])
+
+
 @register("warehouse_metadata", None)
 def q_warehouse_metadata(spark, sf_dir):
     return warehouse(spark, sf_dir).metadata
@@ -1006,7 +1016,7 @@ WHERE status = 'running'
                                   _audit_ctes()))
 def q_released_runs(spark, sf_dir):
     import datetime as dt
-    as_of = dt.datetime.fromisoformat(RELEASE_AS_OF)
+    as_of = dt.datetime.fromisoformat(RELEASE_AS_OF).replace(tzinfo=dt.timezone.utc)
     rel = AU.release_stale_runs(_audit_events(spark, sf_dir), as_of,
                                 dt.timedelta(days=RELEASE_OLDER_THAN_DAYS))
     return rel.withColumn("row_counts", _map_json("row_counts"))

@@ -190,6 +190,20 @@ def verify_run(spark: SparkSession, prefix: str) -> None:
         raise LakeError(f"manifest under {prefix} lists a different number of files than {want}")
 
 
+def lake_runs(spark: SparkSession, lake_root: str) -> DataFrame:
+    """One row per committed run under ``lake_root``: the ``run_date`` and
+    ``run_id`` partition values of its prefix, when it was extracted, how many
+    files and rows it holds. A run without a manifest header (a write that
+    did not finish) is not listed."""
+    root = lake_root.rstrip("/")
+    headers = (spark.read.schema(MANIFEST_SCHEMA).option("basePath", root)
+               .json(f"{root}/run_date=*/run_id=*/{MANIFEST}"))
+    return headers.select(
+        "run_date", "run_id", "extracted_at", "file_count",
+        F.aggregate(F.map_values("row_counts"), F.lit(0).cast("long"),
+                    lambda acc, x: acc + x).alias("rows"))
+
+
 def read_run(spark: SparkSession, prefix: str) -> dict[str, DataFrame]:
     """The four tables of a run, with their declared schemas."""
     return {t: spark.read.schema(RAW[t]).parquet(f"{prefix}/{t}") for t in RAW_TABLES}

@@ -174,10 +174,12 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("event_type") == "error"
     return ev.select(
         run_id.alias("run_id"),
-        F.col("ts").cast("timestamp").alias("event_ts"),
+        # the log's wall-clock times are UTC: parsed with an explicit zone, so
+        # the instant does not depend on the session time zone
+        F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("event_ts"),
         status.alias("status"),
         F.when(ok, F.from_json("props", "map<string,bigint>")).alias("row_counts"),
-        F.when(ok, F.concat(F.lit("raw/run_date="), F.date_format("ts", "yyyy-MM-dd"),
+        F.when(ok, F.concat(F.lit("raw/run_date="), F.to_date("ts").cast("string"),
                             F.lit("/run_id="), run_id)).alias("lake_prefix"),
         F.when(failed, summarise(F.concat(F.lit("run failed after event "), F.col("props"))))
         .alias("error_summary"))

@@ -91,3 +91,13 @@ def test_position_within_equals_grouped_row_number(spark):
     want = df.select("g", "id", (F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1)
                      .cast("int").alias("pos"))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_lake_runs_lists_committed_runs(spark, scratch, f1):
+    lake_root = scratch + "/raw"
+    lake.upload_run(spark, f1, lake_root, "2026-03-05", "ra")
+    lake.upload_run(spark, f1, lake_root, "2026-03-06", "rb")
+    # a run whose write never finished: tables but no manifest header
+    lake.write_table(f1["orders"], lake.run_prefix(lake_root, "2026-03-07", "rc") + "/orders")
+    runs = sorted((r.run_date, r.run_id, r.rows) for r in lake.lake_runs(spark, lake_root).collect())
+    assert runs == [("2026-03-05", "ra", 11), ("2026-03-06", "rb", 11)]

@@ -90,3 +90,21 @@ def test_series_table(spark):
     df = spark.createDataFrame([(f"2026-01-{d:02d}", float(d)) for d in range(1, 31)] * 3,
                                "date string, revenue double")
     assert series.series_table(df).count() == 60
+
+
+def test_edge_text_ignores_session_time_zone(spark):
+    """Wall-clock times keep their text (even inside a daylight-saving gap of
+    the session zone); instants are rendered in UTC."""
+    from tallyhouse.functions.edge import to_edge
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_ntz'1995-04-02 02:21:00' AS w, "
+                       "timestamp'2024-01-01 00:00:07.5Z' AS i, "
+                       "timestamp'1969-12-31 23:59:59Z' AS e, "
+                       "CAST(NULL AS TIMESTAMP) AS n")
+        r = to_edge(df).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert (r.w, r.i, r.e, r.n) == ("1995-04-02 02:21:00", "2024-01-01 00:00:07",
+                                    "1969-12-31 23:59:59", None)
