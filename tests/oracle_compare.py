@@ -80,8 +80,9 @@ def compare(spark, sf_dir: str, names: list[str] | None = None) -> dict:
                 if not rec["match"]:
                     rec["spark_cols"], rec["duck_cols"] = scols, dcols
                     rec["duck_rows"] = len(drows)
-                    diff_s = [r for r in srows if r not in set(drows)][:3]
-                    diff_d = [r for r in drows if r not in set(srows)][:3]
+                    dset, sset = set(drows), set(srows)
+                    diff_s = [r for r in srows if r not in dset][:3]
+                    diff_d = [r for r in drows if r not in sset][:3]
                     rec["spark_only"], rec["duck_only"] = diff_s, diff_d
             else:
                 rec["match"] = None
