@@ -58,11 +58,17 @@ def order_intake(headers: DataFrame, lines: DataFrame, customers: DataFrame,
     # join is null-safe, so lines group exactly as ``partitionBy`` would.
     # One more join prices the lines, and one groupBy per order folds every
     # line rule, the total and the first repeated line.
-    firsts = (lines.groupBy("order_ref", "product_id").agg(F.min("position").alias("first_pos"))
-              .select(F.col("order_ref").alias("_o"), F.col("product_id").alias("_p"),
-                      "first_pos"))
-    marked = lines.join(firsts, lines["order_ref"].eqNullSafe(firsts["_o"])
-                        & lines["product_id"].eqNullSafe(firsts["_p"]), "left").drop("_o", "_p")
+    if on_repeat == "merge":
+        # merged lines are unique per (order, product): each is its own first
+        marked = lines.withColumn("first_pos", F.col("position"))
+    else:
+        firsts = (lines.groupBy("order_ref", "product_id")
+                  .agg(F.min("position").alias("first_pos"))
+                  .select(F.col("order_ref").alias("_o"), F.col("product_id").alias("_p"),
+                          "first_pos"))
+        marked = lines.join(firsts, lines["order_ref"].eqNullSafe(firsts["_o"])
+                            & lines["product_id"].eqNullSafe(firsts["_p"]),
+                            "left").drop("_o", "_p")
     repeat_pos = F.when(F.col("position") > F.col("first_pos"), F.col("position"))
     priced = (marked
               .join(catalogue, "product_id", "left")
