@@ -211,3 +211,34 @@ def test_audit_log_from_events(spark):
         want = testdata.RUN_STATUS_BY_EVENT[last[int(r["run_id"][4:])]]
         assert r["status"] == want
         assert (r["completed_at"] is not None) == (want in ("succeeded", "failed"))
+
+
+def test_order_intake_with_a_hot_order_matches_brute_force(spark):
+    """A third of all proposed lines in one order: the skew-safe intake gives
+    the first repeated line and what it repeats exactly as a per-order window
+    (the brute force) does."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from tallyhouse.operators import intake
+    from tallyhouse.plans.catalog import proposals
+    heads, lines, raw = proposals(spark, "/root/testdata/sf0.001")
+    hot = heads.select("order_ref").orderBy("order_ref").first()[0]
+    n = lines.count()
+    # re-home every third line into the hot order, at fresh positions after its own
+    w = Window.orderBy("order_ref", "position")
+    moved = (lines.withColumn("_i", F.row_number().over(w))
+             .withColumn("order_ref", F.when(F.col("_i") % 3 == 0, F.lit(hot))
+                         .otherwise(F.col("order_ref")))
+             .withColumn("position", F.when(F.col("_i") % 3 == 0, F.col("_i") + n)
+                         .otherwise(F.col("position")))
+             .drop("_i"))
+    got = {r.order_ref: (r.first_repeat, r.repeat_of, r.line_count) for r in intake.order_intake(
+        heads, moved, raw["customers"], raw["products"], "2000-01-01").collect()}
+    first = F.min("position").over(Window.partitionBy("order_ref", "product_id"))
+    rep = F.when(F.col("position") > F.col("first"), F.col("position"))
+    want = {r.order_ref: (r.fr, r.ro, r.lc) for r in moved.withColumn("first", first)
+            .groupBy("order_ref").agg(F.min(rep).alias("fr"), F.min_by("first", rep).alias("ro"),
+                                      F.count(F.lit(1)).alias("lc")).collect()}
+    assert got[hot][2] >= n // 3
+    for ref, (fr, ro, lc) in want.items():
+        assert got[ref] == (fr, ro, lc), ref
