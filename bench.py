@@ -24,7 +24,7 @@ HEADLINE = [
     "sales_by_city", "daily_sales", "sales_weekly", "sparkline", "kpi_delta",
     "orders_page", "order_totals", "customer_search", "quality_report", "validation_report",
     "dataset_statistics", "loyal_share", "order_intake", "order_intake_merged",
-    "redact_errors",
+    "redact_errors", "run_audit_state", "pipeline_status",
 ]
 
 
