@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, toxicity
+from . import ngram_join, packing, toxicity
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,12 +21,16 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("sig")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_toxicity, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op4_ngram_jaccard_join, op7_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
