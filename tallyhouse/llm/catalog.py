@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join, packing, toxicity
+from . import ngram_join, packing, pii, toxicity
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +29,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_toxicity, op4_ngram_jaccard_join, op7_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op4_ngram_jaccard_join, op7_best_fit_packing,
+                                       op9_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
