@@ -78,7 +78,7 @@ class Ids:
             e = self.tokenizer.encode("".join(some), add_special_tokens=False)
             data = np.array(e.ids, dtype="<u4").tobytes()
             cuts = [*np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)).tolist(), len(e.ids)]
-            self.known.update((w, data[4 * a: 4 * b]) for w, a, b in zip(some, cuts, cuts[1:], strict=True))
+            self.known.update((w, data[4 * a: 4 * b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
         for word in set(new).difference(plain):
             self.known[word] = self.whole(word)
         value = self.known.__getitem__
