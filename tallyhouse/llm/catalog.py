@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, ngram_join, packing, pii, toxicity
+from . import ann, fingerprint, ngram_join, packing, pii, toxicity
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.report(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents")).drop("sig")
 
@@ -39,7 +43,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, QueryFn]:
-    return {f.__name__: f for f in (op1_toxicity, op4_ngram_jaccard_join, op6_nearest_neighbours, op7_best_fit_packing,
+    return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op4_ngram_jaccard_join, op6_nearest_neighbours, op7_best_fit_packing,
                                        op9_pii)}
 
 
