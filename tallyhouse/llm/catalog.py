@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprint, ngram_join, packing, pii, toxicity
+from . import ann, fingerprint, html_main, ngram_join, packing, pii, toxicity
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -42,9 +42,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, QueryFn]:
     return {f.__name__: f for f in (op1_toxicity, op3_fingerprints, op4_ngram_jaccard_join, op6_nearest_neighbours, op7_best_fit_packing,
-                                       op9_pii)}
+                                       op9_pii, op10_html_extraction)}
 
 
 def oracle_sql() -> dict[str, str]:
