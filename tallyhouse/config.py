@@ -40,7 +40,6 @@ REDACTED = "[redacted]"
 
 # Patterns (Java regex syntax; also valid RE2 for the DuckDB oracle).
 UUID_V4_PATTERN = r"^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
-MONEY_PATTERN = r"^\d+\.\d{2}$"
 DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$"
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 # --- end of fixed values ----------------------------------------------------

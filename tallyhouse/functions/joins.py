@@ -1,4 +1,4 @@
-"""Join sizing: broadcast only what is proven small."""
+"""One-row joins without a cross join."""
 
 from __future__ import annotations
 
@@ -6,18 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    Above the bound the frame is returned unhinted, so the planner (and AQE,
-    with the runtime shuffle statistics) picks a shuffled join instead.
-    The check is one cheap count over a dimension-sized frame.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def one_row(df: DataFrame) -> Column:
     """The single row of ``df`` (a global aggregate) as a struct scalar subquery.
 

@@ -145,10 +145,9 @@ def top_products(wh: Warehouse, from_: str | None = None, to: str | None = None,
     winners meet the product attributes.
     """
     check_top_n(top_n)
-    best = product_totals(wh, from_, to).join(
-        wh.dim_product.select("product_key", "product_id"), "product_key"
-    ).orderBy(F.col("rev").desc(), F.col("product_id")).limit(top_n)
-    attrs = wh.dim_product.select("product_key", "sku", "name", "category")
+    # product_key is the rank of product_id, so it breaks ties the same way
+    best = product_totals(wh, from_, to).orderBy(F.col("rev").desc(), "product_key").limit(top_n)
+    attrs = wh.dim_product.select("product_key", "product_id", "sku", "name", "category")
     # best holds at most TOP_N_MAX rows: a proven broadcast bound
     return attrs.join(F.broadcast(best), "product_key").orderBy(
         F.col("rev").desc(), F.col("product_id")).select(

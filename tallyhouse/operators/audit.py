@@ -159,10 +159,11 @@ def append_events(events: DataFrame, path: str) -> None:
 
 def release_stale_runs(events: DataFrame, as_of: _dt.datetime,
                        older_than: _dt.timedelta) -> DataFrame:
-    """Failed events for runs still 'running' that started before
-    ``as_of - older_than`` — abandoned runs must not hold the active slot."""
+    """Failed events for runs still active ('running', or 'queued' and never
+    claimed) that started or were queued before ``as_of - older_than`` —
+    abandoned runs must not hold the active slot."""
     cutoff = as_of - older_than
-    stale = run_state(events).where((F.col("status") == "running")
+    stale = run_state(events).where(F.col("status").isin(*ACTIVE_RUN_STATUSES)
                                     & (F.col("started_at") < F.lit(cutoff)))
     return stale.select(
         "run_id", F.lit(as_of).cast("timestamp").alias("event_ts"),

@@ -30,12 +30,16 @@ ISSUE_ORDER = ("customer_not_found", "product_not_found", "product_inactive", "f
 
 def merge_repeats(lines: DataFrame) -> DataFrame:
     """One line per (order, product): quantities summed and capped, the first
-    position and the first explicit price kept."""
+    position and the first explicit price kept. What the cap and the choice of
+    price leave out is reported: ``requested_quantity`` is the whole sum, and
+    ``price_conflict`` tells that the merged lines named different prices."""
     return lines.groupBy("order_ref", "product_id").agg(
         F.min("position").alias("position"),
         F.least(F.sum("quantity"), F.lit(MAX_QUANTITY_PER_LINE)).cast("int").alias("quantity"),
         F.min_by("unit_price_at_sale", F.when(F.col("unit_price_at_sale").isNotNull(),
-                                              F.col("position"))).alias("unit_price_at_sale"))
+                                              F.col("position"))).alias("unit_price_at_sale"),
+        F.sum("quantity").cast("long").alias("requested_quantity"),
+        (F.min("unit_price_at_sale") < F.max("unit_price_at_sale")).alias("price_conflict"))
 
 
 def _issues(flags: list[tuple[str, Column]]) -> Column:
@@ -61,11 +65,14 @@ def order_intake(headers: DataFrame, lines: DataFrame, customers: DataFrame,
     if on_repeat == "merge":
         # merged lines are unique per (order, product): each is its own first
         marked = lines.withColumn("first_pos", F.col("position"))
+        extra = [F.coalesce(F.sum(F.col("requested_quantity") - F.col("quantity")), F.lit(0)).alias("clipped"),
+                 F.count_if("price_conflict").alias("conflicts")]
     else:
         firsts = (lines.groupBy("order_ref", "product_id")
                   .agg(F.min("position").alias("first_pos"))
                   .select(F.col("order_ref").alias("_o"), F.col("product_id").alias("_p"),
                           "first_pos"))
+        extra = []
         marked = lines.join(firsts, lines["order_ref"].eqNullSafe(firsts["_o"])
                             & lines["product_id"].eqNullSafe(firsts["_p"]),
                             "left").drop("_o", "_p")
@@ -83,7 +90,7 @@ def order_intake(headers: DataFrame, lines: DataFrame, customers: DataFrame,
         F.sum("quantity").alias("units"),
         F.sum(F.col("quantity") * F.col("price")).alias("total"),
         F.min(repeat_pos).alias("first_repeat"),
-        F.min_by("first_pos", repeat_pos).alias("repeat_of"))
+        F.min_by("first_pos", repeat_pos).alias("repeat_of"), *extra)
 
     known = customers.select(F.col("id").alias("customer_id"), F.lit(True).alias("_known"))
     h = (headers.join(known, "customer_id", "left")
@@ -110,7 +117,10 @@ def order_intake(headers: DataFrame, lines: DataFrame, customers: DataFrame,
         (F.size(issues) == 0).alias("accepted"),
         F.array_join(issues, ",").alias("issues"),
         F.col("first_repeat").cast("int").alias("first_repeat"),
-        F.col("repeat_of").cast("int").alias("repeat_of"))
+        F.col("repeat_of").cast("int").alias("repeat_of"),
+        # only a merge clips units or drops a price, and it says so
+        *([F.coalesce("clipped", F.lit(0)).cast("long").alias("clipped_units"),
+           F.coalesce("conflicts", F.lit(0)).cast("long").alias("price_conflicts")] if on_repeat == "merge" else []))
 
 
 def accepted_lines(intake: DataFrame, lines: DataFrame, products: DataFrame,
@@ -171,7 +181,7 @@ def product_intake(proposed: DataFrame, products: DataFrame) -> DataFrame:
         ("invalid_name", ~_length_between(F.col("name"), 1, 160) | F.col("name").isNull()),
         ("invalid_category", ~_length_between(F.col("category"), 1, 80)
          | F.col("category").isNull()),
-        ("invalid_price", ~valid_money(F.col("unit_price").cast("double"))),
+        ("invalid_price", ~valid_money(F.col("unit_price"))),
         ("sku_conflict", F.col("_taken").isNotNull() | (F.col("_n") > 1)),
     ]
     issues = _issues(flags)

@@ -44,6 +44,14 @@ def orphans(raw: dict[str, DataFrame]) -> DataFrame:
                    anti(i, "product_id", p, "item_product")])
 
 
+def extract_gate(raw: dict[str, DataFrame]) -> DataFrame:
+    """What must hold before anything immutable is written: (check, affected)
+    for null values per table and for children without a parent."""
+    nulls = schema_violations(raw).select(F.concat(F.lit("nulls_in_"), "table").alias("check"),
+                                          F.col("null_rows").alias("affected"))
+    return nulls.unionByName(orphans(raw))
+
+
 def constraint_violations(raw: dict[str, DataFrame]) -> DataFrame:
     """The source table CHECK constraints, counted per constraint."""
     c, p, o, i = (raw[t] for t in RAW_TABLES)

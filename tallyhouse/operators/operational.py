@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX, SEARCH_LIMIT
+from ..config import ORDER_STATUSES, PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX, SEARCH_LIMIT
 
 
 def check_page(limit: int, offset: int) -> None:
@@ -83,8 +83,18 @@ def products_page(products: DataFrame, category: str | None = None, active: bool
     return _page(df, _sort(PRODUCT_ORDER), limit, offset)
 
 
+def by_id(df: DataFrame, key: str, column: str = "id") -> DataFrame:
+    """The row of ``key``; an empty frame when it is unknown."""
+    return df.where(F.col(column) == key)
+
+
 def filter_orders(orders: DataFrame, customer_id: str | None = None, status: str | None = None,
                   from_: str | None = None, to: str | None = None) -> DataFrame:
+    """Orders by customer, known status and an ordered date range."""
+    if status is not None and status not in ORDER_STATUSES:
+        raise ValueError(f"unknown order status {status!r}")
+    if from_ is not None and to is not None and from_ > to:
+        raise ValueError("the first day must not be after the last")
     if customer_id is not None:
         orders = orders.where(F.col("customer_id") == customer_id)
     if status is not None:
@@ -215,7 +225,3 @@ def order_estimate(lines: DataFrame, products: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("quantity") * F.coalesce(F.col("price"), F.lit(0))),
                    F.lit(0)).alias("estimated_total"),
         F.coalesce(F.sum("quantity"), F.lit(0)).cast("long").alias("units"))
-
-
-def page_count(total: int, limit: int) -> int:
-    return math.ceil(total / limit) if limit else 0

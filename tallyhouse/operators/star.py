@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 
 from ..config import EXCLUDED_ORDER_STATUSES
 from ..functions.dates import date_attributes
-from ..functions.joins import bounded_broadcast
 from ..functions.keys import materialize, ranked_key
 from ..schemas import STAR, conform
 
 # dim_date spans days, so ~36,600 rows cover a century: a proven broadcast bound.
-DIM_DATE_BROADCAST_ROWS = 40_000
 
 
 class Star(NamedTuple):
@@ -72,9 +70,7 @@ def build_fact_sales(orders: DataFrame, order_items: DataFrame, dim_customer: Da
     headers = (sold_orders(orders)
                .select(F.col("id").alias("order_id"), "customer_id", "order_date")
                .join(dim_customer.select("customer_id", "customer_key"), "customer_id")
-               .join(bounded_broadcast(dim_date.select(F.col("full_date").alias("order_date"),
-                                                       "date_key"), DIM_DATE_BROADCAST_ROWS),
-                     "order_date")
+               .join(dim_date.select(F.col("full_date").alias("order_date"), "date_key"), "order_date")
                .select("order_id", "customer_key", "date_key"))
     lines = order_items.select(F.col("id").alias("order_item_id"), "order_id", "product_id",
                                "quantity", F.col("unit_price_at_sale").alias("unit_price"))

@@ -41,9 +41,12 @@ def _dups(col: Column, df: DataFrame) -> DataFrame:
 
 
 def valid_money(v: Column) -> Column:
-    """Non-negative, inside numeric(12,2), at most two decimal places."""
-    return (v.isNotNull() & (v >= 0) & (v <= MONEY_MAX)
-            & (F.abs(v * 100 - F.round(v * 100)) < 1e-6))
+    """Non-negative, inside numeric(12,2), at most two decimal places.
+
+    Exact: the amount must survive the round trip through decimal(12,2); a
+    double has that one nearest two-decimal amount or none."""
+    exact = v.try_cast("decimal(12,2)")
+    return v.isNotNull() & exact.isNotNull() & (exact >= 0) & (v <= MONEY_MAX) & (exact.cast("double") == v.cast("double"))
 
 
 def validation_report(ds: dict[str, DataFrame], requested,
@@ -107,27 +110,27 @@ def validation_report(ds: dict[str, DataFrame], requested,
         requested_rule(ps, "requested_product_count", "products"),
         requested_rule(os_, "requested_order_count", "orders"),
         _rule(_dups(F.col("id"), c), "unique_customer_id", F.col("n"),
-              "two customers share a primary key"),
+              "customer id occurs more than once"),
         _rule(_dups(F.col("id"), p), "unique_product_id", F.col("n"),
-              "two products share a primary key"),
+              "product id occurs more than once"),
         _rule(_dups(F.col("id"), o), "unique_order_id", F.col("n"),
-              "two orders share a primary key"),
+              "order id occurs more than once"),
         _rule(_dups(F.col("id"), i), "unique_order_item_id", F.col("n"),
-              "two order items share a primary key"),
-        _rule(ids, "uuid_v4_shape", F.col("n"), "identifier is not a valid UUID v4"),
+              "line id occurs more than once"),
+        _rule(ids, "uuid_v4_shape", F.col("n"), "id has not the form of a version 4 UUID"),
         _rule(_dups(F.lower(F.col("email")), c), "unique_customer_email", F.col("n"),
-              "customer e-mail is unique and case-insensitive"),
-        _rule(_dups(F.col("sku"), p), "unique_product_sku", F.col("n"), "sku is unique"),
+              "e-mail occurs more than once, ignoring case"),
+        _rule(_dups(F.col("sku"), p), "unique_product_sku", F.col("n"), "sku occurs more than once"),
         _rule(_count(o.join(c.select(F.col("id").alias("customer_id")), "customer_id",
                             "left_anti")), "order_customer_exists", F.col("n"),
-              "order references a customer that is not in the dataset"),
+              "the order's customer is absent"),
         _rule(order_match, "order_item_order_exists", F.col("orphan_lines"),
-              "order item references an order that is not in the dataset"),
+              "the line's order is absent"),
         _rule(product_match, "order_item_product_exists", F.col("missing"),
-              "order item references a product that is not in the dataset"),
+              "the line's product is absent"),
         _rule(cs, "customer_email_shape", F.col("bad_email"), "e-mail has no valid shape"),
         _rule(cs, "blank_text", F.col("blank") + one_row(ps)["blank"],
-              "a required text column is blank"),
+              "a text that must be filled is blank"),
         _rule(money_bad, "money_scale", F.col("n"), "price is not a two-decimal amount"),
         _rule(its, "quantity_positive", F.col("bad_qty"), "quantity is not a positive integer"),
         _rule(os_, "order_status_known", F.col("bad_status"), "status is not a known status"),
@@ -135,11 +138,11 @@ def validation_report(ds: dict[str, DataFrame], requested,
         _rule(pairs.agg(F.sum(F.col("c") - 1).alias("n")), "one_line_per_product", F.col("n"),
               "order repeats a product"),
         _rule(order_match, "order_has_items", F.col("empty_orders"),
-              "order has no line items and therefore no revenue"),
+              "the order has no line"),
         _rule(product_match, "active_products_only", F.col("inactive"),
-              "order item sells an inactive product"),
+              "the line's product is inactive"),
         _rule(os_, "order_date_within_window", F.col("late"),
-              f"order falls after the end date ({end_date})"),
+              f"the order is later than {end_date}"),
     ]
     out = rules[0]
     for r in rules[1:]:

@@ -14,6 +14,7 @@ from ..operators import quality
 from ..operators import series as S
 from ..operators import shape as SH
 from ..operators import validate as V
+from ..schemas import RAW
 from ..sources import testdata
 from .oracle import avg_money_sql, key_window, sql
 from .registry import register, warehouse
@@ -184,6 +185,18 @@ def q_sales_by_category(spark, sf_dir):
     return A.sales_by_category(warehouse(spark, sf_dir))
 
 
+@register("sales_by_category_window", sql(f"""
+SELECT p.category, CAST(sum(f.revenue) AS DOUBLE) AS revenue,
+       CAST(sum(f.quantity) AS BIGINT) AS units_sold,
+       CAST(count(DISTINCT f.order_id) AS BIGINT) AS order_count
+FROM fact_sales f JOIN dim_product p ON p.product_key = f.product_key
+JOIN dim_date d ON d.date_key = f.date_key
+WHERE d.full_date BETWEEN DATE '{WINDOW[0]}' AND DATE '{WINDOW[1]}'
+GROUP BY p.category ORDER BY sum(f.revenue) DESC, p.category"""))
+def q_sales_by_category_window(spark, sf_dir):
+    return A.sales_by_category(warehouse(spark, sf_dir), *WINDOW)
+
+
 _TOP_SQL = f"""
 SELECT p.product_id, p.sku, p.name, p.category, CAST(sum(f.revenue) AS DOUBLE) AS revenue,
        CAST(sum(f.quantity) AS BIGINT) AS units_sold
@@ -219,6 +232,20 @@ def q_sales_by_city(spark, sf_dir):
     return A.sales_by_city(warehouse(spark, sf_dir))
 
 
+@register("top_products_until", sql(_TOP_SQL.replace(
+    "GROUP BY", f"WHERE d.full_date <= DATE '{WINDOW[1]}'\nGROUP BY", 1)))
+def q_top_products_until(spark, sf_dir):
+    """A window without a start."""
+    return A.top_products(warehouse(spark, sf_dir), None, WINDOW[1], top_n=TOP_N)
+
+
+@register("sales_by_city_since", sql(_CITY_SQL.replace(
+    "GROUP BY", f"WHERE f.date_key >= {WINDOW[0].replace('-', '')}\nGROUP BY", 1)))
+def q_sales_by_city_since(spark, sf_dir):
+    """A window without an end."""
+    return A.sales_by_city(warehouse(spark, sf_dir), WINDOW[0], None)
+
+
 @register("city_share_of_leader", sql(f"""
 SELECT city, state, revenue,
        CAST(CASE WHEN max(revenue) OVER () > 0 THEN round(revenue / max(revenue) OVER () * 100, 0) ELSE 0 END AS BIGINT) AS share_of_leader
@@ -404,6 +431,22 @@ def q_order_by_id(spark, sf_dir):
                                       r["products"], ORDER_ID))
 
 
+LOOKUP_ID = "7"
+
+
+@register("customer_by_id", sql(f"""
+SELECT id, name, email, city, state, strftime(created_at, {TS}) AS created_at FROM stg_customers WHERE id = '{LOOKUP_ID}'"""))
+def q_customer_by_id(spark, sf_dir):
+    return O.by_id(_raw(spark, sf_dir)["customers"], LOOKUP_ID)
+
+
+@register("product_by_id", sql(f"""
+SELECT id, sku, name, category, CAST(unit_price AS DOUBLE) AS unit_price, active,
+       strftime(created_at, {TS}) AS created_at FROM stg_products WHERE id = '{LOOKUP_ID}'"""))
+def q_product_by_id(spark, sf_dir):
+    return O.by_id(_raw(spark, sf_dir)["products"], LOOKUP_ID)
+
+
 @register("page_totals", sql(f"""
 SELECT listing, total, CAST(l AS BIGINT) AS "limit", CAST(o AS BIGINT) AS "offset",
        CAST(CASE WHEN total > o THEN o + 1 ELSE 0 END AS BIGINT) AS first_row,
@@ -485,6 +528,19 @@ def q_orphans(spark, sf_dir):
     return I.orphans(_raw(spark, sf_dir))
 
 
+_NULLS_SQL = "".join(
+    f"SELECT 'nulls_in_{t}' AS \"check\", CAST(count(*) FILTER (WHERE {' OR '.join(f.name + ' IS NULL' for f in RAW[t].fields)}) AS BIGINT) AS affected FROM stg_{t}\nUNION ALL "
+    for t in RAW)
+
+
+@register("extract_gate", sql(_NULLS_SQL + """
+SELECT 'order_customer', CAST(count(*) AS BIGINT) FROM stg_orders o LEFT JOIN stg_customers c ON c.id = o.customer_id WHERE c.id IS NULL
+UNION ALL SELECT 'item_order', count(*) FROM stg_order_items i LEFT JOIN stg_orders o ON o.id = i.order_id WHERE o.id IS NULL
+UNION ALL SELECT 'item_product', count(*) FROM stg_order_items i LEFT JOIN stg_products p ON p.id = i.product_id WHERE p.id IS NULL"""))
+def q_extract_gate(spark, sf_dir):
+    return I.extract_gate(_raw(spark, sf_dir))
+
+
 _EMAIL_RE = EMAIL_PATTERN.replace("'", "''")
 
 
@@ -576,7 +632,7 @@ ds_items AS (SELECT id, order_id, product_id, quantity, l_extendedprice AS unit_
 ds_orders AS (SELECT id, customer_id, status, strftime(order_date, '%Y-%m-%d') AS order_date FROM stg_orders)"""
 
 _UUID = UUID_V4_PATTERN
-_MONEY_OK = "({v} IS NOT NULL AND {v} >= 0 AND {v} <= 9999999999.99 AND abs({v} * 100 - round({v} * 100)) < 1e-6)"
+_MONEY_OK = "({v} IS NOT NULL AND {v} >= 0 AND {v} <= 9999999999.99 AND regexp_full_match(CAST({v} AS VARCHAR), '[0-9]+([.][0-9]{{1,2}})?'))"
 
 
 def _dup_sql(expr: str, table: str) -> str:
@@ -748,7 +804,8 @@ lines AS (SELECT order_ref, position, product_id, quantity,
 
 _MERGED = """
 mlines AS (SELECT order_ref, product_id, min(position) AS position, CAST(least(sum(quantity), 1000) AS INTEGER) AS quantity,
-                  arg_min(unit_price_at_sale, position) FILTER (WHERE unit_price_at_sale IS NOT NULL) AS unit_price_at_sale
+                  arg_min(unit_price_at_sale, position) FILTER (WHERE unit_price_at_sale IS NOT NULL) AS unit_price_at_sale,
+                  greatest(sum(quantity) - 1000, 0) AS clipped, count(DISTINCT unit_price_at_sale) > 1 AS conflict
            FROM lines GROUP BY order_ref, product_id)"""
 
 
@@ -794,7 +851,10 @@ def q_order_intake(spark, sf_dir):
     return _intake_out(N.order_intake(headers, lines, r["customers"], r["products"], AS_OF))
 
 
-@register("order_intake_merged", sql(f"SELECT *, issues = '' AS accepted FROM ({_intake_sql('mlines')}) t",
+@register("order_intake_merged", sql(f"""SELECT t.*, issues = '' AS accepted, CAST(coalesce(m.clipped, 0) AS BIGINT) AS clipped_units,
+       CAST(coalesce(m.conflicts, 0) AS BIGINT) AS price_conflicts
+FROM ({_intake_sql('mlines')}) t
+LEFT JOIN (SELECT order_ref, sum(clipped) AS clipped, count(*) FILTER (WHERE conflict) AS conflicts FROM mlines GROUP BY order_ref) m USING (order_ref)""",
                                      _PROPOSALS, _MERGED))
 def q_order_intake_merged(spark, sf_dir):
     headers, lines, r = proposals(spark, sf_dir)
@@ -831,6 +891,31 @@ def q_catalogue_intake(spark, sf_dir):
     return N.customer_intake(proposed, _raw(spark, sf_dir)["customers"]).drop("accepted")
 
 
+@register("product_intake", sql("""
+SELECT ref, sku, name, category, CAST(CAST(unit_price AS DECIMAL(12,2)) AS DOUBLE) AS unit_price, active,
+       concat_ws(',', CASE WHEN sku IS NULL OR length(sku) NOT BETWEEN 1 AND 40 THEN 'invalid_sku' END,
+                      CASE WHEN name IS NULL OR length(name) NOT BETWEEN 1 AND 160 THEN 'invalid_name' END,
+                      CASE WHEN category IS NULL OR length(category) NOT BETWEEN 1 AND 80 THEN 'invalid_category' END,
+                      CASE WHEN NOT regexp_full_match(CAST(unit_price AS VARCHAR), '[0-9]+([.][0-9]{1,2}0*)?') THEN 'invalid_price' END,
+                      CASE WHEN EXISTS (SELECT 1 FROM stg_products s WHERE s.sku = q.sku) OR cnt > 1 THEN 'sku_conflict' END) AS issues
+FROM (SELECT t.*, count(*) OVER (PARTITION BY sku) AS cnt FROM (
+      SELECT CAST(p_partkey AS VARCHAR) AS ref, 'SKU-' || CAST((p_partkey * 3) // 2 AS VARCHAR) AS sku, trim(p_name) AS name, p_type AS category,
+             CAST(CAST(p_retailprice AS DECIMAL(12,2)) AS DECIMAL(14,4)) + CASE WHEN p_partkey % 7 = 0 THEN 0.001 ELSE 0 END AS unit_price,
+             p_size > 4 AS active FROM part) t) q"""))
+def q_product_intake(spark, sf_dir):
+    """Parts proposed as new products: sku numbers move by half, so some meet
+    the catalogue, and every seventh price has a third decimal place."""
+    p = testdata.read(spark, sf_dir, "part", "p_partkey", "p_name", "p_type", "p_retailprice", "p_size")
+    price = (F.col("p_retailprice").cast("decimal(12,2)").cast("decimal(14,4)")
+             + F.when(F.col("p_partkey") % 7 == 0, F.lit("0.001")).otherwise(F.lit("0")).cast("decimal(4,3)"))
+    proposed = p.select(
+        F.col("p_partkey").cast("string").alias("ref"),
+        F.concat(F.lit("SKU-"), F.expr("(p_partkey * 3) div 2").cast("string")).alias("sku"),
+        F.col("p_name").alias("name"), F.col("p_type").alias("category"),
+        price.alias("unit_price"), (F.col("p_size") > 4).alias("active"))
+    return N.product_intake(proposed, _raw(spark, sf_dir)["products"]).drop("accepted")
+
+
 # --------------------------------------------------------------------------
 # Redaction (§2.10) over whole document texts
 
@@ -852,25 +937,6 @@ def q_redact_errors(spark, sf_dir):
     return AU.error_summaries(docs, "doc_id", "text")
 
 
-# --------------------------------------------------------------------------
-# Synthetic generator (§2.14): volumes and vocabulary taken from the given
-# tables; rows-only (values are seeded draws, not derivable in SQL).
-
-GEN_END = "2026-08-18"
-
-
-@register("gen_orders", None)
-def q_gen_orders(spark, sf_dir):
-    from ..operators.generate import generate_like
-    return generate_like(spark, sf_dir, GEN_END)["orders"]
-
-
-@register("gen_order_items", None)
-def q_gen_order_items(spark, sf_dir):
-    from ..operators.generate import generate_like
-    return generate_like(spark, sf_dir, GEN_END)["order_items"]
-
-
 # --------------------------------------------------------------------------
 # Run audit (SNK-10, PRJ-8, PRJ-10, FLT-7, AGG-15, SRT-8) over the audit log
 # the adapter derives from the driver's ``events`` table.
@@ -944,6 +1010,19 @@ def q_run_audit_state(spark, sf_dir):
     return s.withColumn("row_counts", _map_json("row_counts"))
 
 
+RUN_ID = "run-3"
+
+
+@register("run_by_id", sql(f"""
+SELECT run_id, status, strftime(started_at, {TS}) AS started_at,
+       strftime(completed_at, {TS}) AS completed_at, duration_seconds, lake_prefix,
+       row_counts, error_summary
+FROM run_state_out WHERE run_id = '{RUN_ID}'""", _audit_ctes()))
+def q_run_by_id(spark, sf_dir):
+    s = O.by_id(AU.run_state(_audit_events(spark, sf_dir)), RUN_ID, "run_id")
+    return s.withColumn("row_counts", _map_json("row_counts"))
+
+
 @register("run_audit_state_stream", _RUN_STATE_SQL)
 def q_run_audit_state_stream(spark, sf_dir):
     """The same run state, built incrementally by Structured Streaming."""
@@ -1011,7 +1090,7 @@ SELECT run_id, strftime(TIMESTAMP '{RELEASE_AS_OF}', {TS}) AS event_ts, 'failed'
        CAST(NULL AS VARCHAR) AS row_counts, lake_prefix,
        'released: the run stopped reporting progress' AS error_summary
 FROM run_state
-WHERE status = 'running'
+WHERE status IN ('queued', 'running')
   AND started_at < TIMESTAMP '{RELEASE_AS_OF}' - INTERVAL {RELEASE_OLDER_THAN_DAYS} DAY""",
                                   _audit_ctes()))
 def q_released_runs(spark, sf_dir):

@@ -1,12 +1,13 @@
 """One warehouse run: extract → lake → star → gate → publish.
 
     raw = snapshot(...)                      # four operational DataFrames
+    extract gate: nulls, orphans, types; any failure → nothing is written
     lake run   <root>/raw/run_date=…/run_id=…/<table>/ + manifest (written last)
     verify     re-hash every lake file against the manifest
     star       built from the lake tables as read back (never from the source)
     version    <root>/warehouse/version=<run_id>/<table>/
     gate       quality_report over the written tables; any failure → the version
-               folder is left unpublished and the previous pointer is untouched
+               folder is removed and the previous pointer is untouched
     publish    metadata table, then the ``_CURRENT`` pointer is replaced
 
 Every step is a Spark job over the whole tables; the driver only sees row
@@ -22,15 +23,24 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import EXCLUDED_ORDER_STATUSES, PIPELINE_VERSION, SCHEMA_VERSION, STAR_TABLES
+from ..config import EXCLUDED_ORDER_STATUSES, PIPELINE_VERSION, RAW_TABLES, SCHEMA_VERSION, STAR_TABLES
 from ..operators import quality
+from ..operators.integrity import extract_gate
 from ..operators.star import Star, build_star
-from ..schemas import STAR
+from ..schemas import RAW, STAR, conform
 from ..sources import lake
-from ..sources.warehouse import (POINTER, Warehouse, open_version, table_path,
+from ..sources.warehouse import (POINTER, Warehouse, delete_tree, open_version, table_path,
                                  write_text_atomic)
 
 
+class ExtractError(RuntimeError):
+    """The snapshot holds nulls or orphans; ``failures`` maps each check to its rows."""
+
+    def __init__(self, failures: dict[str, int]):
+        self.failures = failures
+        super().__init__("extract gate failed: " + "; ".join(f"{k}: {n} rows" for k, n in sorted(failures.items())))
+
+
 class RunResult(NamedTuple):
     run_id: str
     lake_prefix: str
@@ -78,6 +88,12 @@ def build_and_publish(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     run_date = run_date or published_at[:10]
     root = root.rstrip("/")
 
+    # Extract gate: nothing is written when the snapshot itself is broken.
+    raw = {t: conform(raw[t], RAW[t]) for t in RAW_TABLES}
+    broken = {r["check"]: r["affected"] for r in extract_gate(raw).where("affected > 0").collect()}
+    if broken:
+        raise ExtractError(broken)
+
     # Lake: write, manifest, verify, read back.
     lake_run = lake.upload_run(spark, raw, f"{root}/raw", run_date, run_id)
     lake.verify_run(spark, lake_run.prefix)
@@ -93,6 +109,7 @@ def build_and_publish(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     failures = quality.failures(report)
     counts = {t: getattr(wh, t).count() for t in STAR_TABLES}
     if failures:
+        delete_tree(spark, version_dir)  # a rejected build is no version
         return RunResult(run_id, lake_run.prefix, version_dir, False, lake_run.row_counts,
                          counts, failures)
 

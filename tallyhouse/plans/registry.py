@@ -24,7 +24,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 _LOCK = threading.Lock()
-_BUILT: dict[tuple[int, str], Warehouse] = {}
+_BUILT: dict[tuple[str, str, str], Warehouse] = {}
 
 
 def register(name: str, oracle: str | None = None):
@@ -61,7 +61,7 @@ def source_fingerprint(spark: SparkSession, sf_dir: str) -> str:
         entries.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
     h = hashlib.sha1("\n".join(sorted(entries)).encode())
     h.update(_code_digest().encode())
-    return h.hexdigest()[:16]
+    return h.hexdigest()
 
 
 def warehouse(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Warehouse:
@@ -76,17 +76,19 @@ def warehouse(spark: SparkSession, sf_dir: str, reuse: bool = True) -> Warehouse
     from .pipeline import build_and_publish, published
     from ..sources.testdata import snapshot
 
-    key = (id(spark), sf_dir.rstrip("/"))
+    source = sf_dir.rstrip("/")
+    # the fingerprint is part of the key: a changed source is never served stale
+    key = (spark.sparkContext.applicationId, source, source_fingerprint(spark, source))
     with _LOCK:
         if reuse and key in _BUILT:
             return _BUILT[key]
-        root = f"{scratch_root(spark)}/warehouse-{source_fingerprint(spark, key[1])}"
+        root = f"{scratch_root(spark)}/warehouse-{key[2]}"
         wh = published(spark, root) if reuse else None
         if wh is None:
             if not reuse:
                 import uuid
                 root = f"{root}-{uuid.uuid4().hex[:8]}"
-            result = build_and_publish(spark, snapshot(spark, sf_dir), root)
+            result = build_and_publish(spark, snapshot(spark, source), root)
             if not result.published:
                 raise QualityError(result.failures)
             wh = published(spark, root)

@@ -18,6 +18,7 @@ is one row in memory, so the writer caps file size with ``maxRecordsPerFile``.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
@@ -27,7 +28,8 @@ from pyspark.sql import types as T
 
 from ..config import PIPELINE_VERSION, RAW_TABLES, SCHEMA_VERSION
 from ..schemas import RAW
-from .warehouse import path_exists
+from ..session import scratch_root
+from .warehouse import delete_tree, path_exists
 
 MAX_RECORDS_PER_FILE = 2_000_000
 MANIFEST = "manifest"
@@ -122,7 +124,8 @@ def manifest_files(spark: SparkSession, prefix: str) -> DataFrame:
 
 
 def upload_run(spark: SparkSession, raw: dict[str, DataFrame], lake_root: str,
-               run_date: str, run_id: str, extracted_at: str | None = None) -> LakeRun:
+               run_date: str, run_id: str, extracted_at: str | None = None,
+               system: str = "parquet") -> LakeRun:
     """Write the four tables, then the manifest (the commit marker)."""
     prefix = run_prefix(lake_root, run_date, run_id)
     assert_prefix_unused(spark, prefix)
@@ -143,7 +146,7 @@ def upload_run(spark: SparkSession, raw: dict[str, DataFrame], lake_root: str,
     extracted_at = extracted_at or _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
     header = spark.createDataFrame(
         [(run_id, run_date, prefix, SCHEMA_VERSION, PIPELINE_VERSION, extracted_at,
-          ("postgres", list(RAW_TABLES)), row_counts, file_count)], MANIFEST_SCHEMA)
+          (system, list(RAW_TABLES)), row_counts, file_count)], MANIFEST_SCHEMA)
     header.coalesce(1).write.mode("errorifexists").json(f"{prefix}/{MANIFEST}")
     return LakeRun(run_id, run_date, prefix, row_counts)
 
@@ -179,12 +182,17 @@ def verify_run(spark: SparkSession, prefix: str) -> None:
     bad = (listed.join(actual, "path", "full_outer")
            .where(F.col("expected").isNull() | F.col("sha256").isNull()
                   | (F.col("expected") != F.col("sha256"))))
+    found = f"{scratch_root(spark)}/lake-verification/{uuid.uuid4().hex}"
     try:
-        names = [r["path"] for r in bad.select("path").limit(20).collect()]
+        bad.select("path", "expected", "sha256").write.parquet(found)
     except Exception as e:  # a file that cannot even be read back is corrupt too
-        raise LakeError(f"lake files under {prefix} cannot be read back: {str(e)[:300]}") from e
-    if names:
-        raise LakeError(f"lake files fail verification: {names}")
+        raise LakeError(f"lake files under {prefix} cannot be read back: {e}") from e
+    report = spark.read.parquet(found)
+    count = report.count()
+    if count:  # the whole list stays in the table; the message names the first
+        raise LakeError(f"{count} lake files fail verification, listed in {found}, "
+                        f"first {report.agg(F.min('path')).first()[0]}")
+    delete_tree(spark, found)
     want = header.select("file_count").first()[0]
     if entries.count() != want:
         raise LakeError(f"manifest under {prefix} lists a different number of files than {want}")

@@ -23,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import bounded_broadcast
 from ..schemas import RAW, conform
 
 # --- fixed values: status mapping of the source letters ------------------
@@ -46,7 +45,7 @@ def stg_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     r = read(spark, sf_dir, "region", "r_regionkey", "r_name")
     geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
-    joined = c.join(bounded_broadcast(geo, 100_000), c.c_nationkey == geo.n_nationkey)
+    joined = c.join(geo, c.c_nationkey == geo.n_nationkey)
     cid = F.col("c_custkey").cast("string")
     return conform(joined.select(
         cid.alias("id"),

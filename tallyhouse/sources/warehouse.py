@@ -7,8 +7,7 @@ Layout under a warehouse root::
     <root>/_CURRENT          one line: the published version folder name
 
 A build writes a new version folder, is gated there, and only then replaces
-``_CURRENT`` (write-to-temp + rename on POSIX/HDFS, one put on an object
-store). Readers resolve the pointer once per query, so a reader never sees a
+``_CURRENT`` (write-to-temp, then one atomic rename that overwrites). Readers resolve the pointer once per query, so a reader never sees a
 half-written or failed build, and older versions stay readable by running
 queries. No pointer (or an unreadable one) means "not ready".
 """
@@ -21,6 +20,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import STAR_TABLES
 from ..schemas import STAR
 
 POINTER = "_CURRENT"
@@ -70,10 +70,19 @@ def write_text_atomic(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(hpath):
-        fs.delete(hpath, False)
-    if not fs.rename(tmp, hpath):
-        raise OSError(f"could not publish pointer {path}")
+    # One atomic rename over the old pointer: a reader sees the old or the new
+    # version, and a crash before it leaves the old one published.
+    options = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    over = spark.sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    context.rename(fs.makeQualified(tmp), fs.makeQualified(hpath), over)
+
+
+def delete_tree(spark: SparkSession, path: str) -> None:
+    fs, hpath, _ = _hadoop_fs(spark, path)
+    fs.delete(hpath, True)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -113,6 +122,7 @@ def open_warehouse(spark: SparkSession, root: str) -> Warehouse | None:
     if not version:
         return None
     version_dir = f"{root.rstrip('/')}/{version}"
-    if not path_exists(spark, table_path(version_dir, "fact_sales")):
+    if not all(path_exists(spark, f"{table_path(version_dir, t)}/_SUCCESS")
+               for t in (*STAR_TABLES, "warehouse_metadata")):
         return None
     return open_version(spark, version_dir)

@@ -1,67 +1,12 @@
-"""Seed assets, dataset publish, audit append/release, series table."""
+"""Dataset publish, audit append/release, series table."""
 
 import datetime as dt
-import json
-import os
 
 import pytest
 
 from tallyhouse.operators import audit, series
-from tallyhouse.sources import seeds
 from tallyhouse.sources.operational_store import LoadRefused, current_tables, publish_dataset
 
-NAMES = [f"N{i}" for i in range(12)]
-VOCAB = {
-    "firstNames": NAMES, "lastNames": NAMES,
-    "locations": [{"city": "Pune", "state": "Maharashtra", "weight": 3.0},
-                  {"city": "Kochi", "state": "Kerala", "weight": 1.0}],
-    "categories": [{"name": "Electronics", "skuPrefix": "ELEC", "priceBand": [100.0, 5000.0],
-                    "modifiers": ["Smart"], "nouns": ["Phone"]}],
-}
-W = {"a": 1.0, "b": 2.0}
-PROFILE = {
-    "categoryDemand": W, "monthlySeasonality": W, "weekdayWeight": W, "itemsPerOrder": W,
-    "quantityPerItem": W, "repeatCustomers": {"loyalShare": 0.2, "repeatShare": 0.55},
-    "salePriceVariance": {"discountChance": 0.35, "minMultiplier": 0.8, "maxMultiplier": 1.0},
-    "statusWeights": {"settled": W, "recent": W, "recentWindowDays": 21},
-    "inactiveProductShare": 0.08,
-}
-
-
-def _write(tmp_path, name, obj):
-    p = os.path.join(tmp_path, name)
-    with open(p, "w") as fh:
-        json.dump(obj, fh, indent=2)
-    return p
-
-
-def test_seed_assets_valid(spark, tmp_path):
-    v = seeds.load_vocabulary(spark, _write(tmp_path, "vocabulary.json", VOCAB))
-    assert v.first().locations[0].city == "Pune"
-    p = seeds.load_profile(spark, _write(tmp_path, "generation-profile.json", PROFILE))
-    entries = p.select(seeds.sorted_weights("categoryDemand").alias("e")).first().e
-    assert [e.key for e in entries] == ["a", "b"]
-
-
-@pytest.mark.parametrize("mutate,which", [
-    (lambda v: v["categories"][0].update(priceBand=[50.0, 10.0]), "vocabulary"),
-    (lambda v: v["categories"][0].update(skuPrefix="el"), "vocabulary"),
-    (lambda v: v["locations"][0].update(weight=0), "vocabulary"),
-    (lambda p: p["salePriceVariance"].update(minMultiplier=0.9, maxMultiplier=0.8), "profile"),
-    (lambda p: p["categoryDemand"].update(a=-1.0), "profile"),
-])
-def test_seed_assets_rejected(spark, tmp_path, mutate, which):
-    obj = json.loads(json.dumps(VOCAB if which == "vocabulary" else PROFILE))
-    mutate(obj)
-    with pytest.raises(seeds.SeedConfigError):
-        if which == "vocabulary":
-            seeds.load_vocabulary(spark, _write(tmp_path, "v.json", obj))
-        else:
-            seeds.load_profile(spark, _write(tmp_path, "p.json", obj))
-    with pytest.raises(seeds.SeedConfigError):
-        seeds.load_vocabulary(spark, os.path.join(tmp_path, "missing.json"))
-
-
 def test_publish_dataset(spark, scratch, f1):
     with pytest.raises(LoadRefused):
         publish_dataset(spark, f1, scratch, environment="production")
