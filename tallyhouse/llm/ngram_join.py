@@ -10,10 +10,10 @@ work between texts is on classes, so copies cost one row each and no pair.
    decides how many candidates arise, never the result.
 2. A class posts its prefix: the first n - ceil(t n) + 1 shingles. Two sets of
    Jaccard t or more share a prefix shingle. Postings are dealt by shingle.
-3. Links are found in rounds. A round pairs each posting with the next smaller
-   set of its shingle and with the smallest one, each class keeping its best
-   pairs; linked classes become components. This is linear in the postings and
-   joins groups of copies without ever listing their pairs.
+3. Links are found in rounds. A round pairs each posting with the hubs of its
+   shingle and with its neighbours (see ``_neighbours``); each class verifies its
+   best pairs, and linked classes become components. This is linear in the
+   postings and joins groups of copies without ever listing their pairs.
 4. What is left are pairs of classes in different components that share a
    prefix shingle. All of them are formed; length, positional and suffix filters
    drop those that cannot reach t, and each other pair is verified once, on the
@@ -45,9 +45,10 @@ from .graph import components
 
 SIZE = 5
 PERCENT = 80
-SLOTS, BLOCKS = 1 << 22, 256
+SLOTS, BLOCKS = 1 << 24, 256
 PARTS = 64
 ROUNDS = 2
+TRIES = 3  # pairs a class verifies in a round; what is left is verified in full at the end
 _BYTE = np.random.default_rng(20240).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
 _P, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
 _POWERS: dict[str, np.ndarray] = {}
@@ -194,6 +195,24 @@ def _length_and_position(percent: int):
             & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= least))
 
 
+def _neighbours(open_: DataFrame, by_token) -> DataFrame:
+    """A few pairs (a, b, ...) with another label's class a for each posting of b: linear in the postings.
+
+    The hub of a shingle is the class with the fewest rarer shingles, close to
+    what its copies share; the second hub is the best one of another label.
+    Then come the neighbours by that place and by size.
+    """
+    this = F.struct("pos", "n", "sig", "label")
+    near = (open_.withColumn("_hub", F.min(this).over(by_token))
+            .withColumn("_second", F.min(F.when(F.col("label") != F.col("_hub.label"), this)).over(by_token))
+            .withColumn("_rarer", F.lag(this).over(by_token.orderBy("pos", "n", "sig")))
+            .withColumn("_smaller", F.lag(this).over(by_token.orderBy("n", "sig")))
+            .select("sig", "n", "pos", "label", F.explode(F.array("_hub", "_second", "_rarer", "_smaller")).alias("o"))
+            .where("o IS NOT NULL AND o.label != label"))
+    return near.select(F.col("o.sig").alias("a"), F.col("sig").alias("b"), F.col("o.n").alias("n_a"), F.col("n").alias("n_b"),
+                       F.col("o.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id) of every document.
 
@@ -240,18 +259,16 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
         return (pairs.join(a, "a").join(b, "b")
                 .where(most * (100 + percent) >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
 
-    links, labels = None, None
+    links, labels, tried = None, None, None
     open_ = shared.withColumn("label", F.col("sig"))
     for turn in range(ROUNDS):
-        order = by_token.orderBy("n", "sig")
-        this = F.struct("sig", "n", "pos", "label")
-        near = (open_.withColumn("_last", F.lag(this).over(order)).withColumn("_first", F.first(this).over(order))
-                .select("sig", "n", "pos", "label", F.explode(F.array("_last", "_first")).alias("o")))
-        pairs = (near.where("o IS NOT NULL AND o.label != label")
-                 .select(F.col("o.sig").alias("a"), F.col("sig").alias("b"), F.col("o.n").alias("n_a"), F.col("n").alias("n_b"),
-                         F.col("o.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
-                 .where(_length_and_position(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")))
-        best = pairs.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+        near = _neighbours(open_, by_token)
+        pairs = (near.where(_length_and_position(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")))
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        ranked = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))
+        best = scratch.cut(pairs.withColumn("_k", ranked).where(F.col("_k") <= TRIES).select("a", "b"), f"pairs{turn}")
+        tried = best if tried is None else tried.union(best)
         found = verified(best, f"links{turn}")
         links = found if links is None else links.union(found)
         labels = components(links, scratch, f"cc{turn}")
