@@ -62,19 +62,22 @@ def signatures(df: DataFrame, text: str, samples: int = SAMPLES) -> DataFrame:
     The other columns must tell the rows apart.
     """
     keys = [c for c in df.columns if c != text]
-    terms = _counted(df, text)
-    drawn = terms.select(*keys, "term", F.log("w").alias("lw"),
-                         *[F.xxhash64("term", F.lit(2 * k)).alias(f"g{k}") for k in range(samples)],
-                         *[F.xxhash64("term", F.lit(2 * k + 1)).alias(f"h{k}") for k in range(samples)])
-    gamma = drawn.select(*keys, "lw", *[(-F.log(_uniform(F.col(f"g{k}"), 0) * _uniform(F.col(f"g{k}"), 1))).alias(f"r{k}") for k in range(samples)],
-                         *[F.log(-F.log(_uniform(F.col(f"g{k}"), 2) * _uniform(F.col(f"h{k}"), 0))).alias(f"c{k}") for k in range(samples)],
-                         *[_uniform(F.col(f"h{k}"), 1).alias(f"b{k}") for k in range(samples)])
-    least = [F.min(F.col(f"c{k}") - F.col(f"r{k}") * (F.floor(F.col("lw") / F.col(f"r{k}") + F.col(f"b{k}")) - F.col(f"b{k}") + 1)).alias(f"m{k}")
-             for k in range(samples)]
-    low = F.lit((1 << 32) - 1).cast("long")
-    sign = F.array(*[F.when(F.col(f"m{k}").isNull(), F.lit(0).cast("long")).otherwise(
-        F.xxhash64(f"m{k}").bitwiseAND(low)) for k in range(samples)])
-    return gamma.groupBy(*keys).agg(*least).select(*keys, sign.alias("signature"))
+    terms = _counted(df, text).select(*keys, "term", F.log("w").alias("lw"))
+    least = [F.min(_log_a(F.col("term"), F.col("lw"), k)).alias(f"m{k}") for k in range(samples)]
+    # the samples' identities: 32 bits of the hash of the least value, 0 without a word
+    sign = F.array(*[F.when(F.col(f"m{k}").isNull(), F.lit(0)).otherwise(F.hash(f"m{k}")) for k in range(samples)])
+    return terms.groupBy(*keys).agg(*least).select(*keys, sign.alias("signature"))
+
+
+def _log_a(term: Column, log_weight: Column, k: int) -> Column:
+    """ln a of sample k. Each draw is computed inside the aggregate, so that
+    nothing but (term, ln w) is held per word and the plan stays in one generated stage."""
+    g, h = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+    r = -F.log(_uniform(g, 0) * _uniform(g, 1))
+    log_c = F.log(-F.log(_uniform(g, 2) * _uniform(h, 0)))
+    b = _uniform(h, 1)
+    # t is 0 for weight 1, by far the most common one
+    return F.when(log_weight == 0, log_c - r * (1 - b)).otherwise(log_c - r * (F.floor(log_weight / r + b) - b + 1))
 
 
 def likeness(a: str, b: str) -> Column:
