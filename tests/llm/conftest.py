@@ -1,0 +1,6 @@
+"""Fixtures come from the parent folder; modules here import each other."""
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
