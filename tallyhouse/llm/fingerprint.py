@@ -87,7 +87,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_text(signature: str) -> Column:
-    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit((1 << 32) - 1).cast("long"))), 8, "0"))), "")
 
 
 def _text_key(c: Column) -> Column:
