@@ -6,8 +6,8 @@ a linear softmax over that mean gives the two class probabilities. Embeddings
 and softmax are trained jointly with Adam in numpy, so misspellings and
 inflections never seen in training share n-gram vectors with known words.
 
-Training sees at most ``max_docs`` labelled rows (a documented bound), half of
-them per class at most, taken by hash order over all labelled rows. It runs in
+Training sees at most ``max_docs`` labelled rows (a documented bound), a quarter
+of them toxic at most, taken by hash order over all labelled rows. It runs in
 one Spark task over that bounded sample; only the model comes to the driver.
 
 At scoring time the model is linear in the document mean, so every n-gram
@@ -42,7 +42,7 @@ CACHE_WORDS = 400_000
 class Params:
     buckets: int = 1 << 17
     dim: int = 8
-    max_docs: int = 4000
+    max_docs: int = 6000
     steps: int = 250
     prune: tuple[float, ...] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
     batch: int = 128
@@ -114,9 +114,9 @@ def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray,
         idx = np.repeat(starts[ids] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
         v = np.bincount(b_local[idx], weights=np.repeat(cnt / reps, reps)) if len(ids) else np.zeros(0)
         nz = np.flatnonzero(v)
-        cols.append(nz)
-        vals.append(v[nz])
-        rows.append(np.full(len(nz), i))
+        cols.append(nz.astype(np.int32))
+        vals.append(v[nz].astype(np.float32))
+        rows.append(np.full(len(nz), i, dtype=np.int32))
     col, row, val = np.concatenate(cols), np.concatenate(rows), np.concatenate(vals).astype(np.float32)
     seen = np.bincount(col, minlength=len(used)) >= min(p.min_docs, max(2, len(bags) // 100))  # rarer ones keep a zero vector
     keep = seen[col]
@@ -210,14 +210,15 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> tuple[
     """Model from a bounded sample of the labelled documents.
 
     ``labels`` has (doc_id, toxic) of the rows that may be learned from. The
-    sample takes each class by hash order, ``max_docs / 2`` rows at most.
+    sample takes each class by hash order, a quarter of ``max_docs`` toxic rows and
+    three quarters clean ones at most.
     """
     one = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
            .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     drawn = None
     for label in (0, 1):
         part = (one.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(params.seed)), "doc_id")
-                .limit(params.max_docs // 2))
+                .limit(params.max_docs // 4 if label else params.max_docs - params.max_docs // 4))
         drawn = part if drawn is None else drawn.unionByName(part)
     sample = docs.select("doc_id", "text").join(drawn, "doc_id")
 
