@@ -37,9 +37,3 @@ def week_start(d: Column) -> Column:
 
 def month_start(d: Column) -> Column:
     return F.date_trunc("month", d).cast("date")
-
-
-def is_calendar_date(text: Column) -> Column:
-    """``yyyy-MM-dd`` text naming a real day (2026-02-30 is not)."""
-    from ..config import DATE_PATTERN
-    return text.rlike(DATE_PATTERN) & F.try_to_date(text, "yyyy-MM-dd").isNotNull()

@@ -230,14 +230,6 @@ def revenue_flag(wh: Warehouse, from_: str | None = None, to: str | None = None)
         F.coalesce(F.bool_or(F.col("revenue") > 0), F.lit(False)).alias("has_revenue"))
 
 
-def any_revenue(wh: Warehouse, from_: str | None = None, to: str | None = None) -> bool:
-    """Whether the window has any revenue at all (the chart's empty state)."""
-    return bool(facts(wh, from_, to).where(F.col("revenue") > 0).limit(1).count())
-
-
-# --------------------------------------------------------------------------
-# Reports against a warehouse root: "not ready" when nothing usable is published
-
 def warehouse_meta(spark, root: str, from_: str | None = None, to: str | None = None) -> DataFrame:
     """One row: warehouse_ready, generated_at (published_at), range_from, range_to.
 

@@ -100,12 +100,20 @@ def event(spark: SparkSession, run_id: str, status: str, at: _dt.datetime, *,
                                                  summarise(F.col("error_summary"))))
 
 
+#: Of events at one instant the furthest status is the latest.
+_PROGRESS_ORDER = ("queued", "running", "failed", "succeeded")
+
+
+def _progress() -> Column:
+    return F.array_position(F.array(*[F.lit(x) for x in _PROGRESS_ORDER]), F.col("status"))
+
+
 def run_state(events: DataFrame) -> DataFrame:
     """Current row per run: latest status, first event as start, completion
     time for terminal states, duration in seconds (1 dp), counts ({} if none)."""
     per = events.groupBy("run_id").agg(
         F.max_by(F.struct("status", "row_counts", "lake_prefix", "error_summary", "event_ts"),
-                 "event_ts").alias("last"),
+                 F.struct("event_ts", _progress().alias("progress"))).alias("last"),
         F.min(F.when(F.col("status") != "queued", F.col("event_ts"))).alias("started_at"),
         F.min("event_ts").alias("queued_at"))
     terminal = F.col("last.status").isin("succeeded", "failed")

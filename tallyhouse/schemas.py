@@ -51,11 +51,6 @@ STAR = {
     "warehouse_metadata": _s(("key", T.StringType()), ("value", T.StringType())),
 }
 
-PIPELINE_RUNS = _s(("id", T.StringType()), ("status", T.StringType()),
-                   ("started_at", T.TimestampType()), ("completed_at", T.TimestampType()),
-                   ("row_counts", T.MapType(T.StringType(), T.LongType())),
-                   ("lake_prefix", T.StringType()), ("error_summary", T.StringType()))
-
 
 def conform(df, schema: T.StructType):
     """Select ``schema``'s columns in order, cast to the declared types."""
