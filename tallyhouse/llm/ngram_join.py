@@ -12,7 +12,7 @@ work between texts is on classes, so copies cost one row each and no pair.
    Jaccard t or more share a prefix shingle. Postings are dealt by shingle.
 3. Links are found in rounds. A round pairs each posting with the hubs of its
    shingle and with its neighbours (see ``_neighbours``); each class verifies its
-   best pairs, and linked classes become components. This is linear in the
+   best pairs that pass the suffix filter, and linked classes become components. This is linear in the
    postings and joins groups of copies without ever listing their pairs.
 4. What is left are pairs of classes in different components that share a
    prefix shingle. All of them are formed; length, positional and suffix filters
@@ -263,13 +263,14 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     open_ = shared.withColumn("label", F.col("sig"))
     for turn in range(ROUNDS):
         near = _neighbours(open_, by_token)
-        pairs = (near.where(_length_and_position(percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")))
+        pairs = (near.where(_length_and_position(percent)).groupBy("a", "b").agg(
+            F.count(F.lit(1)).alias("times"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         ranked = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))
-        best = scratch.cut(pairs.withColumn("_k", ranked).where(F.col("_k") <= TRIES).select("a", "b"), f"pairs{turn}")
-        tried = best if tried is None else tried.union(best)
-        found = verified(best, f"links{turn}")
+        best = scratch.cut(pairs.withColumn("_k", ranked).where(F.col("_k") <= TRIES).select("a", "b", "n_a", "n_b"), f"pairs{turn}")
+        tried = best.select("a", "b") if tried is None else tried.union(best.select("a", "b"))
+        found = verified(filtered(best), f"links{turn}")
         links = found if links is None else links.union(found)
         labels = components(links, scratch, f"cc{turn}")
         open_ = (shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
