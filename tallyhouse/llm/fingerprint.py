@@ -117,16 +117,18 @@ def edited_documents(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document."""
     scratch = Scratch(docs.sparkSession, "fingerprint")
-    edited = edited_documents(docs).withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        F.col("key.k1").alias("k1"), F.col("key.k2").alias("k2"), F.col("next_key.k1").alias("n1"), F.col("next_key.k2").alias("n2"),
-        F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t")))).alias("x"))
-    rows = edited.select("row", "doc_id", "n_chars", "edited_sha256", "k1", "k2", "n1", "n2", F.col("x.kind").alias("kind"), F.col("x.t").alias("t"))
+    edited = edited_documents(docs).withColumn("row", F.monotonically_increasing_id())
+    # What is needed once travels with one of the two rows of a document only.
+    own_keys = [F.col(c).alias(a) for c, a in (("key.k1", "k1"), ("key.k2", "k2"), ("next_key.k1", "n1"), ("next_key.k2", "n2"))]
+    no_keys = [F.lit(None).cast("long").alias(a) for a in ("k1", "k2", "n1", "n2")]
+    both = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"), F.lit(None).cast("binary").alias("sha"), *own_keys),
+                   F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"), F.unhex(F.sha2("edited", 256)).alias("sha"), *no_keys))
+    rows = edited.select("row", "doc_id", "n_chars", F.explode(both).alias("x")).select("row", "doc_id", "n_chars", "x.*")
     signed = scratch.cut(signatures(rows, "t"), "signatures")
-    own = signed.where("kind = 0").withColumnRenamed("signature", "own")
-    changed = signed.where("kind = 1").select("row", F.col("signature").alias("changed"))
+    own = signed.where("kind = 0").drop("sha").withColumnRenamed("signature", "own")
+    changed = signed.where("kind = 1").select("row", "sha", F.col("signature").alias("changed"))
     following = (signed.where("kind = 0").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("signature").alias("next"))
                  .dropDuplicates(["n1", "n2"]))
     return (own.join(changed, "row").join(following, ["n1", "n2"])
-            .select("doc_id", "n_chars", "edited_sha256", as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"),
+            .select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), as_text("own").alias("fingerprint"), as_text("changed").alias("edited_fingerprint"),
                     likeness("own", "changed").alias("near_edited"), likeness("own", "next").alias("near_next")))
