@@ -9,15 +9,18 @@ search has already tried, so long unbroken runs cost linear time.
 
 The bootstrapped part follows the seed and pattern scheme:
 
-* An instance is an identifier-like token (one with ``MIN_DIGITS`` digits or
-  more); its lexical pattern is the word before it, or the ``key=`` / ``key:``
-  in front of it in the same token.
-* Seeds are the instances that the base patterns cover. The pattern-instance
-  graph has one edge per (pattern, instance) with its count.
+* An instance is a base span, whatever its characters, or an identifier-like
+  token (one with ``MIN_DIGITS`` digits or more) that overlaps none; its lexical
+  pattern is the word before it, or the ``key=`` / ``key:`` in front of it in the
+  same token. Spans in one token share its pattern. A word that itself holds
+  several spans is no pattern.
+* Seeds are the base spans. The pattern-instance graph has one edge per
+  (pattern, instance) with its count.
 * Patterns and instances score each other for ``ROUNDS`` rounds: a pattern's
   confidence is the score-weighted share of instances among *all* occurrences of
   its context in the corpus; an instance is as good as its best pattern. Context
-  totals are counted over all tokens of all texts.
+  totals are counted over all tokens of all texts, for every pattern of the
+  graph, so that one learned from a discovered instance is rated, too.
 * Patterns with confidence of ``CONFIDENCE`` or more and at least ``SUPPORT``
   different trusted instances then mark the unseen identifiers they precede as
   spans of kind ``context``, unless these overlap a base span.
@@ -46,6 +49,7 @@ BASE = {
 #: What a text must hold for a pattern to be tried at all.
 HINT = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TOKEN = r"(?:(?<!\S)|\G)[^\s0-9]*+[0-9]\S*+"
+KEY = r"^([A-Za-z_]+[=:]+[\"']?)"
 MIN_DIGITS = 3
 SUPPORT = 3
 CONFIDENCE = 0.8
@@ -93,10 +97,44 @@ def _located(text: Column, pattern: str) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
 
+def _spaced(c: Column) -> Column:
+    return F.translate(c, "\t\n\r\f", "    ")
+
+
+SPAN = "s:int,e:int,m:string,t:int,key:string,word:string"
+
+
+def _in_context(text: Column, pattern: str) -> Column:
+    """array<struct<SPAN>> of every match as in _located, with the start and key of its token and the word before that."""
+    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m"))
+    # last: the token of the match before, as far as read; empty when it holds several matches
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("t"), F.lit("").alias("key"), F.lit("").alias("word"), F.lit("").alias("last"),
+                     F.expr(f"cast(array() as array<struct<{SPAN}>>)").alias("out"))
+
+    def step(acc: Column, p: Column) -> Column:
+        gap, s = _spaced(p["g"]), acc["at"] + F.length(p["g"])
+        e = s + F.length(p["m"])
+        new = (acc["at"] == 0) | F.contains(gap, F.lit(" "))
+        glue = F.substring_index(gap, " ", -1)
+        body = F.rtrim(F.substr(gap, F.lit(1), F.length(gap) - F.length(glue)))
+        word = (F.when(~new, acc["word"]).when((acc["at"] == 0) | F.contains(body, F.lit(" ")), F.substring_index(body, " ", -1))
+                .when(acc["last"] == "", F.lit("")).otherwise(F.concat(acc["last"], body)))
+        key = F.when(new, F.regexp_extract(glue, KEY, 1)).otherwise(acc["key"])
+        t = F.when(new, s - F.length(glue)).otherwise(acc["t"])
+        last = F.when(new, F.substring_index(F.concat(glue, p["m"]), " ", -1)).otherwise(F.lit(""))
+        span = F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m"), t.alias("t"), key.alias("key"), word.alias("word"))
+        return F.struct(e.alias("at"), t.alias("t"), key.alias("key"), word.alias("word"), last.alias("last"),
+                        F.concat(acc["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+
 def base_spans(text: Column, kind: str) -> Column:
-    """Valid spans of one kind as array<struct<s, e, m>>; empty for null texts."""
-    empty = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
-    found = F.filter(_located(text, BASE[kind]), lambda x: _valid(kind, x["m"]))
+    """Valid spans of one kind as array<struct<SPAN>>; empty for null texts."""
+    empty = F.expr(f"cast(array() as array<struct<{SPAN}>>)")
+    found = F.filter(_in_context(text, BASE[kind]), lambda x: _valid(kind, x["m"]))
     return F.when(text.isNotNull() & text.rlike(HINT[kind]), found).otherwise(empty)
 
 
@@ -107,10 +145,10 @@ def _tokens(text: Column) -> Column:
                      lambda t, g: F.struct(t["s"].alias("s"), t["m"].alias("m"), g.alias("g")))
 
     def shaped(x: Column) -> Column:
-        key = F.regexp_extract(x["m"], r"^([A-Za-z_]+[=:]+[\"']?)", 1)
+        key = F.regexp_extract(x["m"], KEY, 1)
         value = F.regexp_replace(F.substr(x["m"], F.length(key) + 1), r"[\"',;.!?)]+$", "")
         s = x["s"] + F.length(key)
-        before = F.substring_index(F.rtrim(F.translate(x["g"], "\t\n\r\f", "    ")), " ", -1)
+        before = F.substring_index(F.rtrim(_spaced(x["g"])), " ", -1)
         return F.struct(s.alias("s"), (s + F.length(value)).alias("e"), value.alias("value"),
                         F.lower(F.when(key != "", key).otherwise(before)).alias("pattern"), (key != "").alias("inner"))
 
@@ -123,21 +161,38 @@ def _overlaps(spans: Column, s: Column, e: Column) -> Column:
     return F.exists(spans, lambda b: (b["s"] < e) & (s < b["e"]))
 
 
+def _instances(found: DataFrame) -> DataFrame:
+    """A row per instance: text key, s, e, value, pattern, inner, seed, and ``again`` (1 when its token has given an instance already)."""
+    inner = lambda x: x["key"] != ""
+    at = F.array_sort(F.transform("raw", lambda x: F.struct(
+        x["t"].alias("t"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("value"),
+        F.lower(F.when(inner(x), x["key"]).otherwise(x["word"])).alias("pattern"), inner(x).alias("inner"))))
+    seeds = F.transform("at", lambda x, i: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["value"].alias("value"), x["pattern"].alias("pattern"), x["inner"].alias("inner"),
+        F.lit(True).alias("seed"), F.when((i > 0) & (F.get("at", i - 1)["t"] == x["t"]), 1).otherwise(0).alias("again")))
+    others = F.transform(F.filter("tokens", lambda t: ~_overlaps(F.col("raw"), t["s"], t["e"])), lambda t: F.struct(
+        t["s"].alias("s"), t["e"].alias("e"), t["value"].alias("value"), t["pattern"].alias("pattern"), t["inner"].alias("inner"),
+        F.lit(False).alias("seed"), F.lit(0).alias("again")))
+    return (found.withColumn("at", at).select(*TEXT_KEY, F.explode(F.concat(F.filter(seeds, lambda x: x["pattern"] != ""), others)).alias("t"))
+            .select(*TEXT_KEY, "t.*"))
+
+
 def patterns(marked: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """High-confidence patterns (pattern, inner) of the bootstrapped graph.
 
-    ``marked`` has a row per identifier-like token: pattern, inner, value, seed.
+    ``marked`` has a row per instance: pattern, inner, value, seed, again.
     """
     edges = scratch.cut(marked.groupBy("pattern", "inner", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("double")).alias("seed")), "edges")
-    # All occurrences of a context, in all tokens of all texts; inner keys only ever stand before values.
-    words = (docs.where("text IS NOT NULL")
-             .select(F.explode(F.split(F.translate(F.lower("text"), "\t\n\r\f", "    "), " ")).alias("pattern"))
-             .where("pattern != ''").groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).withColumn("inner", F.lit(False)))
-    candidates = edges.where("seed > 0").groupBy("pattern", "inner").agg(F.countDistinct("value").alias("_k")).where("_k >= 1")
-    outer = words.join(candidates.where("NOT inner").select("pattern"), "pattern", "left_semi")
-    inner = edges.where("inner").groupBy("pattern").agg(F.sum("n").alias("total")).withColumn("inner", F.lit(True))
-    totals = scratch.cut(outer.unionByName(inner), "totals")
+        F.count(F.lit(1)).alias("n"), F.max(F.col("seed").cast("double")).alias("seed"), F.sum("again").alias("again")), "edges")
+    # All occurrences of a context, in all tokens of all texts; a token of several instances is one for each.
+    word, key = F.col("word"), F.regexp_extract("word", KEY + ".", 1)
+    words = (docs.where("text IS NOT NULL").select(F.explode(F.split(_spaced(F.lower("text")), " ")).alias("word")).where("word != ''")
+             .select(word, F.when(F.contains(word, F.lit("=")) | F.contains(word, F.lit(":")), key).otherwise(F.lit("")).alias("key"))
+             .select(F.explode(F.when(F.col("key") == "", F.array(F.struct(word.alias("pattern"), F.lit(False).alias("inner")))).otherwise(
+                 F.array(F.struct(word.alias("pattern"), F.lit(False).alias("inner")), F.struct(F.col("key").alias("pattern"), F.lit(True).alias("inner"))))).alias("c"))
+             .select("c.*").groupBy("pattern", "inner").agg(F.count(F.lit(1)).alias("total")))
+    contexts = edges.groupBy("pattern", "inner").agg(F.sum("again").alias("again"))
+    totals = scratch.cut(words.join(contexts, ["pattern", "inner"]).select("pattern", "inner", (F.col("total") + F.col("again")).alias("total")), "totals")
     score = edges.groupBy("value").agg(F.max("seed").alias("score"))
     for turn in range(ROUNDS):
         rated = (edges.join(score, "value").groupBy("pattern", "inner")
@@ -166,12 +221,12 @@ def find(docs: DataFrame) -> DataFrame:
     and then kind. The result is narrow; texts don't pass through a shuffle.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    base = F.array_sort(F.concat(*[F.transform(base_spans(F.col("text"), k), _numbered(i)) for i, k in enumerate(KINDS[:4])]))
+    raw = F.concat(*[F.transform(base_spans(F.col("text"), k), _numbered(i)) for i, k in enumerate(KINDS[:4])])
     found = scratch.cut(_with_key(docs.select("text").where("text IS NOT NULL"))
-                        .select(*TEXT_KEY, base.alias("base"), _tokens(F.col("text")).alias("tokens"))
-                        .where("size(tokens) > 0 OR size(base) > 0"), "found")
-    marked = (found.select(*TEXT_KEY, "base", F.explode("tokens").alias("t"))
-              .select(*TEXT_KEY, "t.*", _overlaps(F.col("base"), F.col("t.s"), F.col("t.e")).alias("seed")))
+                        .select(*TEXT_KEY, raw.alias("raw"), _tokens(F.col("text")).alias("tokens"))
+                        .where("size(tokens) > 0 OR size(raw) > 0"), "found")
+    found = found.withColumn("base", F.array_sort(F.transform("raw", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))))
+    marked = _instances(found)
     good = patterns(marked, docs, scratch)
     extra = (marked.where("NOT seed").join(good, ["pattern", "inner"], "left_semi")
              .groupBy(*TEXT_KEY).agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("extra")))
@@ -182,7 +237,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _numbered(kind: int):
-    return lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e"))
+    return lambda x: F.struct(F.lit(kind).alias("k"), *[x[c].alias(c) for c in ("s", "e", "m", "t", "key", "word")])
 
 
 def _listed(spans: Column) -> Column:

@@ -344,6 +344,38 @@ def test_personal_data_bootstraps_contexts(spark):
     assert pii.report(docs_of(spark, known).where("false")).count() == 0
 
 
+def context_spans(spark, known, unseen):
+    """Whether each unseen text gets a context span."""
+    got = {r.doc_id: r.spans for r in pii.report(docs_of(spark, known + unseen)).collect()}
+    return ["context" in got[len(known) + i] for i in range(len(unseen))]
+
+
+def test_personal_data_learns_patterns_of_discovered_instances(spark):
+    known = [f"Kunde {c}" for c in ("4111111111111111", "5500005555555559", "4012888888881881")] * 10
+    found = ["Kunde 12345", "Kunde 23456", "Kunde 34567"]
+    known += found + [f.replace("Kunde", "Ref") for f in found] * 10 + ["raum 12345"] + ["raum frei"] * 10
+    assert context_spans(spark, known, ["Ref 99999", "raum 777777"]) == [True, False]
+
+
+def test_personal_data_seeds_need_no_digits(spark):
+    known = ["mail an anna@x.org", "mail an bert@x.org", "mail an cora@x.org"] * 5
+    assert context_spans(spark, known, ["mail an anna777[at]x", "ruf 777"]) == [True, False]
+    inner = ["to=anna@x.org", "to=bert@x.org", "to=cora@x.org"] * 5
+    assert context_spans(spark, inner, ["to=777888"]) == [True]
+    assert context_spans(spark, inner + ["to=nobody"] * 20, ["to=777888"]) == [False]
+
+
+def test_personal_data_seeds_may_hold_spaces(spark):
+    known = ["Tel +49 30 1234567890", "Tel +49 40 2345678901", "Tel +49 89 3456789012"] * 5
+    assert context_spans(spark, known, ["Tel 030/777888", "30 777888"]) == [True, False]
+
+
+def test_personal_data_spans_of_one_token_share_its_word(spark):
+    known = ["cc a@x.org,b@x.org,c@x.org", "cc d@x.org,1.2.3.4"] * 2
+    assert context_spans(spark, known, ["cc 777888"]) == [True]
+    assert context_spans(spark, known + ["cc none"] * 9, ["cc 777888"]) == [False]
+
+
 def test_redaction_replaces_every_span(spark):
     docs = docs_of(spark, ["mail a@b.org or 10.0.0.1!", "clean", None])
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
