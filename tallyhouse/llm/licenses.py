@@ -8,10 +8,15 @@ coverage is the share of the template's words that are aligned. A finding has a
 coverage of ``COVERAGE`` or more, and the aligned words of the text may hold at
 most ``SLACK`` foreign words per template word.
 
-Windows come from the template's key word (its rarest one, fixed below): around
-every place of it, as far as the template can reach to either side. Windows that
-overlap are one. So texts of any length are scanned whole, and the alignment's
-work follows the number of key words, not the text.
+Windows come from a template's key words: its rarest one (fixed below) and the
+longest of the others that it holds once, one more of them than words may be
+missing. So an alignment of ``COVERAGE`` holds a key word, whichever words are
+gone. A window lies around every place of a key word, as far as the template can
+reach to either side, and is dropped when it holds too few of the template's
+words. Texts of any length are scanned whole, and the alignment's work follows
+the number of key words, not the text. Repeats of a notice are cut at places of
+the same key word; where the same word stands in a notice twice, the window is
+aligned uncut, too. Findings that overlap are one, the best covered.
 
 Defined cases: null and empty texts and texts without a key word have no
 findings, hence no rows; repeated notices are counted, and the first of the best
@@ -34,7 +39,7 @@ COVERAGE = 0.8
 SLACK = 1.0
 WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9a-z]+)*")
 
-# License notices, as published, with the word that finds each.
+# License notices, as published, with the rarest word of each.
 TEMPLATES = {
     "Apache-2.0": ("apache", "Licensed under the Apache License, Version 2.0."),
     "GPL-3.0": ("gnu", "This work is licensed under the GNU General Public License, version 3."),
@@ -45,7 +50,7 @@ TEMPLATES = {
         the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
         persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this
         permission notice shall be included in all copies or substantial portions of the Software."""),
-    "Apache-2.0-header": ("apache.org", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+    "Apache-2.0-header": ("www.apache.org", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required
         by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
         WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
@@ -105,38 +110,73 @@ def align(a: list[str], b: list[str], a0: int = 0, b0: int = 0) -> list[tuple[in
     return out + end
 
 
+def least(n: int) -> int:
+    """Aligned words that a template of n words needs."""
+    return next(k for k in range(n + 1) if k / n >= COVERAGE)
+
+
+def key_words(rarest: str, template: list[str]) -> dict[str, int]:
+    """Place in the template of each key word."""
+    times = Counter(template)
+    once = sorted((w for w in times if times[w] == 1), key=lambda w: (w != rarest, -len(w), w))
+    wanted = len(template) - least(len(template)) + 1
+    assert len(once) >= wanted and once[0] == rarest
+    return {w: template.index(w) for w in once[:wanted]}
+
+
+_PLANS = [(name, t, Counter(t), least(len(t)), key_words(key, t)) for name, key, t in ((n, k, words(x)) for n, (k, x) in TEMPLATES.items())]
+
+
+def _held(times: Counter, there: set[str]) -> int:
+    return sum(n for w, n in times.items() if w in there)
+
+
+def _choose(cut: list[tuple[float, int, int]], whole: list[tuple[float, int, int]]) -> list[tuple[float, int, int]]:
+    """Findings (coverage, first, end) without overlap, by place: the best of ``cut``, then what ``whole`` adds to or betters of one."""
+    out: list[tuple[int, int, float]] = []
+    for better, found in ((False, cut), (True, whole)):
+        for coverage, first, end in sorted(set(found), key=lambda f: (-f[0], f[1], f[2])):
+            at = bisect_left(out, (first,))
+            at -= at > 0 and out[at - 1][1] > first
+            to = at
+            while to < len(out) and out[to][0] < end:
+                to += 1
+            if to == at or better and to == at + 1 and out[at][2] < coverage:
+                out[at:to] = [(first, end, coverage)]
+    return [(c, a, b) for a, b, c in out]
+
+
 def scan(text: str | None) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, first word, end word, findings) of a text, words counted from 0."""
-    lower = (text or "").lower()
-    keyed = [(name, key, words(t)) for name, (key, t) in TEMPLATES.items() if key in lower]
-    if not keyed:
+    tokens = words(text or "")
+    there = set(tokens)
+    plans = [p for p in _PLANS if _held(p[2], there) >= p[3]]
+    if not plans:
         return []
-    tokens = words(lower)
+    places: dict[str, list[int]] = {w: [] for p in plans for w in p[4]}
+    for i, w in enumerate(tokens):
+        if w in places:
+            places[w].append(i)
     out = []
-    for name, key, template in keyed:
-        places = [i for i, w in enumerate(tokens) if key in w]
+    for name, template, times, needed, keys in plans:
         reach = round(len(template) * (1 + SLACK))
-        windows: list[list[int]] = []
-        for p in places:
-            a, b = max(0, p - reach), min(len(tokens), p + reach + 1)
-            if windows and a < windows[-1][1]:
-                windows[-1][1] = b
-            else:
-                windows.append([a, b])
-        found = []
-        for a, b in windows:
-            # A window with repeats of a notice is cut between its key words, so that each is aligned alone.
-            inner = [p for p in places if a <= p < b]
-            key_at = next(i for i, w in enumerate(template) if key in w)
-            for n, p in enumerate(inner):
-                lo = max(a, p - reach, inner[n - 1] + 1 if n else a)
-                hi = min(b, p + reach + 1, inner[n + 1] if n + 1 < len(inner) else b)
-                back = align(template[:key_at][::-1], tokens[lo:p][::-1])
-                ahead = align(template[key_at + 1:], tokens[p + 1: hi])
-                pairs = [p - 1 - j for _, j in back] + [p] + [p + 1 + j for _, j in ahead]
-                coverage, first, end = len(pairs) / len(template), min(pairs), max(pairs) + 1
-                if coverage >= COVERAGE and end - first - len(pairs) <= SLACK * len(template):
-                    found.append((coverage, first, end))
+        cut, whole = [], []
+        for key, key_at in keys.items():
+            at = places[key]
+            for n, p in enumerate(at):
+                a, b = max(0, p - reach), min(len(tokens), p + reach + 1)
+                if _held(times, set(tokens[a:b])) < needed:
+                    continue
+                lo = max(a, at[n - 1] + 1 if n else a)
+                hi = min(b, at[n + 1] if n + 1 < len(at) else b)
+                for found, x, y in [(cut, lo, hi), (whole, a, b)][: 1 + ((lo, hi) != (a, b))]:
+                    back = align(template[:key_at][::-1], tokens[x:p][::-1])
+                    ahead = align(template[key_at + 1:], tokens[p + 1: y])
+                    pairs = [p - 1 - j for _, j in back] + [p] + [p + 1 + j for _, j in ahead]
+                    coverage, first, end = len(pairs) / len(template), min(pairs), max(pairs) + 1
+                    if coverage >= COVERAGE and end - first - len(pairs) <= SLACK * len(template):
+                        found.append((coverage, first, end))
+        found = _choose(cut, whole)
         if found:
             best = max(found, key=lambda f: (f[0], -f[1]))
             out.append((name, best[0], best[1], best[2], len(found)))

@@ -205,6 +205,23 @@ def test_license_scan(spark):
     assert 0.8 <= got[1, "MIT-text"].coverage < 1.0
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_license_is_found_whole_and_without_its_key_words(name):
+    key, template = licenses.TEMPLATES[name]
+    full = licenses.words(template)
+    text = lambda ws: " ".join(["x"] * 300 + ws + ["y"] * 300)
+    scan = lambda ws: {f[0]: f[1:] for f in licenses.scan(text(ws))}
+    assert scan(full)[name] == (1.0, 300, 300 + len(full), 1)
+    assert scan(full * 5)[name] == (1.0, 300, 300 + len(full), 5)
+    less = [w for w in full if w != key]
+    found = scan(less)[name]
+    assert found[0] == len(less) / len(full) and found[3] == 1
+    missing = list(licenses.key_words(key, full))[: len(full) - licenses.least(len(full))]
+    assert scan([w for w in full if w not in missing])[name][0] >= licenses.COVERAGE
+    # each key word twice in a row: no window cut at it reaches the whole notice from both sides
+    assert scan([x for w in full for x in ([w, w] if w == key else [w])])[name][0] == 1.0
+
+
 def test_patience_alignment_is_increasing():
     rng = np.random.default_rng(2)
     for _ in range(50):
