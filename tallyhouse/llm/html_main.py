@@ -15,7 +15,8 @@ without such a container are not used for training. Class and container features
 are dropped at random in training, so text features learn to carry a page, too.
 
 Defined cases: null and empty html, and pages whose blocks are all other, give an
-empty text; unclosed tags, comments and quotes end at the end of the page;
+empty text; unclosed tags, comments and quotes end at the end of the page, but
+an unclosed or self-closed svg, object, template, iframe or noscript is empty;
 stray end tags are ignored; every input row gives one row, also rows that repeat
 a page_id; null ids and urls stay null; extra columns are ignored.
 """
@@ -37,10 +38,13 @@ BLOCK_TAGS = frozenset("address article aside blockquote body button caption cen
                        "figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol option p pre "
                        "section select summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW_TAGS = frozenset("script style title textarea noscript template iframe svg object".split())
+RAW_TAGS = frozenset("script style title textarea".split())
+#: Their content is never main text; without an end tag of their own, or self-closed, they are empty.
+HIDDEN_TAGS = frozenset("noscript template iframe svg object".split())
 #: An opening tag of the key ends an open element of the values.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 OTHER_CONTAINERS = frozenset("nav footer aside form menu select button dialog".split())
+_HIDDEN = re.compile(f"<(?:{'|'.join(sorted(HIDDEN_TAGS))})(?![^\\s/>])", re.I)
 _START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 _REST = re.compile(r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>""")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -72,7 +76,15 @@ class Block:
 
 def blocks(html: str | None) -> list[Block]:
     """Leaf blocks with text, in page order."""
-    page, out, stack = html or "", [], []
+    page, ends = html or "", {}
+    if _HIDDEN.search(page):
+        _parse(page, ends, find=True)
+    return _parse(page, ends)
+
+
+def _parse(page: str, ends: dict[int, int], find: bool = False) -> list[Block]:
+    """Leaf blocks without the hidden elements in ``ends`` (end of start tag: end of element), which ``find`` fills."""
+    out, stack = [], []
     current: Block | None = None
     at, quotes = 0, True
 
@@ -120,15 +132,22 @@ def blocks(html: str | None) -> list[Block]:
                 close()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
+                    if find and tag in HIDDEN_TAGS:
+                        ends[stack[i][1]] = at
                     del stack[i:]
                     break
             continue
-        if tag in RAW_TAGS:
+        if tag in RAW_TAGS and not (find and attrs.endswith("/>") and any(t == "svg" for t, _ in stack)):
             done = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
             if not done:
                 break
             at = page.find(">", done.end()) + 1 or len(page)
             continue
+        if tag in HIDDEN_TAGS:
+            if find and not attrs.endswith("/>"):
+                stack.append((tag, at))
+            at = ends.get(at, at) if not find else at
+            continue
         if tag == "br":
             add(" ")
         if tag in BLOCK_TAGS:
@@ -138,7 +157,7 @@ def blocks(html: str | None) -> list[Block]:
                 if stack[i][0] in ended:
                     del stack[i:]
                     break
-                if stack[i][0] in BLOCK_TAGS:
+                if stack[i][0] in BLOCK_TAGS or stack[i][0] in HIDDEN_TAGS:
                     break
         if tag not in VOID_TAGS and not attrs.endswith("/>"):
             names = tuple(w for g in _NAMES.findall(attrs) for w in _WORDS.findall("".join(g).lower()))

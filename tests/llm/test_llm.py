@@ -422,6 +422,28 @@ def test_main_text_edge_cases(spark):
     assert html_main.extract(table(spark, SF, "pages").where("false")).count() == 0
 
 
+HIDDEN = ["<svg/>", "<svg viewBox='0 0 1 1' />", "<svg><path d='M0'/></svg>", "<svg><title/><text>label</text></svg>", "<div><svg></div>",
+          "<object data=x>", "<object data='x' />", "<object><p>fallback</p></object>", "<object><object></object>fallback</object>",
+          "<template>", "<template><div>row</div></template>", "<noscript>", "<noscript><p>no script</p></noscript>", "<iframe src=x>",
+          "<iframe></iframe>"]
+
+
+@pytest.mark.parametrize("hidden", HIDDEN)
+def test_hidden_elements_swallow_nothing_else(hidden):
+    page = "<body>{}<article><h1>Title</h1><p>A sentence{} of some length.</p></article>{}<p>End.</p>"
+    want = [b.text for b in html_main.blocks(page.format("", "", ""))]
+    inline = hidden if hidden != "<div><svg></div>" else "<svg>"
+    for places in ((hidden, "", ""), ("", inline, ""), ("", "", hidden), (hidden, inline, hidden)):
+        got = html_main.blocks(page.format(*places))
+        assert [b.text for b in got] == want
+        assert not any(t in html_main.HIDDEN_TAGS for b in got for t, _ in b.ancestors)
+
+
+def test_end_tag_belongs_to_the_innermost_hidden_element():
+    page = "<object><article><p>Kept.</p></article><object><p>fallback</p></object><div><svg></div><p>Kept too.</p></svg>"
+    assert [b.text for b in html_main.blocks(page)] == ["Kept.", "Kept too."]
+
+
 def test_viterbi_is_the_best_labelling():
     model = html_main.train([])
     page = html_main.features(html_main.blocks(html_main._examples()[1][0]))
