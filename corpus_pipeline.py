@@ -26,14 +26,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each linked group.
+    """One row of each linked group: of the smallest id, then class, then text.
 
-    Blank texts are linked with nothing and stay. Rows that repeat a doc_id are
-    one document; rows without an id stay once per different text.
+    Rows are told apart by id and class, so rows that repeat a doc_id with other
+    texts are documents of their own, and so are rows without an id (they come
+    last in a group). Blank texts are linked with nothing; each such row stays.
     """
-    kept = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return (docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            .unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns))
+    key = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")]
+    kept = (ngram_join.labelled(docs).where("n > 0").select("label", F.struct(*key, F.col("sig").alias("_sig")).alias("_row"))
+            .groupBy("label").agg(F.min("_row").alias("_row")).select("_row.*"))
+    rows = ngram_join.classed(docs)
+    single = (rows.where("_n > 0").select(*key, "_sig", F.struct(*docs.columns).alias("_row"))
+              .groupBy("_none", "_id", "_sig").agg(F.min("_row").alias("_row")).join(kept, ["_none", "_id", "_sig"], "left_semi"))
+    return single.select("_row.*").select(*docs.columns).unionByName(rows.where("_n = 0").select(*docs.columns))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -37,8 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 from .graph import components
@@ -213,12 +215,35 @@ def _neighbours(open_: DataFrame, by_token) -> DataFrame:
                        F.col("o.pos").alias("pos_a"), F.col("pos").alias("pos_b"))
 
 
+def classed(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """``docs`` with the class ``_sig`` and the shingles ``_n`` of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, 256):
+                some = rows.slice(at, 256)
+                sets = shingle_sets(some.column("text").to_pylist(), size)
+                added = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
+                yield pa.RecordBatch.from_arrays([*some.columns, *added], names=[*some.schema.names, "_sig", "_n"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sig", T.LongType()), T.StructField("_n", T.IntegerType())]))
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, sig, component_id) of every document.
 
     ``sig`` names the class of equal sets; ``component_id`` is the smallest
     doc_id reachable over links of Jaccard ``percent`` / 100 or more.
     """
+    member = labelled(docs, size, percent)
+    smallest = member.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return (member.join(smallest, "label", "left")
+            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig",
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+
+
+def labelled(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n, sig, label) of every document; classes of one component share the label."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -286,8 +311,5 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     links = links.union(verified(filtered(cross), "links-rest"))
     labels = components(links, scratch, "cc-all")
 
-    member = members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    smallest = member.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return (member.join(smallest, "label", "left")
-            .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "sig",
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")))
+    return members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
+        "doc_id", "n", "sig", F.coalesce("label", "sig").alias("label"))

@@ -38,6 +38,17 @@ def test_stages(spark, scratch):
     check_packing(pieces, totals)
 
 
+def test_near_duplicates_are_told_apart_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b.upper()), (9, a + " more"), (3, c), (5, c + " more"), (None, b), (None, "alone " * 9), (7, ""), (7, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] or 0, r[1] or "", r[1] is None)
+    want = [(5, a), (5, b.upper()), (3, c), (None, "alone " * 9), (7, ""), (7, None), (None, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted(want, key=key)
+
+
 def test_run_is_the_chain_of_stages(spark):
     from __spark_entry__ import queries
     got = queries()["pipeline"](spark, SF)
