@@ -183,7 +183,7 @@ def test_validator_tamper(spark):
 
 
 def test_paging_keyset_matches_offset(spark):
-    from conftest import F1, raw_frames
+    from fixtures_f1 import F1, raw_frames
     orders = raw_frames(spark, F1)["orders"]
     page1 = operational.customers_page(orders.withColumnRenamed("order_date", "d"), limit=1)
     last = page1.first()

@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import F1, raw_frames
+from fixtures_f1 import F1, raw_frames
 from tallyhouse.operators import quality
 from tallyhouse.operators.star import build_star
 from tallyhouse.plans.pipeline import build_and_publish, published
@@ -140,7 +140,7 @@ def test_reports_ready(spark, scratch, f1):
 def test_freshness_after_swap(spark, scratch):
     """Fixture F3: a second publish is visible to the next report."""
     from decimal import Decimal as D
-    from conftest import TS, raw_frames
+    from fixtures_f1 import TS, raw_frames
     from tallyhouse.operators import analytics as A
     base = {
         "customers": [("c1", "Asha", "asha@example.com", "Pune", "Maharashtra", TS)],
