@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, chat, fingerprint, html_main, licenses, ngram_join, packing, pieces, pii, toxicity
+from . import ann, chat, exact_dedup, fingerprint, html_main, licenses, ngram_join, packing, pieces, pii, spelling, toxicity, whitening
 from .common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -58,8 +58,21 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.resolve(table(spark, sf_dir, "documents"))
+
+
 QUERIES = (op1_toxicity, op2_sentencepiece, op3_fingerprints, op4_ngram_jaccard_join, op5_license_scans,
-           op6_nearest_neighbours, op7_best_fit_packing, op8_chat_formatting, op9_pii, op10_html_extraction)
+           op6_nearest_neighbours, op7_best_fit_packing, op8_chat_formatting, op9_pii, op10_html_extraction,
+           op11_spelling_variants, op12_whitening, op13_exact_dedup)
 
 
 def queries() -> dict[str, QueryFn]:
@@ -68,4 +81,4 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     """Statements of the operators that SQL can express; tests hold the others against brute force."""
-    return {"op8_chat_formatting": chat.ORACLE_SQL}
+    return {"op8_chat_formatting": chat.ORACLE_SQL, "op13_exact_dedup": exact_dedup.ORACLE_SQL}
