@@ -183,7 +183,7 @@ def bidiagonalise(product: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray,
 def fit(rows: DataFrame, dims: int, count: int = COUNT) -> Fit | None:
     """The largest components of distinct ``rows`` (x); None without variance."""
     n, total = _exact_totals(rows, dims)
-    if n < 2 or dims == 0:
+    if n < 2:
         return None
     mean = np.array([t / n for t in total])
     energy = float(_sums(rows, dims, lambda x: np.array([((x - mean) ** 2).sum()]))[0])
@@ -229,6 +229,8 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
     found = usable(vectors, id_col, vector_col)
     dims = found.agg(F.max(F.size("x"))).first()[0] or 0
+    if not dims:
+        return spark.createDataFrame([], schema)
     found = found.select("id", F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(dims) - F.size("x"))).alias("x"))
     distinct = scratch.cut(found.select("x").distinct(), "fit")
     model = fit(distinct, dims, count)

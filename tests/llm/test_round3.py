@@ -172,7 +172,7 @@ def test_spelling_candidates_grow_with_the_words(spark):
 
 def brute_whiten(rows, count=4):
     rows = [(i, x) for i, x in rows if x is not None and all(c is not None and np.isfinite(c) for c in x)]
-    if not rows:
+    if not any(x for _, x in rows):
         return {}
     dims = max(len(x) for _, x in rows)
     xs = [[int(np.floor(256 * float(c))) for c in x] + [0] * (dims - len(x)) for _, x in rows]
