@@ -7,8 +7,9 @@
     star       built from the lake tables as read back (never from the source)
     version    <root>/warehouse/version=<run_id>/<table>/
     gate       quality_report over the written tables; any failure → the version
-               folder is removed and the previous pointer is untouched
-    publish    metadata table, then the ``_CURRENT`` pointer is replaced
+               folder is removed and the previous version stays the newest
+    publish    metadata table, then the next version of the commit log; a build that
+               started before another one committed gets ``CommitConflict``
 
 Every step is a Spark job over the whole tables; the driver only sees row
 counts, check rows and file listings.
@@ -29,8 +30,8 @@ from ..operators.integrity import extract_gate
 from ..operators.star import Star, build_star
 from ..schemas import RAW, STAR, conform
 from ..sources import lake
-from ..sources.warehouse import (POINTER, Warehouse, delete_tree, open_version, table_path,
-                                 write_text_atomic)
+from ..sources.commit_log import CommitLog
+from ..sources.warehouse import Warehouse, delete_tree, open_version, publish_version, table_path
 
 
 class ExtractError(RuntimeError):
@@ -87,6 +88,7 @@ def build_and_publish(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     published_at = published_at or _dt.datetime.now(_dt.timezone.utc).isoformat(timespec="seconds")
     run_date = run_date or published_at[:10]
     root = root.rstrip("/")
+    base = CommitLog(spark, f"{root}/warehouse").latest()
 
     # Extract gate: nothing is written when the snapshot itself is broken.
     raw = {t: conform(raw[t], RAW[t]) for t in RAW_TABLES}
@@ -116,32 +118,45 @@ def build_and_publish(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     metadata_frame(spark, run_id=run_id, lake_prefix=lake_run.prefix,
                    published_at=published_at).coalesce(1).write.mode("errorifexists").parquet(
         table_path(version_dir, "warehouse_metadata"))
-    write_text_atomic(spark, f"{root}/warehouse/{POINTER}", f"version={run_id}")
+    publish_version(spark, f"{root}/warehouse", f"version={run_id}", base, run_id=run_id,
+                    published_at=published_at, counts=counts)
     return RunResult(run_id, lake_run.prefix, version_dir, True, lake_run.row_counts, counts, [])
 
 
-def published(spark: SparkSession, root: str) -> Warehouse | None:
+def published(spark: SparkSession, root: str, version: int | None = None) -> Warehouse | None:
     from ..sources.warehouse import open_warehouse
-    return open_warehouse(spark, f"{root.rstrip('/')}/warehouse")
+    return open_warehouse(spark, f"{root.rstrip('/')}/warehouse", version)
 
 
 def run_with_audit(spark: SparkSession, raw: dict[str, DataFrame], root: str, audit_dir: str,
                    run_id: str | None = None) -> RunResult:
     """``build_and_publish`` recorded in the append-only run audit.
 
-    A ``running`` event is appended first. Then comes ``succeeded`` with the
+    Only one run is active at a time: the run claims the slot of ``audit_dir``
+    first, and raises ``ConcurrentRun`` when another run holds it. A ``running``
+    event is appended next. Then comes ``succeeded`` with the
     source row counts and the lake prefix, or ``failed`` with the error (gate
     failures or the exception), redacted and capped as the audit stores it.
     A failed run leaves the previous warehouse published; the run state is
     the latest event per run (``operators.audit.run_state``).
     """
     from ..operators import audit
+    from ..sources import run_slot
 
     def now() -> _dt.datetime:
         return _dt.datetime.now(_dt.timezone.utc)
 
     run_id = run_id or new_run_id()
-    audit.append_events(audit.event(spark, run_id, "running", now()), audit_dir)
+    run_slot.claim(spark, audit_dir, run_id)
+    try:
+        audit.append_events(audit.event(spark, run_id, "running", now()), audit_dir)
+        return _audited(spark, raw, root, audit_dir, run_id, now)
+    finally:
+        run_slot.release(spark, audit_dir, run_id)
+
+
+def _audited(spark: SparkSession, raw: dict[str, DataFrame], root: str, audit_dir: str, run_id: str, now) -> RunResult:
+    from ..operators import audit
     try:
         result = build_and_publish(spark, raw, root, run_id=run_id)
     except Exception as e:

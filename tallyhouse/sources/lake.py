@@ -29,11 +29,13 @@ from pyspark.sql import types as T
 from ..config import PIPELINE_VERSION, RAW_TABLES, SCHEMA_VERSION
 from ..schemas import RAW
 from ..session import scratch_root
+from .commit_log import create_if_absent, utc_now
 from .warehouse import delete_tree, path_exists
 
 MAX_RECORDS_PER_FILE = 2_000_000
 MANIFEST = "manifest"
 MANIFEST_FILES = "manifest_files"
+CLAIMS = "_claims"
 
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
@@ -129,6 +131,9 @@ def upload_run(spark: SparkSession, raw: dict[str, DataFrame], lake_root: str,
     """Write the four tables, then the manifest (the commit marker)."""
     prefix = run_prefix(lake_root, run_date, run_id)
     assert_prefix_unused(spark, prefix)
+    # The check alone lets two writers pass; only one of them can make the claim.
+    if not create_if_absent(spark, f"{lake_root.rstrip('/')}/{CLAIMS}/run_date={run_date}/run_id={run_id}", utc_now()):
+        raise LakeError(f"lake prefix already claimed: {prefix}")
     # The four tables are independent jobs: submit them together so small
     # tables do not wait behind the line table (jobs share the cluster's slots).
     with ThreadPoolExecutor(max_workers=len(RAW_TABLES)) as pool:

@@ -2,8 +2,8 @@
 
 The reference replaces its four seed tables inside one transaction. Here a
 dataset is written as a new immutable version folder and becomes current with
-the same pointer swap the warehouse uses, so readers see either the old or the
-new tables, never a mix. It refuses to run in production unless explicitly
+the same commit log the warehouse uses, so readers see either the old or the
+new tables, never a mix, and of two concurrent loads one gets a conflict. It refuses to run in production unless explicitly
 allowed, refuses a dataset that fails validation, and never touches the run
 audit (which lives elsewhere).
 """
@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import RAW_TABLES
 from ..schemas import RAW
-from .warehouse import POINTER, read_text, write_text_atomic
+from .commit_log import CommitLog
+from .warehouse import publish_version
 
 
 class LoadRefused(RuntimeError):
@@ -33,16 +34,18 @@ def publish_dataset(spark: SparkSession, tables: dict[str, DataFrame], root: str
         bad = [r["rule"] for r in validation.where("affected > 0").select("rule").collect()]
         if bad:
             raise LoadRefused(f"dataset fails validation: {bad}")
+    base = CommitLog(spark, root).latest()
     version = f"version={uuid.uuid4()}"
     for t in RAW_TABLES:
         tables[t].select(*[f.name for f in RAW[t].fields]).write.mode("errorifexists") \
             .parquet(f"{root}/{version}/{t}")
-    write_text_atomic(spark, f"{root}/{POINTER}", version)
+    publish_version(spark, root, version, base)
     return version
 
 
 def current_tables(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
-    version = read_text(spark, f"{root}/{POINTER}")
-    if not version:
+    log = CommitLog(spark, root)
+    entry = log.entry(log.latest())
+    if not entry or not entry.get("folder"):
         return None
-    return {t: spark.read.schema(RAW[t]).parquet(f"{root}/{version}/{t}") for t in RAW_TABLES}
+    return {t: spark.read.schema(RAW[t]).parquet(f"{root}/{entry['folder']}/{t}") for t in RAW_TABLES}

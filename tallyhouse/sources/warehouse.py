@@ -1,15 +1,18 @@
-"""The published warehouse: immutable version folders behind a pointer.
+"""The published warehouse: immutable version folders under a commit log.
 
 Layout under a warehouse root::
 
     <root>/version=<run_id>/dim_customer/ ... /fact_sales/ (partitioned by sale_month)
     <root>/version=<run_id>/warehouse_metadata/
-    <root>/_CURRENT          one line: the published version folder name
-
-A build writes a new version folder, is gated there, and only then replaces
-``_CURRENT`` (write-to-temp, then one atomic rename that overwrites). Readers resolve the pointer once per query, so a reader never sees a
-half-written or failed build, and older versions stay readable by running
-queries. No pointer (or an unreadable one) means "not ready".
+    <root>/_commits/<version>.json    one entry per published version (``commit_log``)
+
+A build remembers the newest version when it starts, writes a new version
+folder, is gated there, and only then commits the next version. Of two builds
+that started from one version the first to commit wins; the other gets a
+conflict and its folder is removed. Readers resolve the version once per query,
+so a reader never sees a half-written or failed build. Older versions stay
+readable by their number until :func:`expire` removes their folders. No version
+(or an unreadable one) means "not ready".
 """
 
 from __future__ import annotations
@@ -113,16 +116,68 @@ def _read_schema(name: str):
     return schema
 
 
-def open_warehouse(spark: SparkSession, root: str) -> Warehouse | None:
-    """Resolve the pointer; ``None`` when nothing usable is published."""
-    try:
-        version = read_text(spark, f"{root.rstrip('/')}/{POINTER}")
-    except Exception:  # unreadable pointer → not ready
-        return None
-    if not version:
+def open_warehouse(spark: SparkSession, root: str, version: int | None = None) -> Warehouse | None:
+    """The newest published version, or the one numbered ``version``.
+
+    ``None`` when nothing usable is published. A version asked for by number
+    that retention has removed raises ``VersionExpired``."""
+    from .commit_log import CommitLog, VersionExpired
+    log = CommitLog(spark, root)
+    entry = log.entry(version or log.latest())
+    if not entry or not entry.get("folder"):
         return None
-    version_dir = f"{root.rstrip('/')}/{version}"
+    version_dir = f"{root.rstrip('/')}/{entry['folder']}"
     if not all(path_exists(spark, f"{table_path(version_dir, t)}/_SUCCESS")
                for t in (*STAR_TABLES, "warehouse_metadata")):
+        if version is not None and not path_exists(spark, version_dir):
+            raise VersionExpired(f"version {version} of {root} is no longer kept")
         return None
     return open_version(spark, version_dir)
+
+
+def publish_version(spark: SparkSession, root: str, folder: str, base: int, **fields) -> int:
+    """Commit ``folder`` as the version after ``base``; on a conflict the folder
+    is removed and ``CommitConflict`` is raised."""
+    from .commit_log import CommitConflict, CommitLog
+    try:
+        return CommitLog(spark, root).commit({"folder": folder, **fields}, base)
+    except CommitConflict:
+        delete_tree(spark, f"{root.rstrip('/')}/{folder}")
+        raise
+
+
+def expire(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Remove the data of all but the newest ``keep`` versions; their entries
+    stay in the log. Returns the versions whose data was removed."""
+    from .commit_log import CommitLog
+    if keep < 1:
+        raise ValueError("at least the newest version is kept")
+    log, gone = CommitLog(spark, root), []
+    versions = log.versions()
+    kept = {(log.entry(v) or {}).get("folder") for v in versions[-keep:]}
+    for v in versions[:-keep]:
+        folder = (log.entry(v) or {}).get("folder")
+        if folder and folder not in kept and path_exists(spark, f"{root.rstrip('/')}/{folder}"):
+            delete_tree(spark, f"{root.rstrip('/')}/{folder}")
+            gone.append(v)
+    return gone
+
+
+def version_counts(spark: SparkSession, root: str) -> DataFrame:
+    """One row per readable version and star table: the rows its commit recorded
+    and the rows its files hold."""
+    from functools import reduce
+
+    from .commit_log import CommitLog
+    log, frames = CommitLog(spark, root), []
+    for v in log.versions():
+        entry = log.entry(v) or {}
+        if not entry.get("folder") or not path_exists(spark, f"{root.rstrip('/')}/{entry['folder']}"):
+            continue
+        wh = open_version(spark, f"{root.rstrip('/')}/{entry['folder']}")
+        frames += [getattr(wh, t).agg(F.count(F.lit(1)).cast("long").alias("rows")).select(
+            F.lit(v).cast("long").alias("version"), F.lit(entry["base"]).cast("long").alias("base"), F.lit(t).alias("table"),
+            F.lit(entry.get("counts", {}).get(t)).cast("long").alias("recorded"), "rows") for t in STAR_TABLES]
+    if not frames:
+        return spark.createDataFrame([], "version long, base long, table string, recorded long, rows long")
+    return reduce(lambda a, b: a.unionByName(b), frames)
