@@ -1,5 +1,5 @@
 """Snapshot integrity: declared non-null columns, referential checks, the
-source CHECK constraints, row counts and an order-insensitive fingerprint.
+source CHECK constraints, row counts and a multiset checksum.
 
 Each report is one lazy plan of one-row aggregates stacked with
 ``unionByName``; per-row predicates of one table share one scan.
@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import EMAIL_PATTERN, ORDER_STATUSES, RAW_TABLES
 from ..schemas import RAW
@@ -87,15 +88,55 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
                    .select(F.lit(name).alias("table"), "rows") for name, df in tables.items()])
 
 
+#: A row's SHA-256 is added up in eight lanes of 32 bits, each modulo 2**32.
+LANES = 8
+
+
+def row_text(schema: T.StructType) -> Column:
+    """One text per row that tells any two different rows apart: each value with
+    its length before it, a null as ``~``."""
+    def part(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`").cast("string")
+        return F.coalesce(F.concat(F.char_length(c).cast("string"), F.lit(":"), c), F.lit("~"))
+    return F.concat(*[part(f) for f in schema.fields])
+
+
+def _lanes(df: DataFrame) -> list[Column]:
+    h = F.sha2(row_text(df.schema), 256)
+    return [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(12,0)").alias(f"lane{i}") for i in range(LANES)]
+
+
+def _lane_sums() -> list[Column]:
+    return [F.pmod(F.coalesce(F.sum(f"lane{i}"), F.lit(0)), F.lit(1 << 32)).cast("long").alias(f"lane{i}") for i in range(LANES)]
+
+
+def checksum_text() -> Column:
+    return F.concat(*[F.lpad(F.lower(F.hex(f"lane{i}")), 8, "0") for i in range(LANES)])
+
+
+def checksum(df: DataFrame) -> DataFrame:
+    """One row: the rows and the multiset checksum of ``df``.
+
+    The sum over the rows of their SHA-256, lane by lane: equal for equal
+    multisets whatever their order or files, and additive, so the checksum of a
+    union is the sum of the parts' (:func:`combined`). A changed, lost or repeated row
+    alters it.
+    """
+    return (df.select(*_lanes(df)).agg(F.count(F.lit(1)).cast("long").alias("rows"), *_lane_sums()))
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """The checksum of the union of disjoint parts (rows of :func:`checksum`)."""
+    return parts.agg(F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("rows"), *_lane_sums())
+
+
+def file_checksums(df: DataFrame) -> DataFrame:
+    """A checksum row per file of a table read from files."""
+    return (df.select(F.col("_metadata.file_path").alias("path"), *_lanes(df)).groupBy("path")
+            .agg(F.count(F.lit(1)).cast("long").alias("rows"), *_lane_sums()))
+
+
 def fingerprint(tables: dict[str, DataFrame]) -> DataFrame:
-    """Order-insensitive fingerprint per table: row count and the sum of a
-    64-bit hash of every row (exact decimal sum), equal for equal multisets of
-    rows regardless of partitioning or file layout. Not cryptographic; file
-    bytes are covered by the SHA-256 of the lake manifest."""
-    return _stack([
-        df.agg(F.count(F.lit(1)).cast("long").alias("rows"),
-               F.coalesce(F.sum(F.xxhash64(*[F.col(c) for c in df.columns])
-                                .cast("decimal(38,0)")), F.lit(0)).cast("string")
-               .alias("row_hash_sum"))
-        .select(F.lit(name).alias("table"), "rows", "row_hash_sum")
-        for name, df in tables.items()])
+    """Order-insensitive checksum per table: table, rows, checksum (64 hex digits)."""
+    return _stack([checksum(df).select(F.lit(name).alias("table"), "rows", checksum_text().alias("checksum"))
+                   for name, df in tables.items()])

@@ -593,29 +593,6 @@ def q_manifest_row_counts(spark, sf_dir):
             .groupBy("table").agg(F.sum("row_count").cast("long").alias("row_count")))
 
 
-@register("lake_runs", None)
-def q_lake_runs(spark, sf_dir):
-    """Committed lake runs found by their ``run_date=…/run_id=…`` prefixes
-    (rows-only: the run id is generated)."""
-    from ..sources import lake
-    wh = warehouse(spark, sf_dir)
-    prefix = wh.metadata.where(F.col("key") == "lake_prefix").select("value").first()[0]
-    return lake.lake_runs(spark, prefix.split("/run_date=")[0])
-
-
-@register("warehouse_metadata", None)
-def q_warehouse_metadata(spark, sf_dir):
-    return warehouse(spark, sf_dir).metadata
-
-
-@register("table_fingerprint", None)
-def q_table_fingerprint(spark, sf_dir):
-    wh = warehouse(spark, sf_dir)
-    return I.fingerprint({"dim_customer": wh.dim_customer, "dim_product": wh.dim_product,
-                          "dim_date": wh.dim_date,
-                          "fact_sales": wh.fact_sales.drop("sale_month")})
-
-
 # --------------------------------------------------------------------------
 # Dataset validation and statistics (§2.12, AGG-22)
 
@@ -876,19 +853,22 @@ FROM (SELECT p.*, EXISTS (SELECT 1 FROM stg_customers c WHERE lower(c.email) = p
                    trim(n.n_name) AS city, trim(r.r_name) AS state
             FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey) p) q"""))
 def q_catalogue_intake(spark, sf_dir):
+    return N.customer_intake(supplier_customers(spark, sf_dir), _raw(spark, sf_dir)["customers"]).drop("accepted")
+
+
+def supplier_customers(spark, sf_dir):
     """Suppliers proposed as new customers (e-mail derived from the supplier
     key, so some collide with existing customers)."""
     s = testdata.read(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey")
     n = testdata.read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     r = testdata.read(spark, sf_dir, "region", "r_regionkey", "r_name")
     geo = n.join(r, n.n_regionkey == r.r_regionkey)
-    proposed = s.join(geo, s.s_nationkey == geo.n_nationkey).select(
+    return s.join(geo, s.s_nationkey == geo.n_nationkey).select(
         F.col("s_suppkey").cast("string").alias("ref"),
         F.concat(F.lit(" "), F.col("s_name"), F.lit(" ")).alias("name"),
         F.concat(F.lit("C"), (F.col("s_suppkey") * 37).cast("string"), F.lit("@Example.com"))
         .alias("email"),
         F.col("n_name").alias("city"), F.col("r_name").alias("state"))
-    return N.customer_intake(proposed, _raw(spark, sf_dir)["customers"]).drop("accepted")
 
 
 @register("product_intake", sql("""
