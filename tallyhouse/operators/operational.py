@@ -208,6 +208,11 @@ def customer_search(customers: DataFrame, needle: str | None,
     return df.orderBy(*_sort(CUSTOMER_ORDER)).limit(limit)
 
 
+def customer_search_indexed(index, customers: DataFrame, needle: str | None, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """:func:`customer_search` over a ``SubstringIndex`` of name, email and city."""
+    return index.search(customers, ["name", "email", "city"], needle).orderBy(*_sort(CUSTOMER_ORDER)).limit(limit)
+
+
 def product_categories(products: DataFrame) -> DataFrame:
     """Distinct categories over all products, sorted."""
     return products.select("category").distinct().orderBy("category")

@@ -8,14 +8,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import audit as AU
+from ..operators import operational as O
 from ..operators import integrity as I
 from ..operators import rollup as RU
 from ..operators import run_rules as RR
+from ..operators.substring_index import SubstringIndex
 from ..session import scratch_root
 from ..sources import lake, testdata
 from ..sources.order_store import OrderStore
+from ..sources.sorted_table import SortedTable
 from ..sources.warehouse import version_counts
-from .catalog import _PROPOSALS, AS_OF, WINDOW, D, TS, _audit_ctes, _audit_events, _dw, _intake_sql, _map_json, proposals, supplier_customers
+from .catalog import _PROPOSALS, AS_OF, SEARCH, WINDOW, D, TS, _audit_ctes, _audit_events, _dw, _intake_sql, _map_json, proposals, supplier_customers
 from .oracle import sql
 from .pipeline import build_and_publish
 from .registry import register, warehouse
@@ -251,3 +254,48 @@ def q_warehouse_metadata(spark, sf_dir):
                               .when((k == "lake_prefix") & v.endswith(f"run_id={run}"), "the prefix of this run")
                               .when((k == "published_at") & v.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$"), "an instant")
                               .otherwise(v).alias("value"))
+
+
+# --------------------------------------------------------------------------
+# Deep pages, point lookups, substring search (SRT-2/3/9, FLT-5, FLT-8)
+
+DEEP_LINES, DEEP_ORDERS, DEEP_LIMIT = 50_000, 12_000, 100
+LINES = "SELECT id, order_id, product_id, quantity, CAST(unit_price_at_sale AS DOUBLE) AS unit_price_at_sale FROM stg_order_items"
+
+
+def _sorted_lines(spark, sf_dir) -> SortedTable:
+    return SortedTable.build(testdata.stg_order_items(spark, sf_dir), f"{scratch_root(spark)}/sorted-lines-{uuid.uuid4().hex}", [("id", False)])
+
+
+@register("lines_page_deep", sql(f"{LINES} ORDER BY id LIMIT {DEEP_LIMIT} OFFSET {DEEP_LINES}"))
+def q_lines_page_deep(spark, sf_dir):
+    """A page far behind the first rows, from the files that hold it."""
+    return _sorted_lines(spark, sf_dir).page(DEEP_LIMIT, DEEP_LINES)
+
+
+@register("orders_page_deep", sql(f"""
+SELECT id, customer_id, status, strftime(order_date, {D}) AS order_date, strftime(created_at, {TS}) AS created_at FROM stg_orders
+ORDER BY stg_orders.order_date DESC, stg_orders.created_at DESC, id LIMIT {DEEP_LIMIT} OFFSET {DEEP_ORDERS}"""))
+def q_orders_page_deep(spark, sf_dir):
+    table = SortedTable.build(testdata.stg_orders(spark, sf_dir), f"{scratch_root(spark)}/sorted-orders-{uuid.uuid4().hex}", O.ORDER_ORDER)
+    return table.page(DEEP_LIMIT, DEEP_ORDERS)
+
+
+LINE_PREFIX = "7-1-"
+
+
+@register("line_by_id", sql(f"{LINES} WHERE id = (SELECT min(id) FROM stg_order_items WHERE id LIKE '{LINE_PREFIX}%')"))
+def q_line_by_id(spark, sf_dir):
+    """A line looked up by its id (the first line of order 7)."""
+    wanted = testdata.stg_order_items(spark, sf_dir).where(F.col("id").startswith(LINE_PREFIX)).agg(F.min("id")).first()[0]
+    return _sorted_lines(spark, sf_dir).find(wanted)
+
+
+@register("customer_search_indexed", sql(f"""
+SELECT id, name, email, city, state, strftime(created_at, {TS}) AS created_at FROM stg_customers
+WHERE contains(lower(name), '{SEARCH}') OR contains(lower(email), '{SEARCH}') OR contains(lower(city), '{SEARCH}')
+ORDER BY stg_customers.created_at DESC, id LIMIT 200"""))
+def q_customer_search_indexed(spark, sf_dir):
+    customers = testdata.stg_customers(spark, sf_dir)
+    index = SubstringIndex.build(customers, f"{scratch_root(spark)}/substrings-{uuid.uuid4().hex}", ["name", "email", "city"])
+    return O.customer_search_indexed(index, customers, SEARCH)
