@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..session import scratch_root
 
@@ -39,3 +40,44 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with underscores after it while a column is called so (whatever the case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+#: From texts to (source row of each output row, or None for one each; values of each added column).
+TextFunction = Callable[[list], tuple[Sequence[int] | None, list]]
+
+
+def over_texts(df: DataFrame, text_col: str, keep: list[str], make: Callable[[], TextFunction], added: str, step: int = 256) -> DataFrame:
+    """Columns ``keep`` of ``df`` with the columns ``added`` (a DDL string) that a
+    function of ``step`` texts at a time gives.
+
+    ``make`` builds the function once a task. The other columns stay in Arrow, so
+    64-bit ids beside nulls, structs and the like come out as they went in.
+    """
+    fields = [f for c in keep for f in df.schema.fields if f.name == c][: len(keep)]
+    new = T._parse_datatype_string(added)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types, names = [to_arrow_type(f.dataType) for f in new.fields], [f.name for f in [*fields, *new.fields]]
+        function = make()
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                rows, values = function(some.column(text_col).to_pylist())
+                kept = [some.column(c) for c in keep]
+                if rows is not None:
+                    order = pa.array(rows, pa.int64())
+                    kept = [c.take(order) for c in kept]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v, t) for v, t in zip(values, types))], names=names)
+
+    return df.mapInArrow(run, T.StructType([*fields, *new.fields]))

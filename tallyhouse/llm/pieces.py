@@ -24,13 +24,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_texts
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CACHE_CHUNKS, CACHE_PAIRS = 200_000, 500_000
@@ -54,7 +54,8 @@ class Model:
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.chunks: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.number = [self.id[p] for p in self.sorted.tolist()]
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, best score first, leftmost of equals."""
@@ -69,16 +70,18 @@ class Model:
                 return parts
             parts[at: at + 2] = [parts[at] + parts[at + 1]]
 
-    def follows(self, left: str, right: str) -> bool:
-        known = self.pairs.get((left, right))
+    def follows(self, left: int, right: int) -> bool:
+        """Whether the two pieces (numbers in sorted order) come out of merging as they are."""
+        known = self.pairs.get(left * len(self.sorted) + right)
         if known is None:
             if len(self.pairs) > CACHE_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            a, b = str(self.sorted[left]), str(self.sorted[right])
+            known = self.pairs[left * len(self.sorted) + right] = self.merged(a + b) == [a, b]
         return known
 
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(start, end) of every occurrence of a piece, by end, then start."""
+    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of every occurrence of a piece, by end, then start."""
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         padded = np.concatenate((codes, np.zeros(self.width, dtype=np.uint32)))
         windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, self.width)[: len(codes)])
@@ -91,46 +94,48 @@ class Model:
         start = array[first]
         end = start + np.repeat(self.lengths, count)
         order = np.lexsort((start, end))
-        return start[order], end[order]
+        return start[order], end[order], np.repeat(np.arange(len(count)), count)[order]
 
     def learn(self, chunks: list[str]) -> None:
         """Ids of new chunks, from one index over their concatenation."""
         text = "\0".join(chunks) + "\0"
-        starts, ends = self.edges(text)
-        last: list[str | None] = [None] * (len(text) + 1)  # last piece of the prefix that ends here
-        borders, at = set(), 0
+        starts, ends, found = self.edges(text)
+        # The last piece of the prefix that ends here: CLOSED, none (FREE: a chunk's
+        # start, or behind a character outside the vocabulary), or its number.
+        CLOSED, FREE = -2, -1
+        last, begin = [CLOSED] * (len(text) + 1), [0] * (len(text) + 1)
+        at = 0
         for c in chunks:
-            borders.add(at)
+            last[at] = FREE
             at += len(c) + 1
-        known = self.id
-        known_start = [False] * (len(text) + 1)
-        for b in borders:
-            known_start[b] = True
-        i, n = 0, len(starts)
-        s_list, e_list = starts.tolist(), ends.tolist()
+        many, get, known = len(self.sorted), self.pairs.get, self.id
+        s_list, p_list = starts.tolist(), found.tolist()
+        bound = np.searchsorted(ends, np.arange(len(text) + 2)).tolist()
         for end in range(1, len(text) + 1):
-            while i < n and e_list[i] == end:
-                s = s_list[i]
-                i += 1
-                if last[end] is None and known_start[s]:
-                    piece = text[s:end]
-                    if s in borders or len(last[s]) == 1 and last[s] not in known or self.follows(last[s], piece):
-                        last[end] = piece
-                        known_start[end] = True
-            if last[end] is None and known_start[end - 1] and text[end - 1] not in known:
-                last[end] = text[end - 1]  # outside the vocabulary
-                known_start[end] = True
+            for i in range(bound[end], bound[end + 1]):
+                before = last[s_list[i]]
+                if before == CLOSED:
+                    continue
+                piece = p_list[i]
+                if before != FREE:
+                    fits = get(before * many + piece)
+                    if not (self.follows(before, piece) if fits is None else fits):
+                        continue
+                last[end], begin[end] = piece, s_list[i]
+                break
+            else:
+                if last[end] == CLOSED and last[end - 1] != CLOSED and text[end - 1] not in known:
+                    last[end], begin[end] = FREE, end - 1  # outside the vocabulary
         at = 0
         for c in chunks:
             out, end = [], at + len(c)
             while end > at:
-                out.append(last[end])
-                end -= len(last[end])
-            ids = []
-            for p in reversed(out):
-                i = known.get(p)
-                ids.extend([i] if i is not None else [self.bytes[b] for b in p.encode("utf-8", "surrogatepass")])
-            self.chunks[c] = np.array(ids, dtype="<u4").tobytes()
+                if last[end] == FREE:
+                    out.extend(self.bytes[b] for b in reversed(text[end - 1].encode("utf-8", "surrogatepass")))
+                else:
+                    out.append(self.number[last[end]])
+                end = begin[end]
+            self.chunks[c] = np.array(out[::-1], dtype="<u4").tobytes()
             at += len(c) + 1
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -160,18 +165,15 @@ def encode(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFram
     """(doc_id, n_ids, ids_crc32, decoded_sha256) of every document; ``ids`` as an array if asked for."""
     import hashlib
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = Model(model_path)
-        for rows in batches:
-            for at in range(0, len(rows), 512):
-                some = rows.iloc[at: at + 512]
-                data = model.encode([t if isinstance(t, str) else "" for t in some["text"]])
-                out = pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "n_ids": [len(d) // 4 for d in data],
-                                    "ids_crc32": [zlib.crc32(d) for d in data],
-                                    "decoded_sha256": [hashlib.sha256(model.decode(d).encode("utf-8", "surrogatepass")).hexdigest() for d in data]})
-                if with_ids:
-                    out["ids"] = [np.frombuffer(d, dtype="<u4").astype(np.int32) for d in data]
-                yield out
-
-    schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+
+        def run(texts: list) -> tuple[None, list]:
+            data = model.encode([t or "" for t in texts])
+            out = [[len(d) // 4 for d in data], [zlib.crc32(d) for d in data],
+                   [hashlib.sha256(model.decode(d).encode("utf-8", "surrogatepass")).hexdigest() for d in data]]
+            return None, out + ([[np.frombuffer(d, dtype="<u4").astype(np.int32) for d in data]] if with_ids else [])
+        return run
+
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", ["doc_id"], make,
+                      "n_ids long, ids_crc32 long, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), step=2048)
