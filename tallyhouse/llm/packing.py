@@ -66,20 +66,29 @@ class Ids:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def learn(self, words: list[str], between: str) -> None:
+        """Ids of ``words``, joined by ``between``; if the tokenizer cuts them elsewhere, none is learnt."""
+        step = 2 if between else 1
+        for at in range(0, len(words), 512):
+            some = words[at: at + 512]
+            e = self.tokenizer.encode(between.join(some), add_special_tokens=False)
+            data = np.array(e.ids, dtype="<u4").tobytes()
+            cuts = [*np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)).tolist(), len(e.ids)]
+            if len(cuts) == step * len(some) + (0 if between else 1):
+                self.known.update((w, data[4 * a: 4 * b]) for w, a, b in zip(some, cuts[::step], cuts[1::step]))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PRETOKENS:
             self.known.clear()
         parts = [None if UNCOMMON.search(t) else PRETOKEN.findall(t) for t in texts]
         new = list(set().union(*(p for p in parts if p)).difference(self.known))
-        # Letters after a space are one pre-token wherever they stand: many in one call.
-        plain = [w for w in new if w[0] == " " and w[1:].isalpha()]
-        for at in range(0, len(plain), 512):
-            some = plain[at: at + 512]
-            e = self.tokenizer.encode("".join(some), add_special_tokens=False)
-            data = np.array(e.ids, dtype="<u4").tobytes()
-            cuts = [*np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)).tolist(), len(e.ids)]
-            self.known.update((w, data[4 * a: 4 * b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
-        for word in set(new).difference(plain):
+        # A pre-token that starts with a space, or stands behind a line break, is one
+        # wherever it stands: many in one call. Blanks alone go one by one.
+        spaced = [w for w in new if w[0] == " " and not w.isspace()]
+        bare = [w for w in new if w[0] not in BLANK]
+        self.learn(spaced, "")
+        self.learn(bare, "\n")
+        for word in set(new).difference(self.known):
             self.known[word] = self.whole(word)
         value = self.known.__getitem__
         return [self.whole(t) if p is None else b"".join(map(value, p)) for t, p in zip(texts, parts)]
@@ -115,32 +124,37 @@ def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, n
     return bins, places, np.array(fills, dtype=np.int64)
 
 
-def local_pieces(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+def local_pieces(batches: Iterator, path: str) -> Iterator:
     """Level 0: the pieces of a partition's documents, packed among themselves."""
+    import pyarrow as pa
+
     node = TaskContext.get().partitionId()
     ids = Ids(path)
     end = np.array([END_ID], dtype="<u4").tobytes()
+    docs: list[pa.Array] = []
     out: list[tuple] = []
+    done = 0
     for rows in batches:
-        keys = rows["doc_id"].tolist()
-        for at in range(0, len(rows), 256):
-            texts = [t if isinstance(t, str) else "" for t in rows["text"].iloc[at: at + 256]]
-            for doc, b in zip(keys[at: at + 256], ids(texts)):
+        for at in range(0, rows.num_rows, 256):
+            some = rows.slice(at, 256)
+            docs.append(some.column("doc_id"))
+            base, done = done, done + some.num_rows
+            for i, b in enumerate(ids([t or "" for t in some.column("text").to_pylist()])):
                 b += end
-                total, doc = len(b) // 4, None if pd.isna(doc) else int(doc)
+                total = len(b) // 4
                 first = total % CAPACITY or CAPACITY
                 edges = [0, *range(first, total + 1, CAPACITY)]
                 for k, (s, e) in enumerate(zip(edges, edges[1:])):
-                    out.append((doc, k, s, e - s, zlib.crc32(b[4 * s: 4 * e])))
+                    out.append((base + i, k, s, e - s, zlib.crc32(b[4 * s: 4 * e])))
     if not out:
         return
-    frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-    frame["doc_id"] = frame["doc_id"].astype("Int64")
-    bins, places, fills = best_fit(frame["length"].to_numpy())
-    frame["bin"], frame["place"], frame["fill"] = bins + (node << 32), places, fills[bins]
-    frame["open"] = frame["fill"] < CAPACITY - NEARLY_FULL
-    for at in range(0, len(frame), 50_000):
-        yield frame.iloc[at: at + 50_000]
+    row, piece, start, length, crc = (np.array(c, dtype=np.int64) for c in zip(*out))
+    bins, places, fills = best_fit(length)
+    fill = fills[bins]
+    table = pa.table([pa.chunked_array(docs).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc),
+                      pa.array(bins + (node << 32)), pa.array(places), pa.array(fill), pa.array(fill < CAPACITY - NEARLY_FULL)],
+                     names=["doc_id", "piece", "start", "length", "ids_crc32", "bin", "place", "fill", "open"])
+    yield from table.to_batches(max_chunksize=50_000)
 
 
 def _merge_round(opened: DataFrame, nodes: int) -> DataFrame:
@@ -168,7 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """One row per piece: (doc_id, piece, start, length, ids_crc32, sequence_id, offset)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    pieces = scratch.cut(docs.select("doc_id", "text").mapInPandas(
+    pieces = scratch.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         lambda batches: local_pieces(batches, tokenizer_path), PIECE_SCHEMA), "pieces")
     node = F.shiftright("bin", 32)
     nodes = (pieces.agg(F.max(node)).first()[0] or 0) + 1
