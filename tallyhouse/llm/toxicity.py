@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_texts
+
 WORD = re.compile(r"[^\W_]+")
 MIN_N, MAX_N = 3, 5
 CACHE_WORDS = 400_000
@@ -220,16 +222,19 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> tuple[
         part = (one.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(params.seed)), "doc_id")
                 .limit(params.max_docs // 4 if label else params.max_docs - params.max_docs // 4))
         drawn = part if drawn is None else drawn.unionByName(part)
-    sample = docs.select("doc_id", "text").join(drawn, "doc_id")
+    # One text an id, whatever the rows that repeat it, so the bound holds for rows too.
+    sample = (docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "toxic")
+              .agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches])
-        rows["text"] = rows["text"].fillna("")
+        if not len(rows):
+            return
         rows = rows.sort_values(["doc_id", "text"])
         table, bias = train(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64), params)
         yield pd.DataFrame({"logits": [table.tobytes()], "bias": [bias]})
 
-    model = sample.coalesce(1).mapInPandas(run, "logits binary, bias double").collect()
+    model = sample.repartition(1).mapInPandas(run, "logits binary, bias double").collect()
     if not model:
         return np.zeros(params.buckets, dtype=np.float32), -40.0
     return np.frombuffer(bytes(model[0]["logits"]), dtype=np.float32), model[0]["bias"]
@@ -240,14 +245,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], column: str = "score
     logits = docs.sparkSession.sparkContext.broadcast(model[0])  # fixed size: Params.buckets floats
     bias = model[1]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         scorer = Scorer(logits.value, bias)
-        for rows in batches:
-            texts = [t if isinstance(t, str) else None for t in rows["text"]]
-            yield rows.assign(**{column: scorer(texts)})
+        return lambda texts: (None, [scorer(texts)])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{column}` double"
-    return docs.mapInPandas(run, schema)
+    return over_texts(docs, "text", docs.columns, make, f"`{column}` double", step=4096)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
