@@ -64,9 +64,12 @@ def _blocks(batches: Iterator[pd.DataFrame], dims: int, size: int, coded: bool)
     def block(ids: np.ndarray, vecs: np.ndarray) -> dict:
         row = {"ids": ids.astype("<i8").tobytes(), "vecs": vecs.astype("<f8").tobytes()}
         if coded:
-            norms = np.linalg.norm(vecs, axis=1)
-            unit = vecs / np.abs(vecs).max(axis=1, keepdims=True)
-            unit = unit / np.linalg.norm(unit, axis=1, keepdims=True) @ turn.T
+            largest = np.abs(vecs).max(axis=1, keepdims=True)
+            unit = vecs / largest  # a length of huge or tiny entries comes from scaled ones
+            length = np.linalg.norm(unit, axis=1, keepdims=True)
+            with np.errstate(over="ignore"):
+                norms = np.minimum(largest * length, np.finfo(np.float64).max).ravel()
+            unit = unit / length @ turn.T
             row |= {"codes": np.packbits(unit > 0, axis=1).tobytes(), "norms": norms.tobytes(),
                     "own": (np.abs(unit).sum(axis=1) / np.sqrt(dims)).tobytes()}
         return row
@@ -93,17 +96,20 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.nda
     """The best ``k`` of one index block for each query: (query_id, vec_id, score)."""
     dims = vecs.shape[1]
     signs = np.unpackbits(codes.reshape(len(ids), -1), axis=1, count=dims).astype(np.float32) * 2 - 1
-    turned = q @ rotation(dims).T
-    length = np.linalg.norm(turned, axis=1)
-    scale = (norms / (np.sqrt(dims) * own)).astype(np.float32)
-    spread = (norms * np.sqrt(np.maximum(1 - own ** 2, 0)) / own * EPSILON / np.sqrt(max(dims - 1, 1))).astype(np.float32)
+    # Estimates for queries of length one and lengths relative to the block's longest
+    # vector: what a query's own length and the block's scale do to them is the same
+    # for all its candidates, and no finite entry overflows.
+    turned = q / np.abs(q).max(axis=1, keepdims=True)
+    turned = turned / np.linalg.norm(turned, axis=1, keepdims=True) @ rotation(dims).T
+    norms = norms / norms.max()
+    scale = norms / (np.sqrt(dims) * own)
+    spread = norms * np.sqrt(np.maximum(1 - own ** 2, 0)) / own * EPSILON / np.sqrt(max(dims - 1, 1))
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(q), 128):
         guess = turned[at: at + 128].astype(np.float32) @ signs.T * scale
-        error = length[at: at + 128, None].astype(np.float32) * spread
         own_row = q_ids[at: at + 128, None] == ids[None, :]
-        low = np.where(own_row, -np.inf, guess - error)
-        high = np.where(own_row, -np.inf, guess + error)
+        low = np.where(own_row, -np.inf, guess - spread)
+        high = np.where(own_row, -np.inf, guess + spread)
         floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(low), -np.inf)
         for i in range(len(low)):
             pick = np.flatnonzero((high[i] >= floor[i]) & ~own_row[i])
