@@ -108,14 +108,20 @@ def _class(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Arrow batches, so that ids never become floats beside a null."""
     for rows in batches:
-        for at in range(0, len(rows), 256):
-            some = rows.iloc[at: at + 256]
-            yield some, shingle_sets([t if isinstance(t, str) else None for t in some["text"]], size)
+        for at in range(0, rows.num_rows, 256):
+            some = rows.slice(at, 256)
+            yield some, shingle_sets(some.column("text").to_pylist(), size)
+
+
+def _rows(ids: pa.Array, n: list[int], sigs: list[int], blocks: list[int], counts: list[bytes | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sigs, pa.int64()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())],
+                                      names=["doc_id", "n", "sig", "block", "counts"])
 
 
-def _classes(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _classes(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """A row per document (doc_id, n, sig), then the task's counters in blocks."""
     counts, seen = np.zeros(SLOTS, dtype=np.uint8), set()
     for rows, sets in _sets(batches, size):
@@ -125,14 +131,12 @@ def _classes(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFram
         if fresh:
             slots, times = np.unique(np.concatenate(fresh) & np.uint64(SLOTS - 1), return_counts=True)
             counts[slots] = np.minimum(counts[slots] + times, 255).astype(np.uint8)
-        yield pd.DataFrame({"doc_id": rows["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "sig": sigs,
-                            "block": -1, "counts": None})
+        yield _rows(rows.column("doc_id"), [len(s) for s in sets], sigs, [-1] * len(sets), [None] * len(sets))
     if seen:
         blocks = counts.reshape(BLOCKS, -1)
         for at in range(0, BLOCKS, 32):
             ids = list(range(at, at + 32))
-            yield pd.DataFrame({"doc_id": pd.array([None] * 32, dtype="Int64"), "n": 0, "sig": 0, "block": ids,
-                                "counts": [zlib.compress(blocks[i].tobytes(), 1) for i in ids]})
+            yield _rows(pa.nulls(32, pa.int64()), [0] * 32, [0] * 32, ids, [zlib.compress(blocks[i].tobytes(), 1) for i in ids])
 
 
 def _sum_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +153,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _postings(batches: Iterator[pd.DataFrame], counts: np.ndarray, size: int, percent: int) -> Iterator[pd.DataFrame]:
+def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray, size: int, percent: int) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for _, sets in _sets(batches, size):
         out = []
@@ -159,7 +163,8 @@ def _postings(batches: Iterator[pd.DataFrame], counts: np.ndarray, size: int, pe
                 seen.add(sig)
                 order = np.lexsort((s, counts[(s & np.uint64(SLOTS - 1)).astype(np.int64)]))
                 out.append((sig, len(s), s[order[: prefix_length(len(s), percent)]].view(np.int64)))
-        yield pd.DataFrame(out, columns=["sig", "n", "tokens"])
+        sigs, lengths, tokens = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(lengths, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "tokens"])
 
 
 def _verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
@@ -173,7 +178,7 @@ def _verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterato
             yield some.loc[keep, ["a", "b"]]
 
 
-def _represent(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+def _represent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """(sig, text, parts): a text of each class, with counts of its set over PARTS parts.
 
     Rows may repeat a doc_id with other texts, so a text must have the class it
@@ -182,12 +187,13 @@ def _represent(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFr
     seen: set[int] = set()
     for rows, sets in _sets(batches, size):
         keep, parts = [], []
-        for s, wanted in zip(sets, rows["sig"].tolist()):
+        for s, wanted in zip(sets, rows.column("sig").to_pylist()):
             keep.append(wanted not in seen and _class(s) == wanted)
             if keep[-1]:
                 seen.add(wanted)
                 parts.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype(np.int32))
-        yield rows.loc[keep, ["sig", "text"]].assign(parts=parts)
+        some = rows.filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([some.column("sig"), some.column("text"), pa.array(parts, pa.list_(pa.int32()))], names=["sig", "text", "parts"])
 
 
 def _length_and_position(percent: int):
@@ -247,7 +253,7 @@ def labelled(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = scratch.cut(docs.mapInPandas(lambda b: _classes(b, size),
+    first = scratch.cut(docs.mapInArrow(lambda b: _classes(b, size),
                                          "doc_id long, n int, sig long, block int, counts binary"), "classes")
     members = first.where("block < 0").select("doc_id", "n", "sig")
     blocks = (first.where("block >= 0").select("block", "counts").repartition("block")
@@ -257,7 +263,7 @@ def labelled(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
         counts[r["block"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), dtype=np.uint8)
     sketch = spark.sparkContext.broadcast(counts.reshape(-1))
 
-    posted = (docs.mapInPandas(lambda b: _postings(b, sketch.value, size, percent), "sig long, n int, tokens array<long>")
+    posted = (docs.mapInArrow(lambda b: _postings(b, sketch.value, size, percent), "sig long, n int, tokens array<long>")
               .select("sig", "n", F.posexplode("tokens").alias("pos", "token")).repartition("token"))
     by_token = Window.partitionBy("token")
     shared = (posted.dropDuplicates(["token", "sig"])
@@ -268,7 +274,7 @@ def labelled(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
               .groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
     owners = wanted.select(F.col("doc_id").alias("_id"), "sig")
     texts = scratch.cut(docs.join(owners, docs["doc_id"].eqNullSafe(owners["_id"])).select("sig", "text")
-                        .mapInPandas(lambda b: _represent(b, size), "sig long, text string, parts array<int>"), "texts")
+                        .mapInArrow(lambda b: _represent(b, size), "sig long, text string, parts array<int>"), "texts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         a = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
