@@ -34,6 +34,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_texts
+
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption "
                        "figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe label legend li main menu nav ol option p pre "
                        "section select summary table tbody td tfoot th thead title tr ul".split())
@@ -319,11 +321,9 @@ def extract(pages: DataFrame, params: Params = Params()) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     model = fit(pages, params)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            texts = [main_text(h if isinstance(h, str) else None, model) for h in rows["html"]]
-            yield pd.DataFrame({"page_id": rows["page_id"].astype("Int64"), "url": rows["url"], "text": texts,
-                                "n_chars": [len(t) for t in texts]})
+    def run(htmls: list) -> tuple[None, list]:
+        texts = [main_text(h, model) for h in htmls]
+        return None, [texts, [len(t) for t in texts]]
 
-    return (pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-            .mapInPandas(run, "page_id long, url string, text string, n_chars long"))
+    return over_texts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), "html", ["page_id", "url"], lambda: run,
+                      "text string, n_chars long")

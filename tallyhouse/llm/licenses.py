@@ -29,12 +29,12 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import over_texts
+
 COVERAGE = 0.8
 SLACK = 1.0
 WORD = re.compile(r"[a-z0-9]+(?:[.-][0-9a-z]+)*")
@@ -186,12 +186,10 @@ def scan(text: str | None) -> list[tuple[str, float, int, int, int]]:
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, license, coverage, first_word, end_word, findings), a row per document and license found."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "license", "coverage", "first_word", "end_word", "findings"]
-        for rows in batches:
-            out = [(None if pd.isna(d) else int(d), *f) for d, t in zip(rows["doc_id"], rows["text"]) if isinstance(t, str) for f in scan(t)]
-            frame = pd.DataFrame(out, columns=columns)
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+    def run(texts: list) -> tuple[list[int], list]:
+        found = [(i, *f) for i, t in enumerate(texts) if t is not None for f in scan(t)]
+        rows, *columns = map(list, zip(*found)) if found else [[] for _ in range(6)]
+        return rows, columns
 
-    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .mapInPandas(run, "doc_id long, license string, coverage double, first_word long, end_word long, findings long"))
+    return over_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", ["doc_id"], lambda: run,
+                      "license string, coverage double, first_word long, end_word long, findings long")
