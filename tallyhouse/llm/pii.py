@@ -214,13 +214,14 @@ def _with_key(docs: DataFrame) -> DataFrame:
     return (docs.withColumn("_text_1", F.xxhash64("text")).withColumn("_text_2", F.xxhash64(F.lit("text"), "text")))
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(text key, base, spans) of every different text that has a span.
+def find(docs: DataFrame, scratch: Scratch | None = None, patterns_only: bool = False) -> DataFrame:
+    """(text key, base, spans) of every different text that has a span; or the
+    trusted patterns (pattern, inner) alone.
 
     ``base`` and ``spans`` are arrays of (s, k, e), k the kind's number, by start
     and then kind. The result is narrow; texts don't pass through a shuffle.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
+    scratch = scratch or Scratch(docs.sparkSession, "pii")
     raw = F.concat(*[F.transform(base_spans(F.col("text"), k), _numbered(i)) for i, k in enumerate(KINDS[:4])])
     found = scratch.cut(_with_key(docs.select("text").where("text IS NOT NULL"))
                         .select(*TEXT_KEY, raw.alias("raw"), _tokens(F.col("text")).alias("tokens"))
@@ -228,6 +229,8 @@ def find(docs: DataFrame) -> DataFrame:
     found = found.withColumn("base", F.array_sort(F.transform("raw", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))))
     marked = _instances(found)
     good = patterns(marked, docs, scratch)
+    if patterns_only:
+        return good
     extra = (marked.where("NOT seed").join(good, ["pattern", "inner"], "left_semi")
              .groupBy(*TEXT_KEY).agg(F.collect_set(F.struct("s", F.lit(4).alias("k"), "e")).alias("extra")))
     none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
@@ -247,6 +250,7 @@ def _listed(spans: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document."""
+    docs = docs.select("doc_id", "text")
     none = F.expr("cast(array() as array<struct<s:int,k:int,e:int>>)")
     found = (_with_key(docs).select("doc_id", *TEXT_KEY).join(find(docs), TEXT_KEY, "left")
              .withColumn("base", F.coalesce("base", none)).withColumn("spans", F.coalesce("spans", none)))
@@ -255,12 +259,39 @@ def report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
+#: Up to so many trusted patterns are put into the plan itself; beyond it they are joined.
+INLINE_PATTERNS = 256
+
+
+def _spans_in_place(text: Column, good: list) -> Column:
+    """Base spans and those of trusted patterns as array<struct<s, k, e>>, from the text alone."""
+    spans = F.concat(*[F.transform(base_spans(text, k), _numbered(i)) for i, k in enumerate(KINDS[:4])])
+    base = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    if not good:
+        return F.array_sort(base)
+    trusted = F.array(*[F.struct(F.lit(g["pattern"]).alias("pattern"), F.lit(g["inner"]).alias("inner")) for g in good])
+    extra = F.transform(F.filter(_tokens(text), lambda t: F.array_contains(trusted, F.struct(t["pattern"].alias("pattern"), t["inner"].alias("inner")))
+                                 & ~_overlaps(base, t["s"], t["e"])), lambda t: F.struct(t["s"].alias("s"), F.lit(4).alias("k"), t["e"].alias("e")))
+    return F.array_sort(F.concat(base, F.array_distinct(extra)))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets; ``n_chars`` follows the new text.
 
     Of overlapping spans the first names the replacement and all are covered.
+    The rows travel as one struct beside the text, so no column of theirs can
+    clash with one of this module. With few trusted patterns, the usual case, a
+    text's spans are found where it is read and no text is shuffled.
     """
-    found = _with_key(docs).join(find(docs).select(*TEXT_KEY, "spans"), TEXT_KEY, "left")
+    rows = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scratch = Scratch(docs.sparkSession, "pii-redact")
+    good = scratch.cut(find(docs, scratch, patterns_only=True), "trusted")
+    few = good.limit(INLINE_PATTERNS + 1).collect()
+    if len(few) <= INLINE_PATTERNS:
+        spans = _spans_in_place(F.col("text"), sorted(few, key=lambda g: (g["pattern"], g["inner"])))
+        found = rows.withColumn("spans", F.when(F.col("text").isNotNull(), spans)).withColumn("spans", F.when(F.size("spans") > 0, F.col("spans")))
+    else:
+        found = _with_key(rows).join(find(docs).select(*TEXT_KEY, "spans"), TEXT_KEY, "left")
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     nothing = F.expr("cast(array() as array<string>)")
@@ -273,5 +304,6 @@ def redact(docs: DataFrame) -> DataFrame:
     clean = F.aggregate("spans", start, step, lambda acc: F.concat(
         F.concat_ws("", acc["out"]), F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
     redacted = found.withColumn("text", F.when(F.col("spans").isNotNull(), clean).otherwise(F.col("text")))
-    length = F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return redacted.select(*[length.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    length = F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row").getField("n_chars")) if "n_chars" in docs.columns else None
+    values = {"text": F.col("text"), "n_chars": length}
+    return redacted.select(*[(values[c] if c in values else F.col("row").getField(c)).alias(c) for c in docs.columns])

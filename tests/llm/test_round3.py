@@ -243,3 +243,79 @@ def test_whitening_of_huge_entries(spark):
     got = whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert len(got) == 20 * 3 or len(got) == 20 * 2
     assert all(r.deviation is None for r in got if r.vec_id in (0, 19)) and max(r.identity_error for r in got) < 1e-4
+
+
+# -- 64-bit ids, clashing columns and large values in the earlier operators
+
+from tallyhouse.llm import ann, html_main, licenses, ngram_join, packing, pieces, pii, toxicity  # noqa: E402
+from tallyhouse.llm.catalog import tokenizer_path  # noqa: E402
+
+WORDS = "one two three four five six seven eight nine ten eleven twelve".split()
+
+
+def big_docs(spark):
+    rows = [(BIG, "alpha beta gamma delta epsilon zeta eta theta"), (BIG + 1, " ".join(WORDS)), (None, "nothing like it here, just words of its own kind"),
+            (BIG + 3, None), (7, "")]
+    return spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+
+
+@pytest.mark.parametrize("name", ["toxicity", "pieces", "packing", "join", "fingerprint", "pii"])
+def test_large_ids_beside_a_null(spark, name):
+    from tallyhouse.llm import fingerprint
+    docs, want = big_docs(spark), Counter([BIG, BIG + 1, None, BIG + 3, 7])
+    df = {"toxicity": lambda: toxicity.classify(docs, spark.createDataFrame([(BIG, 1), (7, 0)], "doc_id long, toxic int")),
+          "pieces": lambda: pieces.encode(docs, tokenizer_path("piece_bpe_32k.model")),
+          "packing": lambda: packing.pack(docs, tokenizer_path("byte_bpe_50k.json")),
+          "join": lambda: ngram_join.join(docs), "fingerprint": lambda: fingerprint.report(docs), "pii": lambda: pii.report(docs)}[name]()
+    got = df.collect()
+    assert Counter(r.doc_id for r in got) == want
+    if name == "join":
+        assert {r.doc_id: r.component_id for r in got if r.doc_id} == {i: i for i in want if i}
+
+
+def test_large_page_ids_and_license_ids(spark):
+    pages = spark.createDataFrame([(BIG, "u", "<html><body><article><p>Hello there</p></article></body></html>"), (None, None, None), (BIG + 1, "v", "")],
+                                  "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id for r in html_main.extract(pages).collect()} == {BIG, BIG + 1, None}
+    name, text = next(iter(licenses.TEMPLATES.items())) if isinstance(licenses.TEMPLATES, dict) else licenses.TEMPLATES[0][:2]
+    text = text if isinstance(text, str) else " ".join(text)
+    docs = spark.createDataFrame([(BIG, text), (None, text), (BIG + 1, "none")], "doc_id long, text string").coalesce(1)
+    assert Counter(r.doc_id for r in licenses.find(docs).collect()) == Counter([BIG, None])
+
+
+def test_nearest_of_huge_and_tiny_vectors(spark):
+    rng = np.random.default_rng(4)
+    for scale in (1e20, 1e-30, 1.0):
+        x = rng.normal(size=(60, 8)) * scale
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = defaultdict(list)
+        for r in ann.search(df, df.where("vec_id % 20 = 0"), k=20).orderBy("query_id", "rank").collect():
+            got[r.query_id].append(r.vec_id)
+        assert sorted(got) == [0, 20, 40]
+        for q, found in got.items():
+            exact = sorted((i for i in range(60) if i != q), key=lambda i: -float(x[i] @ x[q]))[:20]
+            assert len(found) == 20 and len(set(found) & set(exact)) >= 18
+
+
+def test_pipeline_stages_keep_clashing_columns(spark):
+    import corpus_pipeline
+    names = ["_text_1", "_text_2", "spans", "_n", "_sig", "_toxicity", "row", "_row", "label", "key"]
+    texts = [" ".join(WORDS) + f" mail me at a{i}@b.org number {i} " * (i % 3) for i in range(6)] + [None, ""]
+    docs = spark.createDataFrame([(BIG + i, t, "en", "s", len(t or ""), *[f"{n}{i}" for n in names]) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    whole = {r.doc_id: r for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == whole[r.doc_id][n] for n in [*names, "lang", "source"])
+            assert r.n_chars == len(r.text or "") or stage is not corpus_pipeline.redact_personal_data
+
+
+def test_redaction_is_the_same_with_and_without_inlined_patterns(spark, monkeypatch):
+    texts = [f"customer {i}{i}{i}-77{i} wrote, ticket 4400{i} open" for i in range(9)] + [f"ticket {i}@mail.org ticket 10.0.0.{i}" for i in range(9)] + [None, "", "ticket 55512 only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    one = {tuple(r) for r in pii.redact(docs).collect()}
+    monkeypatch.setattr(pii, "INLINE_PATTERNS", -1)
+    assert one == {tuple(r) for r in pii.redact(docs).collect()}
+    assert any("[EMAIL]" in (r[1] or "") for r in one)
