@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import ngram_join, packing, pii, toxicity
 from tallyhouse.llm.catalog import tokenizer_path
-from tallyhouse.llm.common import Scratch, table
+from tallyhouse.llm.common import Scratch, fresh, table
 
 TOXIC = 0.7
 
@@ -22,7 +22,8 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below TOXIC; empty texts and null texts stay."""
     model = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, model, "_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    score = fresh("_toxicity", docs.columns)
+    return toxicity.score(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +36,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = [F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id")]
     kept = (ngram_join.labelled(docs).where("n > 0").select("label", F.struct(*key, F.col("sig").alias("_sig")).alias("_row"))
             .groupBy("label").agg(F.min("_row").alias("_row")).select("_row.*"))
-    rows = ngram_join.classed(docs)
-    single = (rows.where("_n > 0").select(*key, "_sig", F.struct(*docs.columns).alias("_row"))
+    # a row travels as one struct, so no column of it can clash
+    rows = ngram_join.classed(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row")))
+    single = (rows.where("_n > 0").select(*key, "_sig", "_row")
               .groupBy("_none", "_id", "_sig").agg(F.min("_row").alias("_row")).join(kept, ["_none", "_id", "_sig"], "left_semi"))
-    return single.select("_row.*").select(*docs.columns).unionByName(rows.where("_n = 0").select(*docs.columns))
+    return single.select("_row.*").unionByName(rows.where("_n = 0").select("_row.*"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
