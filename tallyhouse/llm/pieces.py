@@ -33,7 +33,7 @@ from .common import over_texts
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE_CHUNKS, CACHE_PAIRS = 200_000, 500_000
+CACHE_CHUNKS, CACHE_PAIRS = 600_000, 500_000
 
 
 class Model:
