@@ -263,16 +263,23 @@ def report(docs: DataFrame) -> DataFrame:
 INLINE_PATTERNS = 256
 
 
-def _spans_in_place(text: Column, good: list) -> Column:
-    """Base spans and those of trusted patterns as array<struct<s, k, e>>, from the text alone."""
-    spans = F.concat(*[F.transform(base_spans(text, k), _numbered(i)) for i, k in enumerate(KINDS[:4])])
-    base = F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    if not good:
-        return F.array_sort(base)
-    trusted = F.array(*[F.struct(F.lit(g["pattern"]).alias("pattern"), F.lit(g["inner"]).alias("inner")) for g in good])
-    extra = F.transform(F.filter(_tokens(text), lambda t: F.array_contains(trusted, F.struct(t["pattern"].alias("pattern"), t["inner"].alias("inner")))
-                                 & ~_overlaps(base, t["s"], t["e"])), lambda t: F.struct(t["s"].alias("s"), F.lit(4).alias("k"), t["e"].alias("e")))
-    return F.array_sort(F.concat(base, F.array_distinct(extra)))
+def _spans_in_place(rows: DataFrame, good: list) -> DataFrame:
+    """``rows`` (text, ...) with ``spans``: base spans and those of trusted patterns as
+    array<struct<s, k, e>>, from the text alone. Each step ends in an ``explode`` of one
+    element, so it is computed once a row and not again wherever it is used."""
+    def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+        return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+    text = F.col("text")
+    raw = F.concat(*[F.transform(base_spans(text, k), _numbered(i)) for i, k in enumerate(KINDS[:4])])
+    rows = once(rows, "spans", F.transform(raw, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
+    if good:
+        trusted = F.array(*[F.struct(F.lit(g["pattern"]).alias("pattern"), F.lit(g["inner"]).alias("inner")) for g in good])
+        rows = once(rows, "tokens", _tokens(text))
+        extra = F.transform(F.filter("tokens", lambda t: F.array_contains(trusted, F.struct(t["pattern"].alias("pattern"), t["inner"].alias("inner")))
+                                     & ~_overlaps(F.col("spans"), t["s"], t["e"])), lambda t: F.struct(t["s"].alias("s"), F.lit(4).alias("k"), t["e"].alias("e")))
+        rows = rows.select(*[c for c in rows.columns if c not in ("spans", "tokens")], F.concat("spans", F.array_distinct(extra)).alias("spans"))
+    return once(rows, "spans", F.array_sort("spans"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -288,8 +295,8 @@ def redact(docs: DataFrame) -> DataFrame:
     good = scratch.cut(find(docs, scratch, patterns_only=True), "trusted")
     few = good.limit(INLINE_PATTERNS + 1).collect()
     if len(few) <= INLINE_PATTERNS:
-        spans = _spans_in_place(F.col("text"), sorted(few, key=lambda g: (g["pattern"], g["inner"])))
-        found = rows.withColumn("spans", F.when(F.col("text").isNotNull(), spans)).withColumn("spans", F.when(F.size("spans") > 0, F.col("spans")))
+        found = _spans_in_place(rows, sorted(few, key=lambda g: (g["pattern"], g["inner"])))
+        found = found.withColumn("spans", F.when(F.size("spans") > 0, F.col("spans")))
     else:
         found = _with_key(rows).join(find(docs).select(*TEXT_KEY, "spans"), TEXT_KEY, "left")
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
