@@ -5,7 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_root
@@ -50,6 +51,31 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+MARK_BITS = 26
+
+
+def _place(keys: Sequence[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << bits)) + 1
+
+
+def marks(df: DataFrame, keys: Sequence[str], bits: int = MARK_BITS) -> DataFrame:
+    """(bucket, bits): a bitmap of the hash places of ``keys``, of 2**bits bits at most."""
+    place = _place(keys, bits)
+    return (df.select(F.bitmap_bucket_number(place).alias("bucket"), F.bitmap_bit_position(place).alias("bit")).distinct()
+            .repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")))
+
+
+def maybe_marked(df: DataFrame, keys: Sequence[str], marked: DataFrame, bits: int = MARK_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``keys`` are in the bitmap ``marked``, and a few
+    others whose hash shares a place. It saves shuffles; it decides nothing."""
+    place = _place(keys, bits)
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col("_marks.bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    packed = marked.select(F.col("bucket").alias("_bucket"), F.struct("bits").alias("_marks"))
+    return (df.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(packed), "_bucket")
+            .where(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*df.columns))
+
+
 #: From texts to (source row of each output row, or None for one each; values of each added column).
 TextFunction = Callable[[list], tuple[Sequence[int] | None, list]]
 

@@ -11,13 +11,14 @@ work between texts is on classes, so copies cost one row each and no pair.
 2. A class posts its prefix: the first n - ceil(t n) + 1 shingles. Two sets of
    Jaccard t or more share a prefix shingle. Postings are dealt by shingle.
 3. Links are found in rounds. A round pairs each posting with the hubs of its
-   shingle and with its neighbours (see ``_neighbours``); each class verifies its
-   best pairs that pass the suffix filter, and linked classes become components. This is linear in the
-   postings and joins groups of copies without ever listing their pairs.
+   shingle and with its neighbours (see ``_neighbours``); each class offers its
+   best pairs, those that pass the suffix filter are verified, and linked classes
+   become components. This is linear in the postings and joins groups of copies
+   without ever listing their pairs.
 4. What is left are pairs of classes in different components that share a
    prefix shingle. All of them are formed; length, positional and suffix filters
-   drop those that cannot reach t, and each other pair is verified once, on the
-   whole texts.
+   drop those that cannot reach t. A pair goes by its smaller class first and is
+   verified once in all rounds, on the whole texts.
 
 The suffix filter compares counts of the two sets over ``PARTS`` hash parts:
 the overlap is at most the sum of the smaller counts.
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, marks, maybe_marked
 from .graph import components
 
 SIZE = 5
@@ -179,21 +180,20 @@ def _verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterato
 
 
 def _represent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(sig, text, parts): a text of each class, with counts of its set over PARTS parts.
-
-    Rows may repeat a doc_id with other texts, so a text must have the class it
-    is wanted for.
-    """
-    seen: set[int] = set()
+    """(doc_id, sig, text, parts): texts with their class and the counts of their set over PARTS parts."""
+    seen: set[tuple[int | None, int]] = set()
     for rows, sets in _sets(batches, size):
-        keep, parts = [], []
-        for s, wanted in zip(sets, rows.column("sig").to_pylist()):
-            keep.append(wanted not in seen and _class(s) == wanted)
+        keep, sigs, parts = [], [], []
+        for i, s in zip(rows.column("doc_id").to_pylist(), sets):
+            sig = _class(s)
+            keep.append(len(s) > 0 and (i, sig) not in seen)
             if keep[-1]:
-                seen.add(wanted)
+                seen.add((i, sig))
+                sigs.append(sig)
                 parts.append(np.bincount((s >> np.uint64(40)).astype(np.int64) % PARTS, minlength=PARTS).astype(np.int32))
         some = rows.filter(pa.array(keep, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([some.column("sig"), some.column("text"), pa.array(parts, pa.list_(pa.int32()))], names=["sig", "text", "parts"])
+        yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sigs, pa.int64()), some.column("text"), pa.array(parts, pa.list_(pa.int32()))],
+                                         names=["doc_id", "sig", "text", "parts"])
 
 
 def _length_and_position(percent: int):
@@ -270,52 +270,59 @@ def labelled(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
               .withColumn("_more", F.max("sig").over(by_token) != F.min("sig").over(by_token)).where("_more").drop("_more"))
     shared = scratch.cut(shared, "postings")
 
+    # One document of each class with shared shingles gives its text. The bitmaps keep the other
+    # texts out of Python and of every shuffle; what passes them by chance is only a further copy.
     wanted = (members.join(shared.select("sig").distinct(), "sig", "left_semi")
-              .groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n")))
-    owners = wanted.select(F.col("doc_id").alias("_id"), "sig")
-    texts = scratch.cut(docs.join(owners, docs["doc_id"].eqNullSafe(owners["_id"])).select("sig", "text")
-                        .mapInArrow(lambda b: _represent(b, size), "sig long, text string, parts array<int>"), "texts")
+              .groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
+    owners = scratch.cut(wanted, "owners")
+    texts = maybe_marked(docs, ["doc_id"], marks(owners, ["doc_id"])).mapInArrow(
+        lambda b: _represent(b, size), "doc_id long, sig long, text string, parts array<int>")
+    texts = scratch.cut(maybe_marked(texts, ["doc_id", "sig"], marks(owners, ["doc_id", "sig"])).drop("doc_id"), "texts")
+    parts = scratch.cut(texts.select("sig", "parts").dropDuplicates(["sig"]), "parts")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        a = texts.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
-        b = texts.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
-        return scratch.cut(pairs.select("a", "b").join(a, "a").join(b, "b")
-                           .mapInPandas(lambda x: _verify(x, size, percent), "a long, b long"), name)
-
-    def filtered(pairs: DataFrame) -> DataFrame:
-        """Suffix filter over distinct pairs (a, b, n_a, n_b)."""
-        a = texts.select(F.col("sig").alias("a"), F.col("parts").alias("p_a"))
-        b = texts.select(F.col("sig").alias("b"), F.col("parts").alias("p_b"))
+        """Links among distinct pairs (a, b, n), n being the sum of their set sizes, after the suffix filter."""
+        a = parts.select(F.col("sig").alias("a"), F.col("parts").alias("p_a"))
+        b = parts.select(F.col("sig").alias("b"), F.col("parts").alias("p_b"))
         most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-        return (pairs.join(a, "a").join(b, "b")
-                .where(most * (100 + percent) >= F.lit(percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b"))
-
-    links, labels, tried = None, None, None
+        pairs = scratch.cut(pairs.join(a, "a").join(b, "b").where(most * (100 + percent) >= F.lit(percent) * F.col("n")).select("a", "b"), f"{name}-pairs")
+        sides = marks(pairs.select(F.explode(F.array("a", "b")).alias("sig")), ["sig"])
+        own = maybe_marked(texts.select("sig", "text"), ["sig"], sides).dropDuplicates(["sig"])
+        a = own.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
+        b = own.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
+        links = scratch.cut(pairs.join(a, "a").join(b, "b").mapInPandas(lambda x: _verify(x, size, percent), "a long, b long"), name)
+        scratch.drop([f"{name}-pairs"])
+        return links
+
+    links, tried = None, None
     open_ = shared.withColumn("label", F.col("sig"))
     for turn in range(ROUNDS):
         near = _neighbours(open_, by_token)
-        pairs = (near.where(_length_and_position(percent)).groupBy("a", "b").agg(
-            F.count(F.lit(1)).alias("times"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b")))
+        pairs = (near.where(_length_and_position(percent))
+                 .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("b").alias("by"))
+                 .agg(F.count(F.lit(1)).alias("times"), F.first(F.col("n_a") + F.col("n_b")).alias("n")))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        ranked = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("times"), "a"))
-        best = scratch.cut(pairs.withColumn("_k", ranked).where(F.col("_k") <= TRIES).select("a", "b", "n_a", "n_b"), f"pairs{turn}")
+        ranked = F.row_number().over(Window.partitionBy("by").orderBy(F.desc("times"), "a", "b"))
+        best = scratch.cut(pairs.withColumn("_k", ranked).where(F.col("_k") <= TRIES).select("a", "b", "n").distinct(), f"pairs{turn}")
         tried = best.select("a", "b") if tried is None else tried.union(best.select("a", "b"))
-        found = verified(filtered(best), f"links{turn}")
+        found = verified(best, f"links{turn}")
         links = found if links is None else links.union(found)
         labels = components(links, scratch, f"cc{turn}")
         open_ = (shared.join(labels.withColumnRenamed("node", "sig"), "sig", "left")
                  .withColumn("label", F.coalesce("label", "sig")).repartition("token")
                  .withColumn("_more", F.max("label").over(by_token) != F.min("label").over(by_token))
                  .where("_more").drop("_more"))
-        open_ = scratch.cut(open_, f"open{turn}")
 
-    a = open_.select("token", *[F.col(c).alias(f"{x}_a") for c, x in (("sig", "sig"), ("n", "n"), ("pos", "pos"), ("label", "label"))])
+    open_ = scratch.cut(open_, "open")
+    a = open_.select("token", *[F.col(c).alias(f"{c}_a") for c in ("sig", "n", "pos", "label")])
     b = open_.select("token", *[F.col(c).alias(f"{c}_b") for c in ("sig", "n", "pos", "label")])
     cross = (a.join(b, "token").where("label_a != label_b AND sig_a < sig_b").where(_length_and_position(percent))
-             .select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "n_a", "n_b").distinct())
-    links = links.union(verified(filtered(cross), "links-rest"))
+             .select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("n")).distinct()
+             .join(tried, ["a", "b"], "left_anti"))
+    links = links.union(verified(cross, "links-rest"))
     labels = components(links, scratch, "cc-all")
+    scratch.drop(["postings", "owners", "texts", "parts", "open", "links-rest", *(f"{n}{t}" for n in ("pairs", "links") for t in range(ROUNDS))])
 
     return members.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select(
         "doc_id", "n", "sig", F.coalesce("label", "sig").alias("label"))
