@@ -1010,7 +1010,7 @@ def q_run_audit_state_stream(spark, sf_dir):
     from ..session import scratch_root
     from ..streaming import audit_stream
     root = f"{scratch_root(spark)}/audit-stream-{uuid.uuid4().hex}"
-    s = audit_stream.replay(spark, _audit_events(spark, sf_dir), root)
+    s = audit_stream.fold_files(spark, f"{sf_dir}/events.parquet", root, testdata.audit_log)
     return s.withColumn("row_counts", _map_json("row_counts"))
 
 

@@ -162,9 +162,13 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     event's JSON ``props`` as the run's row counts and a lake prefix; a failure
     carries an error text, summarised (redacted, capped) as the audit stores it.
     """
+    return audit_log(read(spark, sf_dir, "events", "user_id", "ts", "event_type", "props"))
+
+
+def audit_log(ev: DataFrame) -> DataFrame:
+    """Rows of ``events``, read as a table or as a stream, as audit events."""
     from ..operators.audit import summarise
 
-    ev = read(spark, sf_dir, "events", "user_id", "ts", "event_type", "props")
     status = F.lit(None).cast("string")
     for etype, st in reversed(list(RUN_STATUS_BY_EVENT.items())):
         status = F.when(F.col("event_type") == etype, st).otherwise(status)

@@ -58,6 +58,9 @@ def state_writer(state_root: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         previous = read_state(spark, state_root)
+        if previous is None and batch_id > 0:
+            raise RuntimeError(f"the state before batch {batch_id} is lost under {state_root}; "
+                               "start with a new checkpoint to fold all events again")
         folded = _fold(previous, batch)
         target = f"batch={batch_id}"
         folded.write.mode("overwrite").parquet(f"{state_root}/{target}")
@@ -67,13 +70,16 @@ def state_writer(state_root: str):
 
 def start(spark: SparkSession, events_dir: str, state_root: str, checkpoint: str,
           trigger_once: bool = False, max_files_per_trigger: int | None = None,
-          schema=EVENT_SCHEMA):
+          schema=EVENT_SCHEMA, project=None):
     """Start the incremental audit-state query (``availableNow`` when
-    ``trigger_once``; it still honours ``max_files_per_trigger``)."""
+    ``trigger_once``; it still honours ``max_files_per_trigger``). ``project``
+    maps files of another ``schema`` to audit events."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(events_dir)
+    if project:
+        events = project(events)
     writer = (run_updates(events).writeStream.outputMode("update")
               .option("checkpointLocation", checkpoint)
               .foreachBatch(state_writer(state_root)))
@@ -101,34 +107,25 @@ def current_runs(spark: SparkSession, state_root: str) -> DataFrame | None:
                     F.col("last.error_summary").alias("error_summary"))
 
 
-def replay(spark: SparkSession, events: DataFrame, root: str,
-           max_files_per_trigger: int = 8) -> DataFrame:
-    """Fold an audit log incrementally, as it would have arrived, and return
-    the resulting run state.
+def fold_files(spark: SparkSession, path: str, root: str, project, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run state of the event files at ``path``, streamed as they lie there.
 
-    The log is written in ``event_day`` folders, and the stream takes at most
-    ``max_files_per_trigger`` files per micro-batch, so the state is built
-    over several batches. Each batch folds into the previous state table. The
-    result must equal the batch :func:`operators.audit.run_state` of the log.
-
-    The stream runs in a sibling session (same cluster, own SQL settings)
-    with one state partition per core: a streaming aggregate keeps a state
-    store per shuffle partition and visits all of them in every batch, and the
-    caller's session settings stay untouched.
+    ``project`` maps the files' columns to audit events inside the stream. The
+    stream runs in a sibling session (same cluster, own SQL settings) with one
+    state partition per core: a streaming aggregate visits a state store per
+    shuffle partition in every batch, and the caller's settings stay untouched.
+    The result equals the batch :func:`operators.audit.run_state` of the files.
     """
-    from pyspark.sql import types as T
-    events_dir = f"{root}/events"
-    (events.withColumn("event_day", F.to_date("event_ts"))
-     .write.mode("errorifexists").partitionBy("event_day").parquet(events_dir))
-    schema = T.StructType(EVENT_SCHEMA.fields + [T.StructField("event_day", T.DateType())])
     streaming = spark.newSession()
     streaming.conf.set("spark.sql.shuffle.partitions",
                        str(max(1, spark.sparkContext.defaultParallelism)))
-    q = start(streaming, events_dir, f"{root}/state", f"{root}/checkpoint", trigger_once=True,
-              max_files_per_trigger=max_files_per_trigger, schema=schema)
+    # a plain path must be a folder for a stream; as a pattern it may be one file
+    q = start(streaming, f"{path[:-1]}[{path[-1]}]", f"{root}/state", f"{root}/checkpoint", trigger_once=True,
+              max_files_per_trigger=max_files_per_trigger,
+              schema=spark.read.parquet(path).schema, project=project)
     q.awaitTermination()
     state = current_runs(spark, f"{root}/state")
-    if state is None:  # an empty log produces no batch
+    if state is None:  # no file, no batch
         from ..operators.audit import run_state
-        return run_state(spark.read.schema(EVENT_SCHEMA).parquet(events_dir))
+        return run_state(project(spark.read.parquet(path)))
     return state
