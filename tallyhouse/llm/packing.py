@@ -26,6 +26,7 @@ longer than the capacity is cut from its end, so only its first piece is short.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -42,7 +43,7 @@ CAPACITY = 1024
 END_ID = 2
 NEARLY_FULL = 8  # free tokens a final bin may have
 FAN_IN = 16
-CACHE_PRETOKENS = 300_000
+CACHE_PRETOKENS = 200_000  # a generation; two are kept
 
 #: Letters, digits and blanks below U+0250 as the byte-level pre-tokenizer has them.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
@@ -71,39 +72,54 @@ class Ids:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        names = self.tokenizer.get_vocab()
+        self.starts = {first: np.zeros(1 + max(names.values()), dtype=bool) for first in (" ", "\n")}
+        for first, sign in ((" ", "Ġ"), ("\n", "Ċ")):  # as byte-level vocabularies write these bytes
+            self.starts[first][[i for name, i in names.items() if name.startswith(sign)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def learn(self, words: list[str], between: str) -> None:
-        """Ids of ``words``, joined by ``between``; if the tokenizer cuts them elsewhere, none is learnt."""
-        step = 2 if between else 1
+    def learn(self, words: list[str], first: str) -> None:
+        """Ids of ``words``, which hold the blank ``first`` at their start only, or
+        nowhere (a line break, put before each); if the ids show other cuts, none is learnt."""
+        starts, skip = self.starts[first], first == "\n"
         for at in range(0, len(words), 512):
             some = words[at: at + 512]
-            e = self.tokenizer.encode(between.join(some), add_special_tokens=False)
-            data = np.array(e.ids, dtype="<u4").tobytes()
-            cuts = [*np.flatnonzero(np.diff(np.array(e.word_ids), prepend=-1)).tolist(), len(e.ids)]
-            if len(cuts) == step * len(some) + (0 if between else 1):
-                self.known.update((w, data[4 * a: 4 * b]) for w, a, b in zip(some, cuts[::step], cuts[1::step]))
+            joined = first + first.join(some) if skip else "".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
+            data = ids.tobytes()
+            cuts = (4 * np.flatnonzero(starts[ids])).tolist()
+            if len(cuts) == len(some) and not cuts[0]:
+                self.known.update(zip(some, [data[a + 4 * skip: b] for a, b in zip(cuts, [*cuts[1:], len(data)])]))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PRETOKENS:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         parts = [PRETOKEN.findall(t) if _common(t) else None for t in texts]
-        new = list(set().union(*(p for p in parts if p)).difference(self.known))
+        new = set().union(*(p for p in parts if p)).difference(self.known)
+        again = new & self.old.keys()  # words still in use outlive a full memory
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        new -= again
         # A pre-token that starts with a space, or stands behind a line break, is one
         # wherever it stands: many in one call. Blanks alone go one by one.
         spaced = [w for w in new if w[0] == " " and not w.isspace()]
         bare = [w for w in new if w[0] not in BLANK]
-        self.learn(spaced, "")
+        self.learn(spaced, " ")
         self.learn(bare, "\n")
-        for word in set(new).difference(self.known):
+        for word in new.difference(self.known):
             self.known[word] = self.whole(word)
         value = self.known.__getitem__
         return [self.whole(t) if p is None else b"".join(map(value, p)) for t, p in zip(texts, parts)]
 
 
+@functools.lru_cache(maxsize=1)
+def ids_of(path: str) -> Ids:
+    """One tokenizer and memory a Python worker, for all tasks it runs."""
+    return Ids(path)
+
+
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin of each item, its place there, fill of each bin), best-fit decreasing.
 
@@ -139,7 +155,7 @@ def local_pieces(batches: Iterator, path: str) -> Iterator:
     import pyarrow as pa
 
     node = TaskContext.get().partitionId()
-    ids = Ids(path)
+    ids = ids_of(path)
     end = np.array([END_ID], dtype="<u4").tobytes()
     docs: list[pa.Array] = []
     out: list[tuple] = []
