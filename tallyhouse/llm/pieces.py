@@ -22,6 +22,7 @@ library.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 
@@ -33,7 +34,9 @@ from .common import over_texts
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHE_CHUNKS, CACHE_PAIRS = 600_000, 500_000
+CACHE_CHUNKS, CACHE_PAIRS = 300_000, 500_000  # two generations of chunks are kept
+CLOSED, FREE = -2, -1
+LONG = 48  # longer chunks are relaxed one by one
 
 
 class Model:
@@ -54,8 +57,10 @@ class Model:
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.chunks: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.number = [self.id[p] for p in self.sorted.tolist()]
+        self.numbers = np.array(self.number)
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short text by merging, best score first, leftmost of equals."""
@@ -96,57 +101,97 @@ class Model:
         order = np.lexsort((start, end))
         return start[order], end[order], np.repeat(np.arange(len(count)), count)[order]
 
+    def may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        codes, place = np.unique(before * len(self.sorted) + piece, return_inverse=True)
+        get, many = self.pairs.get, len(self.sorted)
+        fits = [get(c) for c in codes.tolist()]
+        for i, c in enumerate(codes.tolist()):
+            if fits[i] is None:
+                fits[i] = self.follows(*divmod(c, many))
+        return np.array(fits, dtype=bool)[place]
+
     def learn(self, chunks: list[str]) -> None:
         """Ids of new chunks, from one index over their concatenation."""
         text = "\0".join(chunks) + "\0"
         starts, ends, found = self.edges(text)
+        sizes = np.array([len(c) for c in chunks])
+        first = np.cumsum(sizes + 1) - sizes - 1
+        bound = np.searchsorted(ends, np.arange(len(text) + 2))
+        inside = np.zeros(len(text) + 1, dtype=bool)  # the character that ends here is a piece
+        inside[ends[starts == ends - 1]] = True
         # The last piece of the prefix that ends here: CLOSED, none (FREE: a chunk's
         # start, or behind a character outside the vocabulary), or its number.
-        CLOSED, FREE = -2, -1
-        last, begin = [CLOSED] * (len(text) + 1), [0] * (len(text) + 1)
-        at = 0
-        for c in chunks:
-            last[at] = FREE
-            at += len(c) + 1
-        many, get, known = len(self.sorted), self.pairs.get, self.id
-        s_list, p_list = starts.tolist(), found.tolist()
-        bound = np.searchsorted(ends, np.arange(len(text) + 2)).tolist()
-        for end in range(1, len(text) + 1):
-            for i in range(bound[end], bound[end + 1]):
-                before = last[s_list[i]]
-                if before == CLOSED:
-                    continue
-                piece = p_list[i]
-                if before != FREE:
-                    fits = get(before * many + piece)
-                    if not (self.follows(before, piece) if fits is None else fits):
-                        continue
-                last[end], begin[end] = piece, s_list[i]
-                break
+        last, begin = np.full(len(text) + 1, CLOSED), np.zeros(len(text) + 1, dtype=np.int64)
+        last[first] = FREE
+        short = sizes <= LONG
+        for c in np.flatnonzero(~short).tolist():
+            self.relax_one(int(first[c]), int(sizes[c]), starts, found, bound, inside, last, begin)
+        # Short chunks are relaxed side by side, a position at a time.
+        for k in range(1, int(sizes[short].max(initial=0)) + 1):
+            end = first[short & (sizes >= k)] + k
+            todo, edge, stop = end, bound[end], bound[end + 1]
+            while len(todo):
+                more = edge < stop
+                todo, edge, stop = todo[more], edge[more], stop[more]
+                start, piece = starts[edge], found[edge]
+                before = last[start]
+                fits, asked = before == FREE, np.flatnonzero(before >= 0)
+                fits[asked] = self.may_follow(before[asked], piece[asked])
+                last[todo[fits]], begin[todo[fits]] = piece[fits], start[fits]
+                todo, edge, stop = todo[~fits], edge[~fits] + 1, stop[~fits]
+            bare = end[(last[end] == CLOSED) & (last[end - 1] != CLOSED) & ~inside[end]]
+            last[bare], begin[bare] = FREE, bare - 1  # outside the vocabulary
+        self.walk(chunks, text, first, sizes, last, begin)
+
+    def relax_one(self, at: int, size: int, starts, found, bound, inside, last, begin) -> None:
+        """The relaxation of one chunk, edge by edge."""
+        edges = bound[at: at + size + 2].tolist()
+        low = edges[0]
+        s_list, p_list = (starts[low: edges[-1]] - at).tolist(), found[low: edges[-1]].tolist()
+        known = inside[at: at + size + 1].tolist()
+        ends, back = [FREE] + [CLOSED] * size, [0] * (size + 1)
+        for end in range(1, size + 1):
+            for i in range(edges[end] - low, edges[end + 1] - low):
+                before = ends[s_list[i]]
+                if before != CLOSED and (before == FREE or self.follows(before, p_list[i])):
+                    ends[end], back[end] = p_list[i], s_list[i]
+                    break
             else:
-                if last[end] == CLOSED and last[end - 1] != CLOSED and text[end - 1] not in known:
-                    last[end], begin[end] = FREE, end - 1  # outside the vocabulary
-        at = 0
-        for c in chunks:
-            out, end = [], at + len(c)
-            while end > at:
-                if last[end] == FREE:
-                    out.extend(self.bytes[b] for b in reversed(text[end - 1].encode("utf-8", "surrogatepass")))
-                else:
-                    out.append(self.number[last[end]])
-                end = begin[end]
-            self.chunks[c] = np.array(out[::-1], dtype="<u4").tobytes()
-            at += len(c) + 1
+                if ends[end - 1] != CLOSED and not known[end]:
+                    ends[end], back[end] = FREE, end - 1
+        last[at: at + size + 1], begin[at: at + size + 1] = ends, np.array(back) + at
+
+    def walk(self, chunks: list[str], text: str, first, sizes, last, begin) -> None:
+        """Read the pieces of every chunk back from its end."""
+        on = np.zeros(len(last), dtype=bool)
+        chunk, at = np.arange(len(chunks)), first + sizes
+        while len(chunk):
+            more = at > first[chunk]
+            chunk, at = chunk[more], at[more]
+            on[at] = True
+            at = begin[at]
+        on = np.flatnonzero(on)
+        pieces = last[on]
+        data = self.numbers[pieces].astype("<u4").tobytes()
+        cuts = np.searchsorted(on, np.concatenate((first, [len(last)])), "right")
+        self.chunks.update(zip(chunks, [data[a: b] for a, b in zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist())]))
+        for c in np.unique(np.searchsorted(first, on[pieces == FREE]) - 1).tolist():  # bytes stand for a character
+            out: list[int] = []
+            for end, piece in zip(on[cuts[c]: cuts[c + 1]].tolist(), pieces[cuts[c]: cuts[c + 1]].tolist()):
+                out.extend([self.number[piece]] if piece != FREE else [self.bytes[b] for b in text[end - 1].encode("utf-8", "surrogatepass")])
+            self.chunks[chunks[c]] = np.array(out, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
+            self.old, self.chunks = self.chunks, {}
         parts = [_CHUNK.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = sorted(set().union(*parts).difference(self.chunks))
+        new = set().union(*parts).difference(self.chunks)
+        again = new & self.old.keys()  # chunks still in use outlive a full memory
+        self.chunks.update(zip(again, map(self.old.__getitem__, again)))
         batch: list[str] = []
         size = 0
-        for c in new:  # the index takes a bounded length at a time
+        for c in sorted(new - again):  # the index takes a bounded length at a time
             batch.append(c)
             size += len(c) + 1
             if size > 300_000:
@@ -161,12 +206,18 @@ class Model:
         return out.decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
+@functools.lru_cache(maxsize=1)
+def model_of(path: str) -> Model:
+    """One model and memory a Python worker, for all tasks it runs."""
+    return Model(path)
+
+
 def encode(docs: DataFrame, model_path: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_ids, ids_crc32, decoded_sha256) of every document; ``ids`` as an array if asked for."""
     import hashlib
 
     def make():
-        model = Model(model_path)
+        model = model_of(model_path)
 
         def run(texts: list) -> tuple[None, list]:
             data = model.encode([t or "" for t in texts])
