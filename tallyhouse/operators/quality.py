@@ -1,11 +1,11 @@
 """Quality gate: the checks a build must pass before it is published.
 
 ``quality_report`` returns one row per check (check, passed, affected,
-detail) as a single lazy plan — each check is a one-row aggregate and the
-rows are stacked with ``unionByName``. Checks that only need the fact are
-folded into one scan. Spark enforces no keys, so besides the fourteen checks
-of the specification the gate also checks every primary / unique key of the
-star tables.
+detail) as a single lazy plan that reads the fact twice and every other table
+once: one aggregate of its measures, and one ledger of all keys (see
+``functions.ledger``) that answers every reference, uniqueness and count check.
+Spark enforces no keys, so besides the fourteen checks of the specification
+the gate also checks every primary / unique key of the star tables.
 
 ``assert_quality`` evaluates the report (a few dozen rows) and raises with
 every failure, after all checks ran.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXCLUDED_ORDER_STATUSES
 from ..functions.joins import one_row
+from ..functions.ledger import dangling, entries, ledger, repeated, total
 
 
 class QualityError(RuntimeError):
@@ -26,38 +27,19 @@ class QualityError(RuntimeError):
         super().__init__("quality gate failed: " + "; ".join(f"{n}: {d}" for n, d in failures))
 
 
-def _row(name: str, affected: Column, detail: Column, passed: Column | None = None) -> list[Column]:
+def _row(name: str, affected: Column, detail: Column) -> list[Column]:
     affected = F.coalesce(affected, F.lit(0)).cast("long")
-    passed = (affected == 0) if passed is None else passed
+    passed = affected == 0
     return [F.lit(name).alias("check"), passed.alias("passed"), affected.alias("affected"),
             F.when(passed, F.lit("ok")).otherwise(detail).alias("detail")]
 
 
-def _count_check(df: DataFrame, name: str, message: str) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n")).select(*_row(name, F.col("n"), F.lit(message)))
-
-
-def _missing_check(f: DataFrame, key: str, dim: DataFrame, name: str, message: str) -> DataFrame:
-    """Fact rows whose key is in no dimension row. Facts are counted per key
-    first (map-side), so a hot key meets the dimension as one row."""
-    per_key = f.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return (per_key.join(dim.select(key), key, "left_anti").agg(F.sum("n").alias("n"))
-            .select(*_row(name, F.col("n"), F.lit(message))))
-
-
-def _dup_check(df: DataFrame, col: str, name: str, message: str) -> DataFrame:
-    """Number of key values that occur more than once."""
-    dups = df.groupBy(col).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
-    return _count_check(dups, name, message)
-
-
 def quality_report(dim_customer: DataFrame, dim_product: DataFrame, dim_date: DataFrame,
                    fact_sales: DataFrame, orders: DataFrame, order_items: DataFrame) -> DataFrame:
     f = fact_sales
     sold = orders.where(~F.col("status").isin(*EXCLUDED_ORDER_STATUSES))
 
-    fact_scan = f.agg(
-        F.count(F.lit(1)).alias("facts"),
+    measures = f.agg(
         F.count_if(F.col("sale_key").isNull() | F.col("order_id").isNull()
                    | F.col("order_item_id").isNull() | F.col("customer_key").isNull()
                    | F.col("product_key").isNull() | F.col("date_key").isNull()
@@ -69,72 +51,62 @@ def quality_report(dim_customer: DataFrame, dim_product: DataFrame, dim_date: Da
         F.count_if((F.col("unit_price") < 0) | (F.col("revenue") < 0)).alias("bad_price"),
     )
     # Lines reduced per order first (map-side partial count), then joined to
-    # the sold orders once; both source-side checks read that join.
+    # the sold orders once; the ledger counts them by their day.
     sold_lines = (order_items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"))
                   .join(sold.select(F.col("id").alias("order_id"), "order_date"), "order_id"))
-    expected = sold_lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("expected"))
-    span = dim_date.agg(F.count(F.lit(1)).alias("rows"),
-                        (F.datediff(F.max("full_date"), F.min("full_date")) + 1).alias("days"))
-    sold_days = sold_lines.select(F.col("order_date").alias("full_date")).distinct()
-
-    # The six checks that only need the fact (and the source count) come from
-    # one scan: one row, exploded into six check rows.
-    def _struct(name: str, affected: Column, detail: Column) -> Column:
-        return F.struct(*_row(name, affected, detail))
-
-    fact_rows = fact_scan.withColumn("expected", one_row(expected)["expected"]).select(
-        F.explode(F.array(
-            _struct("fact_sales_not_empty", F.when(F.col("facts") == 0, 1).otherwise(0),
-                    F.lit("the fact table is empty")),
-            _struct("no_null_keys", F.col("null_keys"),
-                    F.lit("a key or measure of a fact is null")),
-            _struct("revenue_matches_quantity_times_price", F.col("bad_revenue"),
-                    F.lit("revenue differs from units times price")),
-            _struct("positive_quantity", F.col("bad_qty"),
-                    F.lit("a fact sells no units")),
-            _struct("non_negative_price", F.col("bad_price"),
-                    F.lit("a fact has a price or revenue below zero")),
-            _struct("fact_count_matches_source", F.abs(F.col("facts") - F.col("expected")),
-                    F.format_string("%d facts stand against %d sold source lines",
-                                    F.col("facts"), F.col("expected"))),
-        )).alias("c")).select("c.*")
-
-    checks = [
-        fact_rows,
-        _missing_check(f, "customer_key", dim_customer, "fact_joins_customer",
-                       "some facts have no customer row"),
-        _missing_check(f, "product_key", dim_product, "fact_joins_product",
-                       "some facts have no product row"),
-        _missing_check(f, "date_key", dim_date, "fact_joins_date",
-                       "some facts have no date row"),
-        _dup_check(dim_customer, "customer_id", "unique_customer_id",
-                   "a customer id has several rows"),
-        _dup_check(dim_product, "sku", "unique_product_sku", "a sku has several rows"),
-        _dup_check(f, "order_item_id", "unique_order_item",
-                   "an order line is in the facts more than once"),
-        span.select(*_row(
-            "date_dimension_gap_free",
-            F.when(F.col("rows") == 0, 0).otherwise(F.abs(F.col("rows") - F.col("days"))),
-            F.format_string("%d date rows cover a span of %d days",
-                            F.col("rows"), F.coalesce(F.col("days"), F.lit(0))))),
-        _count_check(sold_days.join(dim_date.select("full_date"), "full_date",
-                                    "left_anti"),
-                     "all_sold_days_present", "a sold day has no date row"),
+    one, used, held = F.lit(1), F.col("used"), F.col("held")
+    named = lambda *names: {k: F.col(k) for k in names}
+    keys = ledger(
+        entries(f, held=named("order_item_id", "sale_key"), used=named("customer_key", "product_key", "date_key")),
+        entries(sold_lines, used={"full_date": F.col("order_date")}, n=F.col("n")),
+        entries(dim_customer, held=named("customer_key", "customer_id")),
+        entries(dim_product, held=named("product_key", "sku", "product_id")),
+        entries(dim_date, held=named("date_key", "full_date")))
+    day = F.when((F.col("kind") == "full_date") & (held > 0), F.col("key")).cast("date")
+    unique = ("customer_id", "sku", "order_item_id", "customer_key", "product_key", "product_id",
+              "date_key", "full_date", "sale_key")
+    totals = keys.agg(
+        total(held, "sale_key").alias("facts"),
+        total(used, "full_date").alias("expected"),
+        *[total(used, k, dangling()).alias(f"missing_{k}") for k in ("customer_key", "product_key", "date_key")],
+        total(one, "full_date", (used > 0) & dangling()).alias("absent_days"),
+        total(held, "full_date").alias("rows"),
+        (F.datediff(F.max(day), F.min(day)) + 1).alias("days"),
+        *[repeated(k).alias(f"repeated_{k}") for k in unique])
+
+    def check(name: str, affected: Column | str, detail: Column | str) -> Column:
+        return F.struct(*_row(name, F.col(affected) if isinstance(affected, str) else affected,
+                              F.lit(detail) if isinstance(detail, str) else detail))
+
+    scanned = one_row(measures)
+    one_line = totals.select("*", *[scanned[c].alias(c) for c in measures.columns])
+    return one_line.select(F.inline(F.array(
+        check("fact_sales_not_empty", F.when(F.col("facts") == 0, 1).otherwise(0), "the fact table is empty"),
+        check("no_null_keys", "null_keys", "a key or measure of a fact is null"),
+        check("revenue_matches_quantity_times_price", "bad_revenue", "revenue differs from units times price"),
+        check("positive_quantity", "bad_qty", "a fact sells no units"),
+        check("non_negative_price", "bad_price", "a fact has a price or revenue below zero"),
+        check("fact_count_matches_source", F.abs(F.col("facts") - F.col("expected")),
+              F.format_string("%d facts stand against %d sold source lines", F.col("facts"), F.col("expected"))),
+        check("fact_joins_customer", "missing_customer_key", "some facts have no customer row"),
+        check("fact_joins_product", "missing_product_key", "some facts have no product row"),
+        check("fact_joins_date", "missing_date_key", "some facts have no date row"),
+        check("unique_customer_id", "repeated_customer_id", "a customer id has several rows"),
+        check("unique_product_sku", "repeated_sku", "a sku has several rows"),
+        check("unique_order_item", "repeated_order_item_id", "an order line is in the facts more than once"),
+        check("date_dimension_gap_free",
+              F.when(F.col("rows") == 0, 0).otherwise(F.abs(F.col("rows") - F.col("days"))),
+              F.format_string("%d date rows cover a span of %d days",
+                              F.col("rows"), F.coalesce(F.col("days"), F.lit(0)))),
+        check("all_sold_days_present", "absent_days", "a sold day has no date row"),
         # Keys Spark does not enforce.
-        _dup_check(dim_customer, "customer_key", "unique_customer_key",
-                   "dim_customer repeats a customer_key"),
-        _dup_check(dim_product, "product_key", "unique_product_key",
-                   "dim_product repeats a product_key"),
-        _dup_check(dim_product, "product_id", "unique_product_id",
-                   "dim_product repeats a product_id"),
-        _dup_check(dim_date, "date_key", "unique_date_key", "dim_date repeats a date_key"),
-        _dup_check(dim_date, "full_date", "unique_full_date", "dim_date repeats a full_date"),
-        _dup_check(f, "sale_key", "unique_sale_key", "fact_sales repeats a sale_key"),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out
+        check("unique_customer_key", "repeated_customer_key", "dim_customer repeats a customer_key"),
+        check("unique_product_key", "repeated_product_key", "dim_product repeats a product_key"),
+        check("unique_product_id", "repeated_product_id", "dim_product repeats a product_id"),
+        check("unique_date_key", "repeated_date_key", "dim_date repeats a date_key"),
+        check("unique_full_date", "repeated_full_date", "dim_date repeats a full_date"),
+        check("unique_sale_key", "repeated_sale_key", "fact_sales repeats a sale_key"),
+    )))
 
 
 def failures(report: DataFrame) -> list[tuple[str, str]]:

@@ -6,10 +6,10 @@ are applied — a money-scale or date-shape rule run after the cast could never
 fail. Every rule is reported with its ``affected`` count, zero included; a
 dataset is ok when all counts are zero.
 
-Plan shape: the simple per-row rules of a table fold into one aggregate scan
-of that table; uniqueness rules are ``groupBy(key)`` with map-side partial
-counts (a hot key collapses before the shuffle); key existence rules are
-anti / semi joins.
+Plan shape: the simple per-row rules of a table fold into one aggregate of that
+table, and all uniqueness and reference rules into one ledger of its keys (see
+``functions.ledger``), so no rule reads a table again and a hot key collapses
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -19,27 +19,12 @@ from pyspark.sql import functions as F
 
 from ..config import DATE_PATTERN, EMAIL_PATTERN, ORDER_STATUSES, UUID_V4_PATTERN
 from ..functions.joins import one_row
+from ..functions.ledger import dangling, entries, ledger, surplus, total
 from ..functions.money import round_div_cents
 
 MONEY_MAX = 9_999_999_999.99
 
 
-def _rule(df: DataFrame, name: str, affected: Column, detail: str) -> DataFrame:
-    return df.select(F.lit(name).alias("rule"),
-                     F.coalesce(affected, F.lit(0)).cast("long").alias("affected"),
-                     F.lit(detail).alias("detail"))
-
-
-def _count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count(F.lit(1)).alias("n"))
-
-
-def _dups(col: Column, df: DataFrame) -> DataFrame:
-    """Rows beyond the first per key value: count − count(distinct key)."""
-    return (df.groupBy(col.alias("k")).agg(F.count(F.lit(1)).alias("c"))
-            .agg(F.sum(F.col("c") - 1).alias("n")))
-
-
 def valid_money(v: Column) -> Column:
     """Non-negative, inside numeric(12,2), at most two decimal places.
 
@@ -74,80 +59,70 @@ def validation_report(ds: dict[str, DataFrame], requested,
                 F.count_if(~valid_money(F.col("unit_price_at_sale"))).alias("bad_money"),
                 F.count_if(F.col("quantity").isNull() | (F.col("quantity") < 1)).alias("bad_qty"))
 
-    def requested_rule(stats: DataFrame, name: str, what: str) -> DataFrame:
+    used, held = F.col("used"), F.col("held")
+    keys = ledger(
+        entries(c, held={"customer_id": F.col("id"), "email": F.lower(F.col("email"))}),
+        entries(p, held={"product_id": F.col("id"), "sku": F.col("sku")}, marked=F.when(~F.col("active"), 1).otherwise(0),
+                unknown=F.when(F.col("active").isNull(), 1).otherwise(0)),
+        entries(o, held={"order_id": F.col("id")}, used={"customer_id": F.col("customer_id")}),
+        entries(i, held={"line_id": F.col("id"), "pair": (F.col("order_id"), F.col("product_id"))},
+                used={"order_id": F.col("order_id"), "product_id": F.col("product_id")}))
+    known = F.col("key").isNotNull()
+    totals = keys.agg(
+        *[surplus(k).alias(f"surplus_{k}") for k in ("customer_id", "product_id", "order_id", "line_id", "email", "sku", "pair")],
+        total(used, "customer_id", dangling()).alias("no_customer"),
+        total(used, "order_id", dangling()).alias("no_order"),
+        total(held, "order_id", ~known | (used == 0)).alias("no_line"),
+        # a product row whose active flag is null counts as absent
+        total(F.when(dangling(), used).otherwise(used * F.col("unknown")), "product_id").alias("no_product"),
+        total(used * F.col("marked"), "product_id", known).alias("inactive"))
+    # One row holds every count: the tables' measures beside the ledger's totals.
+    line = totals
+    for prefix, frame in (("c", cs), ("p", ps), ("o", os_), ("i", its)):
+        got = one_row(frame)
+        line = line.select("*", *[F.coalesce(got[x], F.lit(0)).alias(f"{prefix}_{x}") for x in frame.columns])
+
+    def rule(name: str, affected: Column | str, detail: str) -> Column:
+        affected = F.col(affected) if isinstance(affected, str) else affected
+        return F.struct(F.lit(name).alias("rule"), F.coalesce(affected, F.lit(0)).cast("long").alias("affected"),
+                        F.lit(detail).alias("detail"))
+
+    def requested_rule(n: str, name: str, what: str) -> Column:
         """``requested`` maps table → int, or is a one-row frame of counts."""
         if isinstance(requested, DataFrame):
             want = one_row(requested)[what]
         else:
             want = requested.get(what)
             want = None if want is None else F.lit(want)
-        affected = F.lit(0) if want is None else F.when(F.col("n") != want, 1).otherwise(0)
-        return _rule(stats, name, affected, f"generated {what} count differs from the request")
-
-    ids = (cs.select(F.col("bad_id").alias("a")).unionByName(ps.select(F.col("bad_id").alias("a")))
-           .unionByName(os_.select(F.col("bad_id").alias("a")))
-           .unionByName(its.select(F.col("bad_id").alias("a"))).agg(F.sum("a").alias("n")))
-    money_bad = ps.select(F.col("bad_money").alias("a")).unionByName(
-        its.select(F.col("bad_money").alias("a"))).agg(F.sum("a").alias("n"))
-    # Lines are the largest table: reduce them once to (order, product) pairs
-    # with a map-side partial count, and answer every per-order and per-product
-    # rule from those pairs (one more aggregation each) instead of joining the
-    # raw lines again and again.
-    pairs = i.groupBy("order_id", "product_id").agg(F.count(F.lit(1)).alias("c"))
-    per_order = pairs.groupBy("order_id").agg(F.sum("c").alias("lines"))
-    per_product = pairs.groupBy("product_id").agg(F.sum("c").alias("lines"))
-    order_match = (per_order.join(o.select(F.col("id").alias("order_id"),
-                                           F.lit(True).alias("_o")), "order_id", "full_outer")
-                   .agg(F.sum(F.when(F.col("_o").isNull(), F.col("lines"))).alias("orphan_lines"),
-                        F.count_if(F.col("lines").isNull()).alias("empty_orders")))
-    product_match = (per_product.join(p.select(F.col("id").alias("product_id"), "active"),
-                                      "product_id", "left")
-                     .agg(F.sum(F.when(F.col("active").isNull(), F.col("lines"))).alias("missing"),
-                          F.sum(F.when(~F.col("active"), F.col("lines"))).alias("inactive")))
-
-    rules = [
-        requested_rule(cs, "requested_customer_count", "customers"),
-        requested_rule(ps, "requested_product_count", "products"),
-        requested_rule(os_, "requested_order_count", "orders"),
-        _rule(_dups(F.col("id"), c), "unique_customer_id", F.col("n"),
-              "customer id occurs more than once"),
-        _rule(_dups(F.col("id"), p), "unique_product_id", F.col("n"),
-              "product id occurs more than once"),
-        _rule(_dups(F.col("id"), o), "unique_order_id", F.col("n"),
-              "order id occurs more than once"),
-        _rule(_dups(F.col("id"), i), "unique_order_item_id", F.col("n"),
-              "line id occurs more than once"),
-        _rule(ids, "uuid_v4_shape", F.col("n"), "id has not the form of a version 4 UUID"),
-        _rule(_dups(F.lower(F.col("email")), c), "unique_customer_email", F.col("n"),
-              "e-mail occurs more than once, ignoring case"),
-        _rule(_dups(F.col("sku"), p), "unique_product_sku", F.col("n"), "sku occurs more than once"),
-        _rule(_count(o.join(c.select(F.col("id").alias("customer_id")), "customer_id",
-                            "left_anti")), "order_customer_exists", F.col("n"),
-              "the order's customer is absent"),
-        _rule(order_match, "order_item_order_exists", F.col("orphan_lines"),
-              "the line's order is absent"),
-        _rule(product_match, "order_item_product_exists", F.col("missing"),
-              "the line's product is absent"),
-        _rule(cs, "customer_email_shape", F.col("bad_email"), "e-mail has no valid shape"),
-        _rule(cs, "blank_text", F.col("blank") + one_row(ps)["blank"],
-              "a text that must be filled is blank"),
-        _rule(money_bad, "money_scale", F.col("n"), "price is not a two-decimal amount"),
-        _rule(its, "quantity_positive", F.col("bad_qty"), "quantity is not a positive integer"),
-        _rule(os_, "order_status_known", F.col("bad_status"), "status is not a known status"),
-        _rule(os_, "order_date_shape", F.col("bad_date"), "order_date is not YYYY-MM-DD"),
-        _rule(pairs.agg(F.sum(F.col("c") - 1).alias("n")), "one_line_per_product", F.col("n"),
-              "order repeats a product"),
-        _rule(order_match, "order_has_items", F.col("empty_orders"),
-              "the order has no line"),
-        _rule(product_match, "active_products_only", F.col("inactive"),
-              "the line's product is inactive"),
-        _rule(os_, "order_date_within_window", F.col("late"),
-              f"the order is later than {end_date}"),
-    ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+        affected = F.lit(0) if want is None else F.when(F.col(n) != want, 1).otherwise(0)
+        return rule(name, affected, f"generated {what} count differs from the request")
+
+    return line.select(F.inline(F.array(
+        requested_rule("c_n", "requested_customer_count", "customers"),
+        requested_rule("p_n", "requested_product_count", "products"),
+        requested_rule("o_n", "requested_order_count", "orders"),
+        rule("unique_customer_id", "surplus_customer_id", "customer id occurs more than once"),
+        rule("unique_product_id", "surplus_product_id", "product id occurs more than once"),
+        rule("unique_order_id", "surplus_order_id", "order id occurs more than once"),
+        rule("unique_order_item_id", "surplus_line_id", "line id occurs more than once"),
+        rule("uuid_v4_shape", F.col("c_bad_id") + F.col("p_bad_id") + F.col("o_bad_id") + F.col("i_bad_id"),
+             "id has not the form of a version 4 UUID"),
+        rule("unique_customer_email", "surplus_email", "e-mail occurs more than once, ignoring case"),
+        rule("unique_product_sku", "surplus_sku", "sku occurs more than once"),
+        rule("order_customer_exists", "no_customer", "the order's customer is absent"),
+        rule("order_item_order_exists", "no_order", "the line's order is absent"),
+        rule("order_item_product_exists", "no_product", "the line's product is absent"),
+        rule("customer_email_shape", "c_bad_email", "e-mail has no valid shape"),
+        rule("blank_text", F.col("c_blank") + F.col("p_blank"), "a text that must be filled is blank"),
+        rule("money_scale", F.col("p_bad_money") + F.col("i_bad_money"), "price is not a two-decimal amount"),
+        rule("quantity_positive", "i_bad_qty", "quantity is not a positive integer"),
+        rule("order_status_known", "o_bad_status", "status is not a known status"),
+        rule("order_date_shape", "o_bad_date", "order_date is not YYYY-MM-DD"),
+        rule("one_line_per_product", "surplus_pair", "order repeats a product"),
+        rule("order_has_items", "no_line", "the order has no line"),
+        rule("active_products_only", "inactive", "the line's product is inactive"),
+        rule("order_date_within_window", "o_late", f"the order is later than {end_date}"),
+    )))
 
 
 def dataset_statistics(ds: dict[str, DataFrame], end_date: str) -> DataFrame:
