@@ -40,7 +40,7 @@ def ranked_key(df: DataFrame, order_cols: list[str], key_name: str,
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.col("_part").cast("long") * F.lit(1 << 33)))
-    ranked.write.mode("errorifexists").parquet(path)
+    ranked.write.mode("errorifexists").option("compression", "zstd").parquet(path)
     ranked = spark.read.parquet(path)
     offsets = (ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_offset", F.coalesce(

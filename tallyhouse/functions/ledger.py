@@ -21,9 +21,10 @@ Key = Column | tuple[Column, Column]
 
 
 def entries(df: DataFrame, held: dict[str, Key] | None = None, used: dict[str, Key] | None = None,
-            n: Column | None = None, **marks: Column) -> DataFrame:
+            n: Column | None = None, unless: Column | None = None, **marks: Column) -> DataFrame:
     """One row for each key of each row of ``df``: it counts as ``held`` or as
-    ``used``, ``n`` times (once); ``marks`` are further counts, zero where not given."""
+    ``used``, ``n`` times (once); ``marks`` are further counts, zero where not given.
+    Where ``unless`` holds, only the held keys give rows."""
     n = F.lit(1) if n is None else n
 
     def row(kind: str, key: Key, side: str) -> Column:
@@ -32,13 +33,20 @@ def entries(df: DataFrame, held: dict[str, Key] | None = None, used: dict[str, K
         return F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"), second.cast("string").alias("second"),
                         *[counts.get(c, F.lit(0)).cast("long").alias(c) for c in COUNTS])
 
-    rows = [row(kind, key, side) for side, keys in (("held", held), ("used", used)) for kind, key in (keys or {}).items()]
-    return df.select(F.inline(F.array(*rows)))
+    own, refs = [[row(kind, key, side) for kind, key in (keys or {}).items()] for side, keys in (("held", held), ("used", used))]
+    rows = F.array(*own, *refs)
+    return df.select(F.inline(rows if unless is None else F.when(unless, F.array(*own)).otherwise(rows)))
 
 
-def ledger(*frames: DataFrame) -> DataFrame:
-    return (reduce(DataFrame.unionByName, frames).groupBy("kind", "key", "second")
-            .agg(*[F.sum(c).alias(c) for c in COUNTS]))
+def ledger(*frames: DataFrame, dealt: bool = False, tasks: int | None = None) -> DataFrame:
+    """The counts of every key. ``dealt``: keys go to their task (of ``tasks``) before
+    any are added up, for frames whose keys hardly repeat: a map task would hold a
+    row for each of them, and spill, without making the shuffle smaller."""
+    rows = reduce(DataFrame.unionByName, frames)
+    if dealt:
+        key = ("kind", "key", "second")
+        rows = rows.repartition(tasks, *key) if tasks else rows.repartition(*key)
+    return rows.groupBy("kind", "key", "second").agg(*[F.sum(c).alias(c) for c in COUNTS])
 
 
 def total(value: Column, kind: str, where: Column | None = None) -> Column:

@@ -74,12 +74,14 @@ def build_fact_sales(orders: DataFrame, order_items: DataFrame, dim_customer: Da
                .select("order_id", "customer_key", "date_key"))
     lines = order_items.select(F.col("id").alias("order_item_id"), "order_id", "product_id",
                                "quantity", F.col("unit_price_at_sale").alias("unit_price"))
-    fact = (lines.join(headers, "order_id")
+    sold = (lines.join(headers, "order_id")
             .join(dim_product.select("product_id", "product_key"), "product_id")
             .select("order_id", "order_item_id", "customer_key", "product_key", "date_key",
-                    "quantity", "unit_price",
-                    (F.col("quantity") * F.col("unit_price")).cast("decimal(14,2)").alias("revenue")))
-    return conform(ranked_key(fact, ["order_item_id"], "sale_key"), STAR["fact_sales"])
+                    "quantity", "unit_price"))
+    # the revenue follows from the ranked row: it is neither shuffled nor written with it
+    fact = ranked_key(sold, ["order_item_id"], "sale_key").withColumn(
+        "revenue", (F.col("quantity") * F.col("unit_price")).cast("decimal(14,2)"))
+    return conform(fact, STAR["fact_sales"])
 
 
 def build_star(raw: dict[str, DataFrame]) -> Star:

@@ -77,9 +77,9 @@ def write_star(star: Star, version_dir: str) -> dict[str, int]:
     counts = {name: _write_observed(getattr(star, name), name, table_path(version_dir, name))
               for name in ("dim_customer", "dim_product", "dim_date")}
     fact = (star.fact_sales
-            .withColumn("sale_month", (F.col("date_key") / 100).cast("int"))
             .repartitionByRange("date_key", "order_item_id")
-            .sortWithinPartitions("date_key", "order_item_id"))
+            .withColumn("sale_month", (F.col("date_key") / 100).cast("int"))
+            .sortWithinPartitions("sale_month", "date_key", "order_item_id"))
     counts["fact_sales"] = _write_observed(fact, "fact_sales", table_path(version_dir, "fact_sales"), by="sale_month")
     return counts
 
@@ -118,7 +118,8 @@ def build_and_publish(spark: SparkSession, raw: dict[str, DataFrame], root: str,
     wh = open_version(spark, version_dir)
 
     report = quality.quality_report(wh.dim_customer, wh.dim_product, wh.dim_date,
-                                    wh.fact_sales, staged["orders"], staged["order_items"])
+                                    wh.fact_sales, staged["orders"], staged["order_items"],
+                                    rows=counts["fact_sales"])
     failures = quality.failures(report)
     if failures:
         delete_tree(spark, version_dir)  # a rejected build is no version
