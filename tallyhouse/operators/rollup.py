@@ -31,18 +31,20 @@ DIMS = ("all", "category", "city")
 
 
 def _daily(wh: Warehouse) -> DataFrame:
-    """One row per dimension value, day and customer: revenue, orders, units."""
-    sums = [F.sum("revenue").alias("revenue"), F.count_distinct("order_id").alias("orders"), F.sum("quantity").alias("units")]
+    """One row per dimension value, day and order with its customer: revenue, units.
+    An order has one customer and one date, so orders are counted as rows, and
+    one aggregation does."""
+    sums = [F.sum("revenue").alias("revenue"), F.sum("quantity").alias("units")]
     f = wh.fact_sales
-    per_customer = f.groupBy("date_key", "customer_key").agg(*sums)
+    per_order = f.groupBy("date_key", "customer_key", "order_id").agg(*sums)
     towns = wh.dim_customer.select("customer_key", "city", "state")
     dims = F.array(F.struct(F.lit("all").alias("dim"), F.lit("").alias("value"), F.lit("").alias("value2")),
                    F.struct(F.lit("city").alias("dim"), F.col("city").alias("value"), F.col("state").alias("value2")))
-    by_town = (per_customer.join(towns, "customer_key").withColumn("d", F.explode(dims))
-               .select("d.dim", "d.value", "d.value2", "date_key", "customer_key", "revenue", "orders", "units"))
+    by_town = (per_order.join(towns, "customer_key").withColumn("d", F.explode(dims))
+               .select("d.dim", "d.value", "d.value2", "date_key", "customer_key", "revenue", "units"))
     kinds = wh.dim_product.select("product_key", F.col("category").alias("value"))
-    by_kind = (f.join(kinds, "product_key").groupBy("value", "date_key", "customer_key").agg(*sums)
-               .select(F.lit("category").alias("dim"), "value", F.lit("").alias("value2"), "date_key", "customer_key", "revenue", "orders", "units"))
+    by_kind = (f.join(kinds, "product_key").groupBy("value", "date_key", "customer_key", "order_id").agg(*sums)
+               .select(F.lit("category").alias("dim"), "value", F.lit("").alias("value2"), "date_key", "customer_key", "revenue", "units"))
     return by_town.unionByName(by_kind)
 
 
@@ -51,7 +53,7 @@ def _containers(daily: DataFrame) -> DataFrame:
     keys = ["dim", "value", "value2", "date_key", "bucket"]
     places = daily.select("dim", "value", "value2", "date_key", F.bitmap_bucket_number("customer_key").alias("bucket"),
                           F.bitmap_bit_position("customer_key").alias("bit"))
-    built = places.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_list("bit")).alias("few"), F.bitmap_construct_agg("bit").alias("bits"))
+    built = places.repartition(*keys).groupBy(*keys).agg(F.sort_array(F.collect_set("bit")).alias("few"), F.bitmap_construct_agg("bit").alias("bits"))
     small = F.size("few") <= FEW
     return built.select(*keys, F.when(small, F.col("few")).alias("few"), F.when(~small, F.col("bits")).alias("bits"))
 
@@ -65,9 +67,9 @@ def build(wh: Warehouse) -> str:
     name = f"rollup-{uuid.uuid4().hex}"
     folder = f"{wh.path.rstrip('/')}/{name}"
     daily = _daily(wh)
-    daily.write.parquet(f"{folder}/daily")
+    daily.write.option("compression", "zstd").parquet(f"{folder}/daily")
     daily = wh.spark.read.schema(daily.schema).parquet(f"{folder}/daily")
-    (daily.groupBy("dim", "value", "value2", "date_key").agg(F.sum("revenue").cast("decimal(24,2)").alias("revenue"), F.sum("orders").alias("orders"), F.sum("units").alias("units"))
+    (daily.groupBy("dim", "value", "value2", "date_key").agg(F.sum("revenue").cast("decimal(24,2)").alias("revenue"), F.count(F.lit(1)).alias("orders"), F.sum("units").alias("units"))
      .repartitionByRange("dim", "date_key").sortWithinPartitions("dim", "date_key").write.partitionBy("dim").parquet(f"{folder}/totals"))
     (_containers(daily).repartitionByRange("dim", "date_key", "value").sortWithinPartitions("dim", "date_key")
      .write.partitionBy("dim").parquet(f"{folder}/customers"))

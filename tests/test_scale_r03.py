@@ -46,3 +46,10 @@ def test_ranked_rows_are_slim(spark, f1, monkeypatch):
     star = build_star(f1)
     assert "revenue" not in seen[-1]
     assert all(f.endswith(".zstd.parquet") for f in star.fact_sales.inputFiles() if "/ranked/" in f)
+
+
+def test_rollup_counts_orders_in_one_aggregation(spark, star):
+    s, _ = star
+    wh = rollup.Warehouse(spark, "", "", s.dim_customer, s.dim_product, s.dim_date, s.fact_sales, None)
+    plan = rollup._daily(wh)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 2 and "distinct" not in plan
