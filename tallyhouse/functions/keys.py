@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_root
 
+#: A group of more rows is not numbered in one task.
+HOT_GROUP = 10_000
+
 
 def ranked_key(df: DataFrame, order_cols: list[str], key_name: str,
                num_partitions: int | None = None) -> DataFrame:
@@ -52,13 +55,14 @@ def ranked_key(df: DataFrame, order_cols: list[str], key_name: str,
                         *[F.col(c) for c in df.columns])
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared scratch folder and read it
-    back: a lineage cut whose later counts and broadcasts read footers instead
-    of recomputing the plan."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared scratch folder (in folders
+    of column ``by``, if given) and read it back: a lineage cut whose later
+    counts and broadcasts read footers instead of recomputing the plan."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/materialized/{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    writer = df.write.mode("errorifexists")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -66,15 +70,24 @@ def position_within(df: DataFrame, group_col: str, order_col: str, name: str) ->
     """Add ``name`` = 0-based position of each row inside its ``group_col``
     group, ordered by ``order_col`` (unique within the group).
 
-    ``row_number() over (partition by group order by …)`` puts a whole group
-    into one task. Instead, each row takes its global rank over
-    (group, order) from :func:`ranked_key`, which range-partitions, so a hot
-    group spans many tasks. The group's first rank comes from a
-    ``groupBy(group).min`` (partial aggregation map-side), and the position is
-    the difference.
+    Groups of at most ``HOT_GROUP`` rows are numbered by a window: one shuffle,
+    no written copy. A window would put a larger group whole into one task, so
+    its rows take their global rank over (group, order) from
+    :func:`ranked_key`, which range-partitions, and the position is the
+    difference to the group's first rank. Rows without a group are left out.
     """
-    ranked = ranked_key(df, [group_col, order_col], "_rank")
+    large = F.col("_n") > HOT_GROUP
+    hot = materialize(df.where(F.col(group_col).isNotNull()).groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
+                      .where(large).select(group_col), "hot-groups")
+    columns = [F.col(c) for c in df.columns]
+    ordered = Window.partitionBy(group_col).orderBy(order_col)
+    place = (F.row_number().over(ordered) - 1).cast("int").alias(name)
+    if hot.isEmpty():
+        return df.where(F.col(group_col).isNotNull()).select(*columns, place)
+    # one row per HOT_GROUP rows of the table at most: a proven broadcast bound
+    hot = F.broadcast(hot)
+    small = df.where(F.col(group_col).isNotNull()).join(hot, group_col, "left_anti").select(*columns, place)
+    ranked = ranked_key(df.join(hot, group_col, "left_semi"), [group_col, order_col], "_rank")
     starts = ranked.groupBy(group_col).agg(F.min("_rank").alias("_first"))
-    return (ranked.join(starts, group_col)
-            .select(*[F.col(c) for c in df.columns],
-                    (F.col("_rank") - F.col("_first")).cast("int").alias(name)))
+    return small.unionByName(ranked.join(F.broadcast(starts), group_col).select(
+        *columns, (F.col("_rank") - F.col("_first")).cast("int").alias(name)))

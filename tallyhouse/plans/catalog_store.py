@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.keys import materialize
 from ..operators import audit as AU
 from ..operators import operational as O
 from ..operators import integrity as I
@@ -88,10 +89,13 @@ def q_intake_applied(spark, sf_dir):
     store.create(raw | {"orders": old, "order_items": raw["order_items"].join(old.select(F.col("id").alias("order_id")), "order_id", "left_semi")})
     headers, lines, _ = proposals(spark, sf_dir)
     days = raw["orders"].select(F.col("id").alias("order_ref"), F.col("order_date").alias("day"))
-    spans = {BATCHES[0]: f"day >= date'{FIRST_BATCH}' and day < date'{SECOND_BATCH}'", BATCHES[1]: f"day >= date'{SECOND_BATCH}'"}
+    sent = days.select("order_ref", F.expr(f"case when day >= date'{SECOND_BATCH}' then '{BATCHES[1]}' when day >= date'{FIRST_BATCH}' then '{BATCHES[0]}' end").alias("batch"))
+    sent = sent.where("batch is not null").distinct()
+    # a commit reads its lines several times; their places are worked out once
+    lines = materialize(lines.join(sent, "order_ref"), "sent-lines", by="batch")
     for batch in (*BATCHES, BATCHES[1]):
-        chosen = days.where(spans[batch]).select("order_ref")
-        store.apply_orders(batch, headers.join(chosen, "order_ref", "left_semi"), lines.join(chosen, "order_ref", "left_semi"), AS_OF)
+        of = F.col("batch") == batch
+        store.apply_orders(batch, headers.join(sent.where(of), "order_ref", "left_semi"), lines.where(of).drop("batch"), AS_OF)
     now = store.tables()
     items = now["order_items"].select(F.col("id").alias("order_item_id"), "order_id", "product_id", F.col("quantity").cast("double").alias("quantity"), "unit_price_at_sale")
     return now["orders"].withColumnRenamed("id", "order_id").join(items, "order_id", "left")

@@ -23,7 +23,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import RAW_TABLES
@@ -79,10 +79,17 @@ class OrderStore:
 
     def _write(self, table: str, rows: DataFrame, token: str) -> str:
         """Bucket folders of ``rows``. A range over (bucket, id) lets a large bucket
-        be several tasks, and a task write few buckets."""
+        be several tasks, and a task write few buckets. With a column ``_new``, rows
+        that are not new give way to new ones of their key (and bucket)."""
         folder = f"data/{table}/commit={token}"
-        (rows.withColumn("bucket", self._bucket(table)).repartitionByRange("bucket", "id").sortWithinPartitions("bucket", "id")
-         .write.mode("errorifexists").partitionBy("bucket").parquet(f"{self.root}/{folder}"))
+        placed = rows.withColumn("bucket", self._bucket(table)).repartitionByRange("bucket", "id")
+        if "_new" in rows.columns:
+            # the rows of one key lie in one task by now: no join, no second shuffle
+            replaced = F.max("_new").over(Window.partitionBy("bucket", "id"))
+            placed = (placed.withColumn("_replaced", replaced)
+                      .where(F.col("_new") | ~F.col("_replaced") | F.col("id").isNull()).drop("_new", "_replaced"))
+        (placed.sortWithinPartitions("bucket", "id")
+         .write.mode("errorifexists").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.root}/{folder}"))
         return folder
 
     def _buckets_of(self, folder: str) -> list[str]:
@@ -97,8 +104,8 @@ class OrderStore:
         if not touched:
             return layout
         old = self._read(table, [layout[b] for b in touched if b in layout])
-        merged = old.join(new.select("id"), "id", "left_anti").unionByName(new)
-        folder = self._write(table, merged, token)
+        both = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
+        folder = self._write(table, both, token)
         return layout | {b: f"{folder}/bucket={b}" for b in touched}
 
     def _drop(self, token: str) -> None:

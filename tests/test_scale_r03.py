@@ -48,8 +48,38 @@ def test_ranked_rows_are_slim(spark, f1, monkeypatch):
     assert all(f.endswith(".zstd.parquet") for f in star.fact_sales.inputFiles() if "/ranked/" in f)
 
 
+@pytest.mark.parametrize("limit", [2, 10_000])
+def test_positions_with_and_without_hot_groups(spark, monkeypatch, limit):
+    rows = [("a", i) for i in (3, 1, 2)] + [("b", 7), ("b", None), ("c", 5), (None, 1), (None, 2)]
+    df = spark.createDataFrame(rows, "g string, id int")
+    monkeypatch.setattr(keys, "HOT_GROUP", limit)
+    ranked, real = [], keys.ranked_key
+    monkeypatch.setattr(keys, "ranked_key", lambda d, *a: (ranked.append(sorted(r.g for r in d.collect())), real(d, *a))[1])
+    got = keys.position_within(df, "g", "id", "pos")
+    want = df.where("g is not null").select("g", "id", (F.row_number().over(Window.partitionBy("g").orderBy("id")) - 1).cast("int").alias("pos"))
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert ranked == ([["a", "a", "a"]] if limit == 2 else [])  # only a hot group is written and ranked
+
+
 def test_rollup_counts_orders_in_one_aggregation(spark, star):
     s, _ = star
     wh = rollup.Warehouse(spark, "", "", s.dim_customer, s.dim_product, s.dim_date, s.fact_sales, None)
     plan = rollup._daily(wh)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate [") == 2 and "distinct" not in plan
+
+
+def test_merge_reads_a_bucket_without_a_join(spark, scratch, f1, monkeypatch):
+    from tallyhouse.sources.order_store import OrderStore
+    store = OrderStore(spark, scratch + "/store", buckets=2)
+    orders = f1["orders"]
+    none = orders.limit(1).withColumn("id", F.lit(None).cast("string"))
+    store.create(f1 | {"orders": orders.unionByName(orders.where("id = 'o-1'")).unionByName(none)})
+    first = orders.orderBy("id").first()["id"]
+    new = orders.where(F.col("id") == first).withColumn("status", F.lit("shipped")).unionByName(none)
+    monkeypatch.setattr(DataFrame, "join", lambda *a, **k: pytest.fail("a merge joins"))
+    layout = store._merge("orders", store.log.entry(1)["layout"]["orders"], new, "t")
+    monkeypatch.undo()
+    rows = store._read("orders", list(layout.values())).collect()
+    assert [r.status for r in rows if r.id == first] == ["shipped"]
+    assert sum(r.id is None for r in rows) == 2  # a row without a key replaces nothing
+    assert {r.id for r in rows} == {r.id for r in orders.collect()} | {None}
