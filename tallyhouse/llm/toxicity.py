@@ -107,7 +107,7 @@ def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray,
     b = b[order]
     starts = np.concatenate(([0], np.cumsum(per_word)))
     used, b_local = np.unique(b, return_inverse=True)  # only buckets that occur are trained
-    cols, rows, vals = [], [], []
+    cols, vals, in_docs = [], [], np.zeros(len(used), dtype=np.int64)
     for i, g in enumerate(bags):
         total = sum(g.values())
         ids = np.fromiter((vocab[x] for x in g), dtype=np.int64, count=len(g))
@@ -116,15 +116,21 @@ def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray,
         idx = np.repeat(starts[ids] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
         v = np.bincount(b_local[idx], weights=np.repeat(cnt / reps, reps)) if len(ids) else np.zeros(0)
         nz = np.flatnonzero(v)
+        in_docs[nz] += 1
         cols.append(nz.astype(np.int32))
         vals.append(v[nz].astype(np.float32))
-        rows.append(np.full(len(nz), i, dtype=np.int32))
-    col, row, val = np.concatenate(cols), np.concatenate(rows), np.concatenate(vals).astype(np.float32)
-    seen = np.bincount(col, minlength=len(used)) >= min(p.min_docs, max(2, len(bags) // 100))  # rarer ones keep a zero vector
-    keep = seen[col]
-    col, row, val = (np.cumsum(seen) - 1)[col[keep]], row[keep], val[keep]
+        bags[i] = None  # the worker holds each text's parts once
+    seen = in_docs >= min(p.min_docs, max(2, len(bags) // 100))  # rarer ones keep a zero vector
+    place = (np.cumsum(seen) - 1).astype(np.int32)
+    for i, c in enumerate(cols):
+        keep = seen[c]
+        cols[i], vals[i] = place[c[keep]], vals[i][keep]
+    bounds = np.concatenate(([0], np.cumsum([len(c) for c in cols])))
+    col = np.concatenate(cols)
+    cols.clear()
+    val = np.concatenate(vals)
+    vals.clear()
     used = used[seen]
-    bounds = np.searchsorted(row, np.arange(len(bags) + 1))
     n, d, rng = len(bags), p.dim, np.random.default_rng(p.seed)
     emb = rng.normal(0, 0.02, (len(used), d))
     soft, bias = rng.normal(0, 0.5, (d, 2)), np.zeros(2)
@@ -162,7 +168,7 @@ def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray,
     best = None
     for share in p.prune:
         cut = np.where(np.abs(raw) >= share * np.abs(raw).max(initial=0), raw, 0.0)
-        x = np.bincount(row, weights=val * cut[col], minlength=n)
+        x = np.concatenate([_sums(bounds[a: a + 257], col, val, cut) for a in range(0, n, 256)])
         at = tune if len(tune) and labels[tune].min() != labels[tune].max() else learn
         slope, offset = refit(x[at], labels[at])
         z = np.clip(x[at] * slope + offset, -40, 40)
@@ -174,6 +180,12 @@ def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray,
     return table, float(best[2])
 
 
+def _sums(bounds: np.ndarray, col: np.ndarray, val: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Weighted sum of the values of each text between two ``bounds``."""
+    some, sizes = slice(bounds[0], bounds[-1]), np.diff(bounds)
+    return np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=val[some] * weight[col[some]], minlength=len(sizes))
+
+
 def refit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a one-dimensional logistic fit (damped Newton, small ridge)."""
     scale = np.abs(x).max(initial=0) or 1.0
