@@ -107,6 +107,8 @@ def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray,
     b = b[order]
     starts = np.concatenate(([0], np.cumsum(per_word)))
     used, b_local = np.unique(b, return_inverse=True)  # only buckets that occur are trained
+    b_local = b_local.astype(np.int32)
+    del b, w, order
     cols, vals, in_docs = [], [], np.zeros(len(used), dtype=np.int64)
     for i, g in enumerate(bags):
         total = sum(g.values())
