@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.llm import ngram_join, packing, pii, toxicity
 from tallyhouse.llm.catalog import tokenizer_path
-from tallyhouse.llm.common import Scratch, fresh, table
+from tallyhouse.llm.common import TEXT_ROWS, Scratch, fresh, table
 
 TOXIC = 0.7
 
@@ -60,7 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline", TEXT_ROWS)
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -18,21 +18,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch where whole texts go to Python: at Spark's 10,000 a batch
+#: takes tens of MB, several times over, in each task and outside the heap.
+TEXT_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Scratch:
     """Written intermediate tables of one query under ``spark.checkpoint.dir``.
 
     ``cut`` writes a frame and reads it back (a lineage cut that survives lost
     executors). ``drop`` deletes a table as soon as no later step reads it.
     The tables a returned lazy frame still reads stay until the session ends.
+    ``rows``: Arrow batches have that many rows at most while a table is written.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str, rows: int | None = None):
+        self.spark, self.rows = spark, rows
         self.root = f"{scratch_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("errorifexists").parquet(path)
+        usual = self.spark.conf.get(_ROWS)
+        fewer = self.rows is not None and not 0 < int(usual) <= self.rows
+        if fewer:
+            self.spark.conf.set(_ROWS, str(self.rows))
+        try:
+            df.write.mode("errorifexists").parquet(path)
+        finally:
+            if fewer:
+                self.spark.conf.set(_ROWS, usual)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, names: Iterable[str]) -> None:

@@ -39,17 +39,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, marks, maybe_marked
+from .common import TEXT_ROWS, Scratch, marks, maybe_marked
 from .graph import components
 
 SIZE = 5
 PERCENT = 80
 SLOTS, BLOCKS = 1 << 24, 256
 PARTS = 64
+STEP_BYTES = 1 << 18  # of text hashed at a time; each byte takes some fifty while it is
 ROUNDS = 2
 TRIES = 3  # pairs a class verifies in a round; what is left is verified in full at the end
 _BYTE = np.random.default_rng(20240).integers(1, 1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
@@ -109,11 +111,20 @@ def _class(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _slices(rows: pa.RecordBatch, texts: tuple[str, ...] = ("text",)) -> Iterator[pa.RecordBatch]:
+    """Parts of 256 rows and STEP_BYTES of ``texts`` at most; a row longer than that by itself."""
+    ends = np.cumsum(sum(pc.fill_null(pc.binary_length(rows.column(c).cast(pa.string())), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts))
+    at = done = 0
+    while at < rows.num_rows:
+        end = max(at + 1, min(at + 256, int(np.searchsorted(ends, done + STEP_BYTES, side="right"))))
+        yield rows.slice(at, end - at)
+        at, done = end, int(ends[end - 1])
+
+
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Arrow batches, so that ids never become floats beside a null."""
     for rows in batches:
-        for at in range(0, rows.num_rows, 256):
-            some = rows.slice(at, 256)
+        for some in _slices(rows):
             yield some, shingle_sets(some.column("text").to_pylist(), size)
 
 
@@ -168,15 +179,14 @@ def _postings(batches: Iterator[pa.RecordBatch], counts: np.ndarray, size: int,
         yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), pa.array(lengths, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], names=["sig", "n", "tokens"])
 
 
-def _verify(batches: Iterator[pd.DataFrame], size: int, percent: int) -> Iterator[pd.DataFrame]:
+def _verify(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     for rows in batches:
-        for at in range(0, len(rows), 256):
-            some = rows.iloc[at: at + 256]
+        for some in _slices(rows, ("text_a", "text_b")):
             keep = []
-            for x, y in zip(shingle_sets(some["text_a"].tolist(), size), shingle_sets(some["text_b"].tolist(), size)):
+            for x, y in zip(*(shingle_sets(some.column(c).to_pylist(), size) for c in ("text_a", "text_b"))):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield some.loc[keep, ["a", "b"]]
+            yield some.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _represent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -226,8 +236,7 @@ def classed(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for at in range(0, rows.num_rows, 256):
-                some = rows.slice(at, 256)
+            for some in _slices(rows):
                 sets = shingle_sets(some.column("text").to_pylist(), size)
                 added = [pa.array([_class(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *added], names=[*some.schema.names, "_sig", "_n"])
@@ -251,7 +260,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
 def labelled(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n, sig, label) of every document; classes of one component share the label."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
+    scratch = Scratch(spark, "ngram-join", TEXT_ROWS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = scratch.cut(docs.mapInArrow(lambda b: _classes(b, size),
                                          "doc_id long, n int, sig long, block int, counts binary"), "classes")
@@ -290,7 +299,7 @@ def labelled(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataF
         own = maybe_marked(texts.select("sig", "text"), ["sig"], sides).dropDuplicates(["sig"])
         a = own.select(F.col("sig").alias("a"), F.col("text").alias("text_a"))
         b = own.select(F.col("sig").alias("b"), F.col("text").alias("text_b"))
-        links = scratch.cut(pairs.join(a, "a").join(b, "b").mapInPandas(lambda x: _verify(x, size, percent), "a long, b long"), name)
+        links = scratch.cut(pairs.join(a, "a").join(b, "b").mapInArrow(lambda x: _verify(x, size, percent), "a long, b long"), name)
         scratch.drop([f"{name}-pairs"])
         return links
 

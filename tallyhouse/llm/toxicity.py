@@ -27,9 +27,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,7 @@ from .common import over_texts
 WORD = re.compile(r"[^\W_]+")
 MIN_N, MAX_N = 3, 5
 CACHE_WORDS = 400_000
+STEP = 256  # texts cut into words at a time
 
 
 @dataclass(frozen=True)
@@ -93,47 +95,78 @@ def bag(text: str | None) -> Counter:
     return Counter(WORD.findall((text or "").lower()))
 
 
-def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+class Bags:
+    """Texts as counted words. A word has a number and its n-gram buckets once for all
+    texts, so that a text takes eight bytes a distinct word and its string can go."""
+
+    def __init__(self, buckets: int):
+        self.buckets, self.vocab = buckets, {}
+        self.ids, self.counts, self.grams, self.sizes = [], [], [], []
+
+    def add(self, texts: list[str | None]) -> None:
+        bags = [bag(t) for t in texts]
+        new = sorted(set().union(*bags).difference(self.vocab))
+        if new:
+            b, w = subwords(new, self.buckets)
+            self.grams.append(b[np.argsort(w, kind="stable")].astype(np.int32))
+            self.sizes.append(np.bincount(w, minlength=len(new)))
+            self.vocab.update(zip(new, range(len(self.vocab), len(self.vocab) + len(new))))
+        for g in bags:
+            self.ids.append(np.fromiter(map(self.vocab.__getitem__, g), dtype=np.int32, count=len(g)))
+            self.counts.append(np.fromiter(g.values(), dtype=np.int32, count=len(g)))
+
+    def matrix(self, min_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket of each column, first entry of each text and the end, column and value of
+        each entry) for the buckets of ``min_docs`` texts or more. Takes the words out."""
+        self.vocab = {}
+        grams = np.concatenate([np.zeros(0, dtype=np.int32), *self.grams])
+        self.grams = []
+        sizes = np.concatenate([np.zeros(0, dtype=np.int64), *self.sizes])
+        starts = np.cumsum(sizes) - sizes
+
+        def buckets_of(ids: np.ndarray, reps: np.ndarray) -> np.ndarray:
+            return grams[np.repeat(starts[ids] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())]
+
+        in_docs, entries = np.zeros(self.buckets, dtype=np.int64), 0
+        for ids in self.ids:
+            has = np.zeros(self.buckets, dtype=bool)
+            has[buckets_of(ids, sizes[ids])] = True
+            in_docs += has
+        used = np.flatnonzero(in_docs >= max(min_docs, 1))
+        place = np.zeros(self.buckets, dtype=np.int32)
+        place[used] = np.arange(1, len(used) + 1)  # 0: none
+        most = int(in_docs[used].sum())
+        col, val = np.empty(most, dtype=np.min_scalar_type(len(used))), np.empty(most, dtype=np.float32)
+        bounds = np.zeros(len(self.ids) + 1, dtype=np.int64)
+        for i, (ids, count) in enumerate(zip(self.ids, self.counts)):
+            reps = sizes[ids]
+            v = np.bincount(place[buckets_of(ids, reps)], weights=np.repeat(count / max(count.sum(), 1) / reps, reps))
+            v[:1] = 0.0
+            some = np.flatnonzero(v)
+            entries += len(some)
+            bounds[i + 1] = entries
+            col[entries - len(some): entries], val[entries - len(some): entries] = some - 1, v[some]
+            self.ids[i] = self.counts[i] = None  # the worker holds each text's parts once
+        return used, bounds, col[:entries], val[:entries]
+
+
+def train(texts: Iterable[str | None], labels: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
     """(toxic minus clean logit of each bucket, bias) after joint training."""
+    bags, texts = Bags(p.buckets), iter(texts)
+    while some := list(islice(texts, STEP)):
+        bags.add(some)
+    return train_bags(bags, labels, p)
+
+
+def train_bags(bags: Bags, labels: np.ndarray, p: Params) -> tuple[np.ndarray, float]:
+    """``train`` on counted words, which it uses up."""
     labels = np.asarray(labels, dtype=np.int64)
     if len(labels) == 0 or labels.min() == labels.max():
         constant = 40.0 if len(labels) and labels[0] == 1 else -40.0
         return np.zeros(p.buckets, dtype=np.float32), constant
-    bags = [bag(t) for t in texts]
-    vocab = {w: i for i, w in enumerate(sorted(set().union(*bags)))}
-    b, w = subwords(list(vocab), p.buckets)
-    per_word = np.bincount(w, minlength=len(vocab))
-    order = np.argsort(w, kind="stable")
-    b = b[order]
-    starts = np.concatenate(([0], np.cumsum(per_word)))
-    used, b_local = np.unique(b, return_inverse=True)  # only buckets that occur are trained
-    b_local = b_local.astype(np.int32)
-    del b, w, order
-    cols, vals, in_docs = [], [], np.zeros(len(used), dtype=np.int64)
-    for i, g in enumerate(bags):
-        total = sum(g.values())
-        ids = np.fromiter((vocab[x] for x in g), dtype=np.int64, count=len(g))
-        cnt = np.fromiter(g.values(), dtype=np.float64, count=len(g)) / max(total, 1)
-        reps = per_word[ids]
-        idx = np.repeat(starts[ids] - np.concatenate(([0], np.cumsum(reps)[:-1])), reps) + np.arange(reps.sum())
-        v = np.bincount(b_local[idx], weights=np.repeat(cnt / reps, reps)) if len(ids) else np.zeros(0)
-        nz = np.flatnonzero(v)
-        in_docs[nz] += 1
-        cols.append(nz.astype(np.int32))
-        vals.append(v[nz].astype(np.float32))
-        bags[i] = None  # the worker holds each text's parts once
-    seen = in_docs >= min(p.min_docs, max(2, len(bags) // 100))  # rarer ones keep a zero vector
-    place = (np.cumsum(seen) - 1).astype(np.int32)
-    for i, c in enumerate(cols):
-        keep = seen[c]
-        cols[i], vals[i] = place[c[keep]], vals[i][keep]
-    bounds = np.concatenate(([0], np.cumsum([len(c) for c in cols])))
-    col = np.concatenate(cols)
-    cols.clear()
-    val = np.concatenate(vals)
-    vals.clear()
-    used = used[seen]
-    n, d, rng = len(bags), p.dim, np.random.default_rng(p.seed)
+    # rarer ones keep a zero vector
+    used, bounds, col, val = bags.matrix(min(p.min_docs, max(2, len(labels) // 100)))
+    n, d, rng = len(labels), p.dim, np.random.default_rng(p.seed)
     emb = rng.normal(0, 0.02, (len(used), d))
     soft, bias = rng.normal(0, 0.5, (d, 2)), np.zeros(2)
     target = np.eye(2)[labels]
@@ -149,14 +182,15 @@ def train(texts: list[str], labels: np.ndarray, p: Params) -> tuple[np.ndarray,
             sizes = bounds[ids + 1] - bounds[ids]
             own = np.repeat(np.arange(len(ids)), sizes)
             pick = np.repeat(bounds[ids] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-            c, v = col[pick], val[pick].astype(np.float64)
-            e_c = emb[c]
-            doc = np.stack([np.bincount(own, weights=e_c[:, k] * v, minlength=len(ids)) for k in range(d)], axis=1)
+            c, v = col[pick].astype(np.int64), val[pick].astype(np.float64)
+            del pick
+            # one dimension at a time: a batch of long texts has many entries
+            doc = np.stack([np.bincount(own, weights=emb[:, k][c] * v, minlength=len(ids)) for k in range(d)], axis=1)
             z = doc @ soft + bias
             e = np.exp(z - z.max(axis=1, keepdims=True))
             g = (e / e.sum(axis=1, keepdims=True) - target[ids]) * (1 / len(ids))
-            back = (g @ soft.T)[own]
-            g_emb = np.stack([np.bincount(c, weights=back[:, k] * v, minlength=len(used)) for k in range(d)], axis=1)
+            back = g @ soft.T
+            g_emb = np.stack([np.bincount(c, weights=back[:, k][own] * v, minlength=len(used)) for k in range(d)], axis=1)
             grads = (g_emb, doc.T @ g, g.sum(axis=0))
             for x, gr, (m, s) in zip((emb, soft, bias), grads, state):
                 m += 0.1 * (gr - m)
@@ -222,6 +256,19 @@ class Scorer:
         return 1.0 / (1.0 + np.exp(-np.clip(out, -40, 40)))
 
 
+def learn(batches: Iterator[pa.RecordBatch], p: Params) -> Iterator[pa.RecordBatch]:
+    """The model of all rows (text, toxic) as one row (logits, bias); no row without one."""
+    bags, labels = Bags(p.buckets), []
+    for rows in batches:
+        for at in range(0, rows.num_rows, STEP):
+            some = rows.slice(at, STEP)
+            bags.add(some.column("text").to_pylist())
+            labels += some.column("toxic").to_pylist()
+    if labels:
+        table, bias = train_bags(bags, labels, p)
+        yield pa.RecordBatch.from_pydict({"logits": [table.tobytes()], "bias": [bias]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> tuple[np.ndarray, float]:
     """Model from a bounded sample of the labelled documents.
 
@@ -240,15 +287,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> tuple[
     sample = (docs.select("doc_id", "text").join(drawn, "doc_id").groupBy("doc_id", "toxic")
               .agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame({"doc_id": [], "text": [], "toxic": []}), *batches])
-        if not len(rows):
-            return
-        rows = rows.sort_values(["doc_id", "text"])
-        table, bias = train(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64), params)
-        yield pd.DataFrame({"logits": [table.tobytes()], "bias": [bias]})
-
-    model = sample.repartition(1).mapInPandas(run, "logits binary, bias double").collect()
+    model = (sample.repartition(1).sortWithinPartitions("doc_id")
+             .mapInArrow(lambda batches: learn(batches, params), "logits binary, bias double").collect())
     if not model:
         return np.zeros(params.buckets, dtype=np.float32), -40.0
     return np.frombuffer(bytes(model[0]["logits"]), dtype=np.float32), model[0]["bias"]

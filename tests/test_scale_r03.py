@@ -98,3 +98,65 @@ def test_training_holds_each_part_once():
         tracemalloc.stop()
     assert table.shape == (1 << 17,) and np.isfinite(bias)
     assert peak < 210e6  # 183 MB; 233 MB when lists, joined and filtered copies were held together
+
+
+def test_training_drops_texts_and_words_as_it_reads_them():
+    import pyarrow as pa
+
+    from tallyhouse.llm import toxicity
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 7)) for _ in range(3000)]
+    labels = np.arange(1200) % 4 == 0
+
+    def text(i: int) -> str:
+        r = np.random.default_rng(i)
+        return " ".join([*r.choice(words, 150), *("".join(r.choice(list("qrstuvw"), 12)) for _ in range(10))])
+
+    def batches():
+        for at in range(0, 1200, 300):
+            yield pa.RecordBatch.from_pydict({"text": [text(i) for i in range(at, at + 300)], "toxic": labels[at: at + 300].astype(int)})
+
+    p = toxicity.Params(steps=2)
+    tracemalloc.start()
+    try:
+        [row] = pa.Table.from_batches(toxicity.learn(batches(), p)).to_pylist()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    table, bias = toxicity.train([text(i) for i in range(1200)], labels, p)
+    assert row["logits"] == table.tobytes() and row["bias"] == bias
+    print(f"peak {peak / 1e6:.0f} MB")
+    assert peak < 1e9
+    assert list(toxicity.learn(iter([]), p)) == []
+
+
+def test_texts_are_hashed_in_slices_of_few_bytes():
+    import pyarrow as pa
+
+    from tallyhouse.llm import ngram_join
+    texts = [None, "", "a b c d e f", "x" * 300_000, *("y z " * 40_000 for _ in range(3)), *("w" * 10 for _ in range(600))]
+    rows = pa.RecordBatch.from_pydict({"text": texts})
+    parts = list(ngram_join._slices(rows))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts
+    assert all(p.num_rows == 1 or p.num_rows <= 256 and sum(len(t or "") for t in p.column("text").to_pylist()) <= ngram_join.STEP_BYTES for p in parts)
+    sets = [s for _, found in ngram_join._sets(iter([rows]), 5) for s in found]
+    assert all((a == b).all() for a, b in zip(sets, ngram_join.shingle_sets(texts), strict=True))
+    pairs = pa.RecordBatch.from_pydict({"a": [1, 2], "b": [3, 4], "text_a": ["a b c d e f", "p q r s t"], "text_b": ["A b c d e f", "u v w x y"]})
+    assert [r for b in ngram_join._verify(iter([pairs]), 5, 80) for r in b.to_pylist()] == [{"a": 1, "b": 3}]
+    assert list(ngram_join._slices(rows.slice(0, 0))) == []
+
+
+def test_scratch_gives_batch_rows_back(spark, scratch):
+    from tallyhouse.llm.common import Scratch
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    frame = spark.range(2500, numPartitions=1).mapInArrow(sizes, "n long")
+    assert sorted(r.n for r in Scratch(spark, "few", 1000).cut(frame, "t").collect()) == [500, 1000, 1000]
+    assert spark.conf.get(name) == usual
+    assert [r.n for r in Scratch(spark, "many").cut(frame, "t").collect()] == [2500]
