@@ -125,8 +125,7 @@ def test_training_drops_texts_and_words_as_it_reads_them():
         tracemalloc.stop()
     table, bias = toxicity.train([text(i) for i in range(1200)], labels, p)
     assert row["logits"] == table.tobytes() and row["bias"] == bias
-    print(f"peak {peak / 1e6:.0f} MB")
-    assert peak < 1e9
+    assert peak < 80e6  # 52 MB; 124 MB when texts and their counters were held together
     assert list(toxicity.learn(iter([]), p)) == []
 
 
